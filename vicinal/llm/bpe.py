@@ -29,7 +29,7 @@ from vicinal.llm import common
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept by a Python worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Marks before a key, bytes that no UTF-8 text holds.
 VERBATIM, SPECIAL = b"\xff", b"\xfe"
 NONE = np.iinfo(np.int32).max
@@ -168,26 +168,30 @@ class Encoder:
     def __init__(self, path: str):
         self.table = MergeTable(path)
         self.pattern = regex.compile(PATTERN)
-        self.cache, self.words = PieceCache(self._new), PieceCache(self.table.merge)
+        self.cache = PieceCache(self._new)
         marks = sorted(self.table.special, key=len, reverse=True)
         self.marks = regex.compile(b"(" + b"|".join(map(regex.escape, marks)) + b")") if marks else None
 
     def _new(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A key is a piece after a space, or VERBATIM and a piece, or SPECIAL and a special token."""
-        words, many, fixed = [], np.ones(len(keys), np.int64), {}
+        words: dict[bytes, int] = {}
+        of, many, fixed = [], np.ones(len(keys), np.int64), {}
         for i, key in enumerate(keys):
             if key[:1] == SPECIAL:
                 fixed[i] = self.table.special[key[1:]]
-                words.append(b"")
+                of.append(words.setdefault(b"", len(words)))
                 continue
             text = key[1:].decode() if key[:1] == VERBATIM else " " + key.decode()
             if text[text[:1] == " " :].isalpha():
-                words.append(text.encode())
+                of.append(words.setdefault(text.encode(), len(words)))
                 continue
             found = self.pattern.findall(text)
             many[i] = len(found)
-            words += [w.encode() for w in found]
-        ids, size = self.words.ids(words)
+            of += [words.setdefault(w.encode(), len(words)) for w in found]
+        flat, count = self.table.merge(list(words))
+        at = np.array(of, np.int64)
+        size = count[at]
+        ids = flat[common.ragged((np.cumsum(count) - count)[at], size)]
         total = np.r_[0, np.cumsum(size)]
         ends = np.cumsum(many)
         out = total[ends] - total[ends - many]
@@ -217,8 +221,14 @@ class Encoder:
         # a space that joins two texts is not of a text
         careful = set(doc[odd < end[doc]].tolist()) | ({i for i, t in enumerate(texts) if any(s in t for s in self.table.special)} if marked else set())
         if not careful:
-            pieces = (VERBATIM + (b" " + VERBATIM).join(texts)).split(b" ")
-            n = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+            flat = np.frombuffer(data, np.uint8)
+            ends = ends_after_letters(flat)
+            cut = np.r_[0, end[:-1] + 1, ends]
+            whole = np.insert(flat, np.repeat(cut, 2), np.tile(np.frombuffer(b" " + VERBATIM, np.uint8), len(cut)))
+            # the space that joins two texts and the one put before the next make an empty piece: drop the first
+            pieces = whole.tobytes()[1:].replace(b"  " + VERBATIM, b" " + VERBATIM).split(b" ")
+            spaces = np.r_[0, np.cumsum(flat == 32)]
+            n = spaces[end] - spaces[end - lens] + 1 + np.bincount(np.searchsorted(end, ends), minlength=len(texts))
         else:
             pieces, n = [], np.zeros(len(texts), np.int64)
             for i, t in enumerate(texts):
@@ -231,6 +241,21 @@ class Encoder:
         return ids, total[ends] - total[ends - n]
 
 
+#: Byte classes of the cut before an end mark.
+_ENDS, _LETTERS, _AFTER = np.zeros((3, 256), bool)
+_ENDS[list(b".,")] = True
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_AFTER[[9, 10, 11, 12, 13, 32]] = True
+
+
+def ends_after_letters(data: np.ndarray) -> np.ndarray:
+    """Positions of the full stops and commas between A-Z or a-z and white space
+    (or the end): they are tokens of their own, so words are looked up without."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(_ENDS[data[1:]] & _LETTERS[data[:-1]] & np.r_[_AFTER[data[2:]], True]) + 1
+
+
 def white_before_space(data: np.ndarray) -> np.ndarray:
     """Positions of the spaces that follow any white space (Unicode's)."""
     if len(data) < 2:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm import common
-from vicinal.llm.bpe import PieceCache, binary_array
+from vicinal.llm.bpe import PieceCache, binary_array, ends_after_letters
 
 #: Ids a frame holds before the next begins.
 FRAME_IDS = 1 << 16
@@ -137,8 +137,6 @@ class LibraryWords:
     before the lookup."""
 
     JOINED = 128
-    #: End marks that are cut off.
-    ENDS = (b".", b",")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -154,18 +152,7 @@ class LibraryWords:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         plain = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.joint = plain[-1] if plain else None
-        self.stems, self.parts = PieceCache(self._ask), PieceCache(self._cut)
-
-    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out, n = [], np.ones(len(words), np.int64)
-        for i, w in enumerate(words):
-            if w[-1:] in self.ENDS and w[:-1].isalpha():
-                out += [w[:-1], w[-1:]]
-                n[i] = 2
-            else:
-                out.append(w)
-        ids, count = self.stems.ids(out)
-        return ids, np.add.reduceat(count, np.cumsum(n) - n)
+        self.parts = PieceCache(self._ask)
 
     def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.zeros(len(words), np.int64)
@@ -188,7 +175,8 @@ class LibraryWords:
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts, n = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            own = (t.lower() if self.lowers and b"<" not in t else t).split()
+            flat = np.frombuffer(t.lower() if self.lowers and b"<" not in t else t, np.uint8)
+            own = np.insert(flat, ends_after_letters(flat), 32).tobytes().split()
             parts += own
             n[i] = len(own)
         ids, count = self.parts.ids(parts)
