@@ -12,11 +12,14 @@ whose places differ by more than the k-mers that may stay unmatched are left
 out, and the longest chain of the others that ascends in both texts has L
 matches; the similarity is L / (n1 + n2 - L).
 
-Work stays near linear in large buckets: equal texts count once, and each text
-is first compared with the smallest text of the bucket it shares most sketches
-with. Where the members of a bucket are then not yet in one class, all pairs
-across its classes but those inside its largest one are compared too, so no
-candidate pair that could join two classes is left out.
+Work stays linear in large buckets: equal texts count once, and each text is
+compared with the centres of its buckets, first with the one that it shares
+most sketches with. A centre is the member that shares most sketches with
+others, as the original of many copies does. In buckets of up to ``SMALL`` texts
+all pairs that are then in different classes are compared; in larger ones each
+text with its neighbour, ordered by the next sketches. So a link in a bucket
+of more than ``SMALL`` texts can be missed if neither text is its centre, they
+are no neighbours there, and no chain of other links joins them.
 
 Edge cases: texts of fewer than five words have one k-mer, all their words;
 texts without a word (null, empty) are in no group: each is its own class. Rows
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm import common
@@ -42,6 +45,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 24, 5
 #: K-mers below a threshold that are sorted to find the smallest: about so many.
 TAKEN = 24
+#: Texts of a bucket up to which all its pairs are candidates.
+SMALL = 32
 
 _RNG = np.random.default_rng(3)
 _A = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,39 +196,59 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes have different labels."""
+    out = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+    out = out.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verify further pairs and join the classes that they link."""
+    found = common.stored(verified(common.stored(pairs, "pairs"), words), "links")
+    if found.isEmpty():
+        return links, labels
+    links = links.unionByName(found)
+    return links, components(links)
+
+
 def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, class_id (the smallest id of its class),
     class_size (documents of the class) and n_texts (different texts)."""
     table = sketch_table(docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
-    texts = some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
-    members = common.stored(texts, "texts").select("node", "n", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = common.stored(members.join(shared, "bucket"), "buckets")
+    texts = common.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
+    members = texts.select("node", "n", "keys", F.posexplode("keys").alias("t", "bucket"))
+    after = lambda k: F.element_at("keys", ((F.col("t") + k) % SKETCHES + 1).cast("int"))
+    members = members.select("node", "n", "bucket", after(1).alias("o1"), after(2).alias("o2"))
+    members = common.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
     words = some.select("node", "words").join(members.select("node").distinct(), "node", "left_semi")
     words = common.stored(words.groupBy("node").agg(F.first("words").alias("words")), "words")
 
-    # each text with the centre that it shares most sketches with
-    stars = members.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    best = stars.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("b")).select(F.col("node").alias("a"), "b")
-    best = common.stored(best, "stars")
-    links = common.stored(verified(best, words), "links")
+    # the original of many copies shares most sketches with them all
+    central = members.groupBy("node").agg(F.sum("size").alias("score"))
+    centres = members.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    stars = members.join(centres, "bucket").where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
+    stars = common.stored(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "shared"), "stars")
+    first = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    links = common.stored(verified(first, words), "links")
     labels = components(links)
 
-    # buckets whose members are in several classes: compare across these
-    placed = members.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    # the other centres, where they are not in one class yet
+    rest = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
+    links, labels = _more(links, labels, rest, words)
+
+    placed = members.join(labels, "node", "left").select("bucket", "node", "n", "o1", "o2", "size", F.coalesce("label", "node").alias("label"))
     placed = common.stored(placed, "placed")
-    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    open_ = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = placed.join(open_, "bucket")
-    left = open_.where("label != largest").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("label").eqNullSafe(F.col("largest")).alias("in_largest"))
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY) & (F.col("la") != F.col("lb")) & (F.col("in_largest") | (F.col("a") < F.col("b")))
-    rest = left.join(right, "bucket").where(fits).select("a", "b").distinct()
-    rest = rest.join(best, ["a", "b"], "left_anti").join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = common.stored(verified(common.stored(rest, "pairs"), words), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    small = placed.where(F.col("size") <= SMALL)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = (F.least("n", "nb") >= F.greatest("n", "nb") * SIMILARITY) & (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b"))
+    pairs = small.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b")
+    beside = Window.partitionBy("bucket").orderBy("o1", "o2", "node")
+    chain = placed.where(F.col("size") > SMALL).select(F.col("node").alias("a"), F.lag("node").over(beside).alias("b"), "label", F.lag("label").over(beside).alias("lb"))
+    pairs = pairs.unionByName(chain.where("label != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    links, labels = _more(links, labels, pairs, words)
 
     named = table.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node")
     named = common.stored(named, "named")
