@@ -217,8 +217,8 @@ def drop(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_d
     lines = narrow.mapInArrow(positions, "doc_id long, text_hash long, line long, first boolean, key binary").join(keys, "key")
     if keep_first:
         lines = lines.where(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("first_id"))))
-    gone = lines.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("_gone"))
-    joined = marked.join(gone, F.col(id_column).cast("long").eqNullSafe(gone["doc_id"]) & F.col("_text_hash").eqNullSafe(gone["text_hash"]), "left").select(*(marked[c] for c in own), "_gone")
+    gone = lines.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
+    joined = marked.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left").select(*own, "_gone")
 
     def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
