@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from vicinal.llm import bpe, cascade, common, decontam, linededup, omh, quality, sharding, tokenfile, toxicity, warc
 from vicinal.llm.textscan import BREAK, Scan, mix
@@ -213,6 +214,41 @@ def test_near_duplicates_are_brute_force(spark):
     assert omh.classes(docs(spark, [])).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 1)  # all pairs come by their rarest k-mers
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for _ in range(6):  # drifting chains around one passage that all share
+        w = [f"v{rnd.randint(0, 9999)}" for _ in range(40)] + passage + [f"v{rnd.randint(0, 9999)}" for _ in range(rnd.choice((5, 60)))]
+        for _ in range(9):
+            texts.append(" ".join(w))
+            w = list(w)
+            w[rnd.randrange(len(w))] = f"e{rnd.randint(0, 9999)}"
+            if rnd.random() < 0.4:
+                w.insert(rnd.randrange(len(w)), "and")
+    got = {r.doc_id: r.class_id for r in omh.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_crowded_pairs_cover_all_similar_texts(spark):
+    rnd = random.Random(12)
+    base, rows, km = [rnd.randrange(1 << 32) for _ in range(90)], [], {}
+    for k in range(70):
+        w = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            w[rnd.randrange(len(w))] = rnd.randrange(1 << 32)
+        w = np.array(w[rnd.randint(0, 12) :], "<u4")
+        node = bytes([k]) * 16
+        km[node] = omh.kmers(mix(w.astype(np.uint64)))
+        rows.append((node, len(km[node]), bytearray(zstandard.compress(w.tobytes()))))
+    words = spark.createDataFrame(rows, "node binary, n long, words binary")
+    placed = words.selectExpr("1L as bucket", "node", "n", "1000L as size", "node as label")
+    got = {(bytes(r.a), bytes(r.b)) for r in omh.crowded_pairs(placed, words.select("node", "words")).collect()}
+    want = {(a, b) for a in km for b in km if a < b and omh.similarity(km[a], km[b]) >= omh.SIMILARITY}
+    assert len(want) > 50 and want <= got
+
+
 def test_order_matters_to_the_sketch():
     w = np.arange(1, 60, dtype=np.uint64)
     a, b = omh.kmers(mix(w)), omh.kmers(mix(np.r_[w[30:], w[:30]]))

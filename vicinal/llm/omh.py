@@ -15,11 +15,14 @@ matches; the similarity is L / (n1 + n2 - L).
 Work stays linear in large buckets: equal texts count once, and each text is
 compared with the centres of its buckets, first with the one that it shares
 most sketches with. A centre is the member that shares most sketches with
-others, as the original of many copies does. In buckets of up to ``SMALL`` texts
-all pairs that are then in different classes are compared; in larger ones each
-text with its neighbour, ordered by the next sketches. So a link in a bucket
-of more than ``SMALL`` texts can be missed if neither text is its centre, they
-are no neighbours there, and no chain of other links joins them.
+others, as the original of many copies does. Of the pairs that are then still in
+different classes, those of buckets of up to ``SMALL`` texts are all compared.
+Those of larger buckets must share one of their rarest k-mers: of n1 and n2
+k-mers at least L = 0.8 / 1.8 * (n1 + n2) must match, so under any one order of
+all k-mers the first n1 - L + 1 and n2 - L + 1 have one in common, and no link
+is lost. The order is by how often a k-mer's bin occurs; the table of ``BINS``
+counts has that size for any input. A passage that many texts share is thus no
+reason to compare them, nor is an original that each changed too much.
 
 Edge cases: texts of fewer than five words have one k-mer, all their words;
 texts without a word (null, empty) are in no group: each is its own class. Rows
@@ -35,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import common
@@ -47,6 +50,8 @@ SKETCHES, PICKED = 24, 5
 TAKEN = 24
 #: Texts of a bucket up to which all its pairs are candidates.
 SMALL = 32
+#: Counters by which k-mers are ordered from rare to frequent.
+BINS = 1 << 20
 
 _RNG = np.random.default_rng(3)
 _A = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,8 +170,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            unpack = zstandard.ZstdDecompressor().decompress
-            sims = [similarity(*(kmers(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in p)) for p in zip(x, y, strict=True)]
+            sims = [similarity(*p) for p in zip(_unpacked(x), _unpacked(y), strict=True)]
             keep = [i for i, v in enumerate(sims) if v >= SIMILARITY]
             if keep:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.binary()), "b": pa.array([b[i] for i in keep], pa.binary()), "similarity": [sims[i] for i in keep]})
@@ -203,6 +207,67 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def _unpacked(words: list[bytes]) -> Iterator[np.ndarray]:
+    """The labelled k-mers of texts whose words are packed."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (kmers(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in words)
+
+
+def bin_counts(texts: DataFrame) -> np.ndarray:
+    """How many k-mers of the texts (words) fall in each of ``BINS`` bins."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for km in _unpacked(batch.column(0).to_pylist()):
+                np.add.at(total, (km & np.uint64(BINS - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        for k in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"bin": some[k : k + (1 << 16)], "n": total[some[k : k + (1 << 16)]]})
+
+    out = np.zeros(BINS, np.int64)
+    found = texts.select("words").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most BINS rows
+    out[found["bin"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def rarest(texts: DataFrame) -> DataFrame:
+    """kmer, place, node, n, label: of each text (node, n, label, words) the
+    rarest k-mers from place 0 on, as far as any text can need them."""
+    counts = texts.sparkSession.sparkContext.broadcast(bin_counts(texts))  # BINS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = []
+            for km in _unpacked(batch.column(3).to_pylist()):
+                often = counts.value[(km & np.uint64(BINS - 1)).astype(np.int64)]
+                take = len(km) - int(np.ceil(SIMILARITY * len(km) - 1e-9)) + 1
+                taken.append(km[np.lexsort((km, often))[:take]])
+            if taken:
+                of = pa.array(np.repeat(np.arange(len(taken)), [len(x) for x in taken]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate([np.arange(len(x)) for x in taken])), *(batch.column(k).take(of) for k in range(3))], names=["kmer", "place", "node", "n", "label"])
+
+    return texts.select("node", "n", "label", "words").mapInArrow(run, "kmer long, place long, node binary, n long, label binary")
+
+
+def crowded_pairs(placed: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in buckets of more than ``SMALL``, of different
+    classes, that share one of their rarest k-mers."""
+    large = placed.where(F.col("size") > SMALL)
+    mixed = large.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+    texts = large.join(mixed, "bucket", "left_semi").select("node", "n", "label").distinct()
+    rare = common.stored(rarest(common.stored(texts.join(words, "node"), "crowded")), "rarest")
+    shared = rare.groupBy("kmer").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("kmer")
+    rare = rare.join(shared, "kmer", "left_semi")
+    other = rare.select("kmer", F.col("place").alias("pb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    least = lambda n: F.ceil(n * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    both = least(F.col("n") + F.col("nb"))
+    fits = (F.col("n") <= F.col("nb")) & (F.col("label") != F.col("lb")) & (F.col("place") <= F.col("n") - both) & (F.col("pb") <= F.col("nb") - both)
+    shorter = rare.where(F.col("place") <= F.col("n") - least(2 * F.col("n")))
+    pairs = shorter.join(other, "kmer").where(fits)
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verify further pairs and join the classes that they link."""
     found = common.stored(verified(common.stored(pairs, "pairs"), words), "links")
@@ -218,9 +283,7 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     table = sketch_table(docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
     texts = common.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
-    members = texts.select("node", "n", "keys", F.posexplode("keys").alias("t", "bucket"))
-    after = lambda k: F.element_at("keys", ((F.col("t") + k) % SKETCHES + 1).cast("int"))
-    members = members.select("node", "n", "bucket", after(1).alias("o1"), after(2).alias("o2"))
+    members = texts.select("node", "n", F.explode("keys").alias("bucket"))
     members = common.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
     words = some.select("node", "words").join(members.select("node").distinct(), "node", "left_semi")
     words = common.stored(words.groupBy("node").agg(F.first("words").alias("words")), "words")
@@ -238,15 +301,13 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     rest = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
     links, labels = _more(links, labels, rest, words)
 
-    placed = members.join(labels, "node", "left").select("bucket", "node", "n", "o1", "o2", "size", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("label"))
     placed = common.stored(placed, "placed")
     small = placed.where(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = (F.least("n", "nb") >= F.greatest("n", "nb") * SIMILARITY) & (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b"))
     pairs = small.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b")
-    beside = Window.partitionBy("bucket").orderBy("o1", "o2", "node")
-    chain = placed.where(F.col("size") > SMALL).select(F.col("node").alias("a"), F.lag("node").over(beside).alias("b"), "label", F.lag("label").over(beside).alias("lb"))
-    pairs = pairs.unionByName(chain.where("label != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = pairs.unionByName(crowded_pairs(placed, words)).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links, labels = _more(links, labels, pairs, words)
 
