@@ -338,3 +338,15 @@ def test_pipeline_stages_keep_the_columns(spark):
     items = common.tables(spark, d, "benchmark")
     assert decontam.find(out, items).where("n_hit > 0").count() == 0
     assert p.STAGES[-1][1](spark, out, d).count() == out.count()
+
+
+def test_further_links_join_classes(spark):
+    rnd = random.Random(13)
+    name = lambda i: bytes([i]) * 16
+    links = [tuple(rnd.sample(range(60), 2)) for _ in range(45)]
+    table = lambda rows: spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in rows], "a binary, b binary")
+    at_once = {(bytes(r.node), bytes(r.label)) for r in omh.components(table(links)).collect()}
+    labels = omh.components(table(links[:20]))
+    for part in (links[20:30], links[:3], links[30:]):
+        labels = omh.merged(labels, table(part))
+    assert {(bytes(r.node), bytes(r.label)) for r in labels.collect()} == at_once

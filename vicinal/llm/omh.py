@@ -268,13 +268,22 @@ def crowded_pairs(placed: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
-def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links (a, b): only classes that these touch are
+    joined anew, each named by its smallest node."""
+    edges = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+    edges = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    edges = edges.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b")
+    to = components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    alone = to.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    rest = labels.join(to, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return common.stored(rest.unionByName(alone), "labels")
+
+
+def _more(labels: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Verify further pairs and join the classes that they link."""
     found = common.stored(verified(common.stored(pairs, "pairs"), words), "links")
-    if found.isEmpty():
-        return links, labels
-    links = links.unionByName(found)
-    return links, components(links)
+    return labels if found.isEmpty() else merged(labels, found)
 
 
 def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -294,12 +303,11 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     stars = members.join(centres, "bucket").where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
     stars = common.stored(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "shared"), "stars")
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = common.stored(verified(first, words), "links")
-    labels = components(links)
+    labels = components(common.stored(verified(first, words), "links"))
 
     # the other centres, where they are not in one class yet
     rest = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    links, labels = _more(links, labels, rest, words)
+    labels = _more(labels, rest, words)
 
     placed = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("label"))
     placed = common.stored(placed, "placed")
@@ -309,7 +317,7 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     pairs = small.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b")
     pairs = pairs.unionByName(crowded_pairs(placed, words)).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links, labels = _more(links, labels, pairs, words)
+    labels = _more(labels, pairs, words)
 
     named = table.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node")
     named = common.stored(named, "named")
