@@ -459,24 +459,24 @@ def support_repair(spark, d):
 
 
 # ---- evaluation -----------------------------------------------------------
-_GP = f"{E_}, {Z_}, G AS (SELECT list_distance(a.v, b.v) AS g, list_distance(y.v, z.v) AS e FROM E a JOIN E b ON a.id < b.id JOIN Z y ON y.id = a.id JOIN Z z ON z.id = b.id WHERE b.id < 200)"
+_GP = f"{E_}, {Z_}, G AS (SELECT list_distance(a.v, b.v) AS g, list_distance(y.v, z.v) AS e FROM E a JOIN E b ON a.id <> b.id JOIN Z y ON y.id = a.id JOIN Z z ON z.id = b.id WHERE a.id % 100 = 0)"
 _AV = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0"
 
 
-def _pairs_200(spark, d):
-    e = emb(spark, d).where("id < 200")
-    g = K.pair_distances(e, e, "l2", F.col("i") < F.col("j")).withColumnRenamed("d", "g")
-    return g.join(K.pair_distances(flat(e), flat(e), "l2", F.col("i") < F.col("j")).withColumnRenamed("d", "e"), ["i", "j"]).select("g", "e")
+def _query_pairs(spark, d):
+    e, z = emb(spark, d), flat(emb(spark, d))
+    g, h = (K.pair_distances(t.where("id % 100 = 0"), t, "l2", F.col("i") != F.col("j")) for t in (e, z))
+    return g.withColumnRenamed("d", "g").join(h.withColumnRenamed("d", "e"), ["i", "j"]).select("g", "e")
 
 
 @query(W + _GP + f", R AS (SELECT g, e, {_AV.format('g')} AS rg, {_AV.format('e')} AS re FROM G), T AS (SELECT corr(rg, re) AS rho, sum(g * e) / sum(e * e) AS al, sum(g * g) AS gg, sum(e * e) AS ee, sum(g * e) AS ge FROM R) SELECT round(rho, 6) AS rho, round(al, 6) AS alpha, round(sqrt((al * al * ee - 2 * al * ge + gg) / gg), 6) AS stress FROM T")
 def shepard(spark, d):
-    return r6(Q.shepard(_pairs_200(spark, d)))
+    return r6(Q.shepard(_query_pairs(spark, d)))
 
 
 @query(W + _GP + ", Q AS (SELECT quantile_cont(g, [0, 0.3333333333333333, 0.6666666666666666, 1]) AS q FROM G), B AS (SELECT CAST(k AS INTEGER) AS band, g, e FROM G, Q, range(1, 4) t(k) WHERE g >= q[k] AND g <= q[k + 1]), R AS (SELECT band, rank() OVER (PARTITION BY band ORDER BY g) + (count(*) OVER (PARTITION BY band, g) - 1) / 2e0 AS rg, rank() OVER (PARTITION BY band ORDER BY e) + (count(*) OVER (PARTITION BY band, e) - 1) / 2e0 AS re FROM B) SELECT band, round(corr(rg, re), 6) AS rho, count(*) AS n FROM R GROUP BY band")
 def shepard_banded(spark, d):
-    return r6(Q.shepard_banded(_pairs_200(spark, d)))
+    return r6(Q.shepard_banded(_query_pairs(spark, d)))
 
 
 _TWO = f"{E_}, {Z_}, {D_}, {DZ_}, {KN_}, {KZ_}"
