@@ -350,3 +350,37 @@ def test_further_links_join_classes(spark):
     for part in (links[20:30], links[:3], links[30:]):
         labels = omh.merged(labels, table(part))
     assert {(bytes(r.node), bytes(r.label)) for r in labels.collect()} == at_once
+
+
+def brute_lcs(x, y):
+    row = [0] * (len(y) + 1)
+    for p in x:
+        new = [0]
+        for j, q in enumerate(y):
+            new.append(row[j] + 1 if p == q else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_is_brute_force():
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        x = rng.integers(0, (2, 5, 40)[trial % 3], rng.integers(1, 90)).astype(np.uint64)
+        y = np.delete(x, rng.integers(0, len(x), rng.integers(0, 4))) if trial % 2 else np.insert(x, rng.integers(0, len(x), 4), rng.integers(0, 5, 4).astype(np.uint64))
+        want = brute_lcs(x.tolist(), y.tolist())
+        for least in {0, want, max(want - 3, 0)}:
+            assert omh.alignment(x, y, least) == want
+        assert omh.alignment(x, y, want + 1) <= want
+
+
+def test_a_copy_without_an_early_repeat_is_linked(spark):
+    rng = random.Random(8)
+    line = " ".join(f"r{k}" for k in range(20))
+    parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(10)]
+    whole = " ".join(f"{p} {line}" for p in parts)
+    texts = [whole, whole.replace(line, "", 1)]
+    km = [omh.plain_kmers(mix(Scan([t.encode()], BREAK, lower=True).word_hashes)) for t in texts]
+    n, found = len(km[0]) + len(km[1]), brute_lcs(*(k.tolist() for k in km))
+    assert omh.similarity(*(omh.label(k, np.zeros(len(k), np.int64)) for k in km)) < 0.8  # by labels alone
+    assert found / (n - found) > 0.9
+    assert {r.class_id for r in omh.classes(docs(spark, texts)).collect()} == {0}

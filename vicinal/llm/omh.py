@@ -10,7 +10,10 @@ about 0.8**5, and miss all of them with one of about 7 in 100,000.
 Candidates are verified by a banded alignment of the labelled k-mers: matches
 whose places differ by more than the k-mers that may stay unmatched are left
 out, and the longest chain of the others that ascends in both texts has L
-matches; the similarity is L / (n1 + n2 - L).
+matches; the similarity is L / (n1 + n2 - L). Where a repeated passage is lost or
+edited, its later occurrences are labelled anew and match out of order: if the
+labelled k-mers in common would do but their chain does not, the k-mers without
+labels are aligned, by the longest common subsequence in the band.
 
 Work stays linear in large buckets: equal texts count once, and each text is
 compared with the centres of its buckets, first with the one that it shares
@@ -32,7 +35,7 @@ that repeat an id are rows of their own; a class's id is the smallest id in it.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +63,19 @@ _STEP = _RNG.integers(1, 1 << 63, PICKED, dtype=np.uint64) * np.uint64(2) + np.u
 _KMER = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Labelled k-mers of one text (hashes of its words), in text order."""
+def plain_kmers(words: np.ndarray) -> np.ndarray:
+    """K-mers of one text (hashes of its words) without labels, in text order."""
     n = max(1, len(words) - WORDS + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(words))):
         h += words[k : k + n] * _KMER[k]
-    return label(mix(h), np.zeros(n, np.int64))
+    return mix(h)
+
+
+def kmers(words: np.ndarray) -> np.ndarray:
+    """Labelled k-mers of one text (hashes of its words), in text order."""
+    h = plain_kmers(words)
+    return label(h, np.zeros(len(h), np.int64))
 
 
 def label(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -115,19 +124,20 @@ def sketches(s: Scan) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> float:
     """Of two texts' labelled k-mers, by banded alignment; 0 if below SIMILARITY
-    for certain."""
+    for certain. Given the k-mers without labels too (x, y), these are aligned
+    where the labelled ones are as many as it takes but fall out of order."""
     n = len(a) + len(b)
     least = int(np.ceil(SIMILARITY * n / (1 + SIMILARITY) - 1e-9))
     band = n - 2 * least
     if abs(len(a) - len(b)) > band:
         return 0.0
     common_, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
     if len(i) < least:
         return 0.0
+    near = np.abs(i - j) <= band
+    i, j = i[near], j[near]
     j = j[np.argsort(i)]
     if (np.diff(j) > 0).all():
         chain = len(j)
@@ -140,9 +150,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
             else:
                 tails[k] = p
         chain = len(tails)
+    if chain < least and x is not None and y is not None:
+        chain = alignment(x, y, least)
     return chain / (n - chain)
 
 
+def alignment(x: np.ndarray, y: np.ndarray, least: int) -> int:
+    """Length of the longest common subsequence, exact if it is ``least`` or
+    more. The places of such matches differ by no more than may stay unmatched
+    in either text; bit vectors of that band hold a row of the table each."""
+    m = min(len(x), len(y))
+    off = np.flatnonzero(x[:m] != y[:m])
+    head = int(off[0]) if len(off) else m
+    x, y, m = x[head:], y[head:], m - head
+    off = np.flatnonzero(x[len(x) - m :][::-1] != y[len(y) - m :][::-1])
+    tail = int(off[0]) if len(off) else m
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    left = max(least - head - tail, 0)
+    if len(x) < left or len(y) < left:
+        return head + tail
+    below, width = len(x) - left, len(x) + len(y) - 2 * left + 1
+    places: dict[int, list[int]] = {}
+    for j, h in enumerate(y.tolist()):
+        places.setdefault(h, []).append(j)
+    held: dict[int, tuple[int, int, int]] = {}  # of frequent k-mers: mask, its first place, places taken in
+    top, full, count = 1 << (width - 1), (1 << width) - 1, head + tail
+    v = full  # bit j - low; a zero is a step of the table
+    for i, h in enumerate(x.tolist()):
+        low = i - below
+        if i:
+            count += not v & 1
+            v = v >> 1 | top
+        at = places.get(h)
+        if at is None:
+            continue
+        mask, since, taken = held.get(h, (0, low, 0))
+        mask >>= low - since
+        begin = taken if len(at) > 16 else 0
+        while begin < len(at) and at[begin] < low + width:
+            if at[begin] >= low:
+                mask |= 1 << (at[begin] - low)
+            begin += 1
+        if len(at) > 16:
+            held[h] = (mask, low, begin)
+        u = v & mask
+        v = (v + u | v & ~mask) & full
+    return count + width - v.bit_count()
+
+
 def sketch_table(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, node (128-bit hash of the words; null without words), keys
     (buckets), n (k-mers) and words (32-bit hashes, packed), stored."""
@@ -170,7 +225,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            sims = [similarity(*p) for p in zip(_unpacked(x), _unpacked(y), strict=True)]
+            sims = [similarity(label(p, np.zeros(len(p), np.int64)), label(q, np.zeros(len(q), np.int64)), p, q) for p, q in zip(_unpacked(x, plain_kmers), _unpacked(y, plain_kmers), strict=True)]
             keep = [i for i, v in enumerate(sims) if v >= SIMILARITY]
             if keep:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.binary()), "b": pa.array([b[i] for i in keep], pa.binary()), "similarity": [sims[i] for i in keep]})
@@ -207,10 +262,10 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _unpacked(words: list[bytes]) -> Iterator[np.ndarray]:
-    """The labelled k-mers of texts whose words are packed."""
+def _unpacked(words: list[bytes], of: Callable[[np.ndarray], np.ndarray] = kmers) -> Iterator[np.ndarray]:
+    """The k-mers, labelled unless ``of`` is another, of texts whose words are packed."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return (kmers(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in words)
+    return (of(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in words)
 
 
 def bin_counts(texts: DataFrame) -> np.ndarray:
