@@ -384,3 +384,13 @@ def test_a_copy_without_an_early_repeat_is_linked(spark):
     assert omh.similarity(*(omh.label(k, np.zeros(len(k), np.int64)) for k in km)) < 0.8  # by labels alone
     assert found / (n - found) > 0.9
     assert {r.class_id for r in omh.classes(docs(spark, texts)).collect()} == {0}
+
+
+def test_short_texts_are_all_compared(spark):
+    texts, want = [], []
+    for k in range(60):  # each with one more word: 4 of 5 k-mers in common, or a few more
+        w = [f"s{k}x{j}" for j in range(8 + k % 3)]
+        texts += [" ".join(w), " ".join([*w, "more"])]
+        want += [2 * k, 2 * k]
+    got = {r.doc_id: r.class_id for r in omh.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want

@@ -5,7 +5,8 @@ occurrence number, so that a text's labelled k-mers are all different. A sketch
 takes the ``PICKED`` smallest under one of ``SKETCHES`` hash functions and
 keeps them in text order; equal sketches make a bucket. Two texts whose
 alignment matches 0.8 of their k-mers share a given sketch with a chance of
-about 0.8**5, and miss all of them with one of about 7 in 100,000.
+about 0.8**5, and miss all of them with one of 7 to 13 in 100,000 (texts of
+``SHORT`` k-mers or more; shorter ones do not depend on sketches).
 
 Candidates are verified by a banded alignment of the labelled k-mers: matches
 whose places differ by more than the k-mers that may stay unmatched are left
@@ -25,7 +26,9 @@ k-mers at least L = 0.8 / 1.8 * (n1 + n2) must match, so under any one order of
 all k-mers the first n1 - L + 1 and n2 - L + 1 have one in common, and no link
 is lost. The order is by how often a k-mer's bin occurs; the table of ``BINS``
 counts has that size for any input. A passage that many texts share is thus no
-reason to compare them, nor is an original that each changed too much.
+reason to compare them, nor is an original that each changed too much. Texts of
+fewer than ``SHORT`` k-mers meet all others that they can be similar to in the
+same way, in one bucket or not, so that none of their links is missed.
 
 Edge cases: texts of fewer than five words have one k-mer, all their words;
 texts without a word (null, empty) are in no group: each is its own class. Rows
@@ -53,6 +56,9 @@ SKETCHES, PICKED = 24, 5
 TAKEN = 24
 #: Texts of a bucket up to which all its pairs are candidates.
 SMALL = 32
+#: Texts of fewer k-mers are compared without regard to buckets: picks from so few
+#: agree too seldom.
+SHORT = 40
 #: Counters by which k-mers are ordered from rare to frequent.
 BINS = 1 << 20
 
@@ -305,12 +311,14 @@ def rarest(texts: DataFrame) -> DataFrame:
     return texts.select("node", "n", "label", "words").mapInArrow(run, "kmer long, place long, node binary, n long, label binary")
 
 
-def crowded_pairs(placed: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts in buckets of more than ``SMALL``, of different
-    classes, that share one of their rarest k-mers."""
+def crowded_pairs(placed: DataFrame, words: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of texts in buckets of more than ``SMALL`` and of ``others``
+    (node, n, label), of different classes, that share one of their rarest
+    k-mers."""
     large = placed.where(F.col("size") > SMALL)
     mixed = large.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
     texts = large.join(mixed, "bucket", "left_semi").select("node", "n", "label").distinct()
+    texts = texts if others is None else texts.unionByName(others).distinct()
     rare = common.stored(rarest(common.stored(texts.join(words, "node"), "crowded")), "rarest")
     shared = rare.groupBy("kmer").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("kmer")
     rare = rare.join(shared, "kmer", "left_semi")
@@ -349,7 +357,8 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     texts = common.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
     members = texts.select("node", "n", F.explode("keys").alias("bucket"))
     members = common.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
-    words = some.select("node", "words").join(members.select("node").distinct(), "node", "left_semi")
+    short = texts.where(F.col("n") * SIMILARITY < SHORT).select("node", "n")  # those of under SHORT k-mers and all that may be similar to one
+    words = some.select("node", "words").join(members.select("node").union(short.select("node")).distinct(), "node", "left_semi")
     words = common.stored(words.groupBy("node").agg(F.first("words").alias("words")), "words")
 
     # the original of many copies shares most sketches with them all
@@ -366,11 +375,12 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
 
     placed = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("label"))
     placed = common.stored(placed, "placed")
+    short = short.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
     small = placed.where(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = (F.least("n", "nb") >= F.greatest("n", "nb") * SIMILARITY) & (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b"))
     pairs = small.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b")
-    pairs = pairs.unionByName(crowded_pairs(placed, words)).distinct()
+    pairs = pairs.unionByName(crowded_pairs(placed, words, short)).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     labels = _more(labels, pairs, words)
 
