@@ -394,3 +394,12 @@ def test_short_texts_are_all_compared(spark):
         want += [2 * k, 2 * k]
     got = {r.doc_id: r.class_id for r in omh.classes(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_row_of_each_class_stays_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    texts, ids = [a, a, b, c, c, c, c, None, None], [1, 2, 2, 3, 3, None, None, None, 2]
+    left = omh.drop_copies(docs(spark, texts, ids)).select("doc_id", "text").collect()
+    assert sorted(map(repr, left)) == sorted(repr(type(left[0])(doc_id=i, text=t)) for i, t in [(1, a), (2, b), (3, c), (None, None), (2, None)])
+    left = omh.drop_copies(docs(spark, [c, c], [None, None])).collect()
+    assert len(left) == 1

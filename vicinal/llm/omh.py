@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import common
@@ -204,9 +204,15 @@ def alignment(x: np.ndarray, y: np.ndarray, least: int) -> int:
     return count + width - v.bit_count()
 
 
+def digest(column: str) -> Column:
+    """128 bits of a text as it is; null of null."""
+    return F.unhex(F.md5(column))
+
+
 def sketch_table(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, node (128-bit hash of the words; null without words), keys
-    (buckets), n (k-mers) and words (32-bit hashes, packed), stored."""
+    (buckets), n (k-mers), words (32-bit hashes, packed) and digest (of the text as
+    it is), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +225,10 @@ def sketch_table(docs: DataFrame, column: str = "text", id_column: str = "doc_id
                 node = [xxhash.xxh3_128_digest(s.word_hashes[e - k : e].tobytes()) if k else None for e, k in zip(ends, n, strict=True)]
                 keys = sketches(s).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((n > 0) * SKETCHES)].astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node, pa.binary()), lists, pa.array(np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)), pa.array(words, pa.binary())], names=["doc_id", "node", "keys", "n", "words"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node, pa.binary()), lists, pa.array(np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)), pa.array(words, pa.binary()), piece.column(2)], names=["doc_id", "node", "keys", "n", "words", "digest"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), column)
-    return common.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary"), "sketches")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), column, digest(column).alias("digest"))
+    return common.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary, digest binary"), "sketches")
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -349,9 +355,9 @@ def _more(labels: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
     return labels if found.isEmpty() else merged(labels, found)
 
 
-def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, class_id (the smallest id of its class),
-    class_size (documents of the class) and n_texts (different texts)."""
+def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One row a document, stored: doc_id, label (its class; null without words),
+    node and digest."""
     table = sketch_table(docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
     texts = common.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
@@ -384,8 +390,14 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     labels = _more(labels, pairs, words)
 
-    named = table.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node")
-    named = common.stored(named, "named")
+    named = table.select("doc_id", "node", "digest").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node", "digest")
+    return common.stored(named, "named")
+
+
+def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, class_id (the smallest id of its class),
+    class_size (documents of the class) and n_texts (different texts)."""
+    named = labelled(docs, column, id_column)
     ids = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     texts = named.where(F.col("label").isNotNull()).select("label", "node").distinct().groupBy("label").agg(F.count("*").alias("n_texts"))
     out = named.join(ids.join(texts, "label"), "label", "left")
@@ -393,7 +405,19 @@ def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` but those of documents that are not the first of
-    their class. A null id is never dropped; rows that repeat an id share its fate."""
-    found = classes(docs, column, id_column).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(id_column).cast("long") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each class: the first by id (null last), then by
+    text. Rows that repeat an id have each its own fate; of rows that repeat
+    both id and text one may stay. Rows without words all stay."""
+    named = labelled(docs, column, id_column).where(F.col("label").isNotNull())
+    held = named.groupBy("label", "doc_id", "node", "digest").agg(F.count("*").alias("rows"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "digest")
+    best = held.groupBy("label").agg(F.min(first).alias("best"), F.sum("rows").alias("size")).where("size > 1")
+    marked = held.join(best, "label").withColumn("kept", first == F.col("best")).where("not kept or rows > 1")
+    marked = common.stored(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")), "marked")
+    match = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (digest(column) == F.col("_digest"))
+    out = docs.join(marked, match, "left_anti")
+    several = marked.where("_kept")
+    if several.isEmpty():
+        return out
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return out.unionByName(docs.join(several, match).groupBy("_id", "_digest").agg(one).select("row.*"))
