@@ -134,3 +134,15 @@ def test_stream_absorbs_duplicates_and_survives_a_rerun(spark, cloud, tmp_path):
         s.ingest(rows, batch)
     s.ingest(vectors(spark, cloud).select((F.col("id") + 2000).alias("id"), "v"), 2)
     assert s.table("members").count() == 180 and s.table("reps").count() == 60
+
+
+def test_knn_ties_go_by_id_and_large_norms_lose_none(spark):
+    copies = vectors(spark, [[5.0, 5.0]] * 200 + [[0.0, 0.0]])
+    query = copies.where("id = 200")
+    assert [r.j for r in K.nearest(query, copies, 3).orderBy("rk").collect()] == [0, 1, 2]
+    far = 1e7 + np.random.default_rng(2).normal(size=(300, 3)) * 1e-3  # the product formula is off by more than the distances
+    got = {(r.i, r.rk): r.j for r in K.knn(vectors(spark, far), 2).collect()}
+    d = np.sqrt(((far[:, None] - far[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(300):
+        assert [got[i, 1], got[i, 2]] == np.lexsort((np.arange(300), d[i]))[:2].tolist()

@@ -14,6 +14,10 @@ from vicinal.functions.metrics import METRICS, MetricSpec
 #: Rows of a block; a pair of blocks is one unit of the exact join.
 BLOCK = 1024
 KNN = "i long, rk int, j long, d double"
+#: Pairs whose exact distances are taken at a time.
+STEP = 1 << 16
+#: Rounding of a squared distance by the product formula, as a share of the norms.
+ROUNDING = 1e-12
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -43,33 +47,47 @@ def l2_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def exact(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, from differences."""
+    parts = [((a[row[k : k + STEP]] - b[col[k : k + STEP]]) ** 2).sum(1) for k in range(0, len(row), STEP)]
+    return np.sqrt(np.concatenate(parts)) if parts else np.zeros(0)
+
+
+def first_k(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, k: int, skip_equal_id: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the k nearest of ``b`` for each of ``a``,
+    ties by id."""
+    g = l2_kernel(a, b)
+    if skip_equal_id:
+        g[qi[:, None] == ci[None]] = np.inf
+    off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])
+    n = min(k, len(ci))
+    most = np.partition(g + off, n - 1, axis=1)[:, n - 1 : n]  # at least k are no farther
+    row, col = np.nonzero((g - off <= most) & np.isfinite(g))
+    d = exact(a, b, row, col)
+    order = np.lexsort((ci[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    ok = np.arange(len(row)) - np.searchsorted(row, np.arange(len(a)))[row] < k
+    return row[ok], col[ok], d[ok]
+
+
 def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = True) -> DataFrame:
     """The k nearest rows of ``corpus`` for each row of ``query`` by Euclidean
     distance, ties by id: (i, rk, j, d).
 
-    Blocks of rows meet in a join of blocks; a BLAS product picks a few more
-    than k in each pair, whose distances are then taken from differences. Only
-    these partial results are shuffled, so neither side is broadcast."""
+    Blocks of rows meet in a join of blocks; a BLAS product picks in each pair
+    all that may be among the k by its rounding bound, ties included, whose
+    distances are then taken from differences. Only the first k of these are
+    shuffled, so neither side is broadcast."""
     left = blocks(query).select(F.col("ids").alias("qi"), F.col("m").alias("qm"))
     right = blocks(corpus).select(F.col("ids").alias("ci"), F.col("m").alias("cm"))
-    more = k + 9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
                 a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
-                g = l2_kernel(a, b)
-                if skip_equal_id:
-                    g[qi[:, None] == ci[None]] = np.inf
-                n = min(more, len(ci))
-                at = np.argpartition(g, n - 1, axis=1)[:, :n]
-                d = np.sqrt(((a[:, None] - b[at]) ** 2).sum(2))
-                d[~np.isfinite(np.take_along_axis(g, at, 1))] = np.inf
-                order = np.lexsort((ci[at], d), axis=1)[:, :k]
-                d, j = np.take_along_axis(d, order, 1), ci[np.take_along_axis(at, order, 1)]
-                ok = np.isfinite(d)
-                yield pa.RecordBatch.from_pydict({"i": np.repeat(qi, d.shape[1])[ok.ravel()], "j": j[ok], "d": d[ok]})
+                row, col, d = first_k(a, b, qi, ci, k, skip_equal_id)
+                yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": d})
 
     some = left.crossJoin(right).mapInArrow(run, "i long, j long, d double")
     rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
