@@ -146,3 +146,16 @@ def test_knn_ties_go_by_id_and_large_norms_lose_none(spark):
     np.fill_diagonal(d, np.inf)
     for i in range(300):
         assert [got[i, 1], got[i, 2]] == np.lexsort((np.arange(300), d[i]))[:2].tolist()
+
+
+def test_net_of_large_buckets_covers_and_takes_the_nearest(spark):
+    x = np.r_[np.arange(120) * 0.01, 50 + np.arange(9) * 0.01][:, None]  # two buckets, the first netted in parts
+    e = vectors(spark, x)
+    net = N.epsilon_net(e, e.where("id in (0, 120)"), 0.1, max_bucket=30).toPandas().sort_values("id")
+    assert net.id.tolist() == list(range(129))
+    d = np.abs(x[net.id] - x[net.rep])[:, 0]
+    assert d.max() <= 0.1 + 1e-9
+    reps = np.unique(net.rep)
+    first = reps[reps < 120]
+    assert np.diff(np.sort(x[first, 0])).min() > 0.1 - 1e-9
+    assert np.allclose(d[:120], np.abs(x[:120] - x[first].T).min(1))

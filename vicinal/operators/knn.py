@@ -29,18 +29,50 @@ def checked(df: DataFrame, id_column: str = "vec_id", column: str = "embedding")
     return df.select(F.col(id_column).cast("long").alias("id"), F.when(bad, F.raise_error(F.lit("a vector has a null or NaN")).cast("array<double>")).otherwise(v).alias("v"))
 
 
-def blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Pack (id, v) rows into matrices of up to ``size`` rows."""
+def blocks(df: DataFrame, size: int = BLOCK, by: str | None = None) -> DataFrame:
+    """Pack (id, v) rows into matrices of up to ``size`` rows, each of one value
+    ``g`` of the column ``by`` if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                b = batch.slice(at, size)
-                ids, lists = b.column(0).to_numpy(), b.column(1)
-                m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                yield pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "m": [m.astype("<f8").tobytes()]})
+            g = batch.column(2).to_numpy()
+            order = np.argsort(g, kind="stable")
+            batch, g = batch.take(pa.array(order)), g[order]
+            for begin, end in zip(np.searchsorted(g, np.unique(g)), np.searchsorted(g, np.unique(g), side="right"), strict=True):
+                for at in range(begin, end, size):
+                    b = batch.slice(at, min(size, end - at))
+                    ids, lists = b.column(0).to_numpy(), b.column(1)
+                    m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                    yield pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "m": [m.astype("<f8").tobytes()], "g": [int(g[at])]})
 
-    return df.select("id", "v").mapInArrow(run, "ids binary, m binary")
+    return df.select("id", "v", (F.lit(0) if by is None else F.col(by)).cast("long").alias("g")).mapInArrow(run, "ids binary, m binary, g long")
+
+
+def block_pairs(query: DataFrame, corpus: DataFrame, by: str | None = None) -> DataFrame:
+    """Blocks (qi, qm) of ``query`` with blocks (ci, cm) of ``corpus``, of equal
+    ``by`` if given; no value of it gathers in one task."""
+    made = [blocks(df) if by is None else blocks(df, by=by) for df in (query, corpus)]
+    left = made[0].select(F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("g").alias("g1"))
+    right = made[1].select(F.col("ids").alias("ci"), F.col("m").alias("cm"), F.col("g").alias("g2"))
+    # not as an equality, by which the rows would be dealt
+    pairs = left.crossJoin(right) if by is None else left.join(right, (F.col("g1") <= F.col("g2")) & (F.col("g1") >= F.col("g2")))
+    return pairs.select("qi", "qm", "ci", "cm")
+
+
+def within(df: DataFrame, eps: float, by: str | None = None) -> DataFrame:
+    """Pairs (i, j), i < j, of rows within ``eps``, of equal ``by`` if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
+                a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
+                off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None] + eps**2)
+                row, col = np.nonzero((l2_kernel(a, b) - off <= eps**2) & (qi[:, None] < ci[None]))
+                ok = exact(a, b, row, col) <= eps
+                yield pa.RecordBatch.from_pydict({"i": qi[row[ok]], "j": ci[col[ok]]})
+
+    return block_pairs(df, df, by).mapInArrow(run, "i long, j long")
 
 
 def l2_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,16 +102,15 @@ def first_k(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, k: int
     return row[ok], col[ok], d[ok]
 
 
-def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = True) -> DataFrame:
+def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = True, by: str | None = None) -> DataFrame:
     """The k nearest rows of ``corpus`` for each row of ``query`` by Euclidean
-    distance, ties by id: (i, rk, j, d).
+    distance, ties by id: (i, rk, j, d); with ``by``, among those of equal value
+    in this column.
 
     Blocks of rows meet in a join of blocks; a BLAS product picks in each pair
     all that may be among the k by its rounding bound, ties included, whose
     distances are then taken from differences. Only the first k of these are
     shuffled, so neither side is broadcast."""
-    left = blocks(query).select(F.col("ids").alias("qi"), F.col("m").alias("qm"))
-    right = blocks(corpus).select(F.col("ids").alias("ci"), F.col("m").alias("cm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +120,7 @@ def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = T
                 row, col, d = first_k(a, b, qi, ci, k, skip_equal_id)
                 yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": d})
 
-    some = left.crossJoin(right).mapInArrow(run, "i long, j long, d double")
+    some = block_pairs(query, corpus, by).mapInArrow(run, "i long, j long, d double")
     rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return some.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
 

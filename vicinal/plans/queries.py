@@ -665,6 +665,7 @@ def fps_landmarks(spark, d):
 
 @query()
 def epsilon_net(spark, d):
+    shared(spark)
     e = emb(spark, d)
     return N.epsilon_net(e, marks(e), EPS)
 
