@@ -159,3 +159,15 @@ def test_net_of_large_buckets_covers_and_takes_the_nearest(spark):
     first = reps[reps < 120]
     assert np.diff(np.sort(x[first, 0])).min() > 0.1 - 1e-9
     assert np.allclose(d[:120], np.abs(x[:120] - x[first].T).min(1))
+
+
+def test_emd_meets_all_rows(spark, tmp_path):
+    from vicinal.plans.queries import QUERIES
+
+    x = np.random.default_rng(3).normal(size=(110, 64))
+    rows = spark.createDataFrame([(i, [float(y) for y in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.i, r.j): r.d for r in QUERIES["emd_pairs"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, j) for i in (0, 100) for j in range(110) if i != j}
+    m = np.maximum(x, 0) / np.maximum(x, 0).sum(1, keepdims=True)
+    assert abs(got[100, 7] - N.transport(m[100], m[7], N.grid_cost(8))) < 1e-6 and got[0, 100] == got[100, 0]
