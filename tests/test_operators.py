@@ -171,3 +171,12 @@ def test_emd_meets_all_rows(spark, tmp_path):
     assert set(got) == {(i, j) for i in (0, 100) for j in range(110) if i != j}
     m = np.maximum(x, 0) / np.maximum(x, 0).sum(1, keepdims=True)
     assert abs(got[100, 7] - N.transport(m[100], m[7], N.grid_cost(8))) < 1e-6 and got[0, 100] == got[100, 0]
+
+
+def test_large_tables_are_whole_in_landmarks_and_geodesics(spark, cloud):
+    e = vectors(spark, np.r_[cloud, cloud[:5] + 100])  # two parts without a path between
+    few = [r.id for r in N.fps(e, 20).orderBy("k").collect()]
+    assert [r.id for r in N.fps(e, 20, rows=10).orderBy("k").collect()] == few
+    marks = e.where("id in (3, 17, 40, 62)")
+    got, want = ({(r.a, r.b): r.g for r in N.geodesics(e, marks, 3, rows).collect()} for rows in (10, 100))
+    assert got == want and got[3, 62] == float("inf") and 0 < got[3, 17] < 100

@@ -660,6 +660,7 @@ def smooth_knn(spark, d):
 
 @query()
 def fps_landmarks(spark, d):
+    shared(spark)
     return N.fps(emb(spark, d), 32)
 
 
@@ -672,12 +673,14 @@ def epsilon_net(spark, d):
 
 @query()
 def geodesics(spark, d):
+    shared(spark)
     e = emb(spark, d)
     return r6(N.geodesics(e, marks(e), KNN))
 
 
 @query()
 def mds_layout(spark, d):
+    shared(spark)
     e = emb(spark, d)
     g = N.geodesics(e, marks(e), KNN).orderBy("a", "b").toPandas()
     z, _ = N.classical_mds(g["g"].to_numpy().reshape(MARKS, MARKS))
