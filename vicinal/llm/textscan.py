@@ -1,10 +1,11 @@
 """Words, lines and their 64-bit hashes of many texts at once, in numpy.
 
 All texts of a piece of an Arrow batch lie in one byte array, each followed by a
-line feed. A prefix sum of (random value of byte) * BASE**position, modulo
-2**64, gives the hash of any stretch of bytes by one subtraction and one
-multiplication, so words, word prefixes and lines need no Python objects.
-Two stretches with different bytes share a hash with a chance of about 2**-64.
+line feed. A stretch of up to ``LONG`` bytes is hashed eight bytes at a time, all
+stretches together: each step mixes the eight bytes into the state by a
+bijection, so that no structure of a text makes two stretches meet. Longer ones
+go to xxhash one by one. Two stretches with different bytes share a hash with a
+chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
+import xxhash
 
 _RNG = np.random.default_rng(20240607)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED, _SIZE = _RNG.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of a stretch that is hashed in numpy, at most.
+LONG = 64
+#: What counts of the eight bytes read for the last 0 to 8 of a stretch.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Multipliers of the words of a window.
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -33,25 +37,6 @@ CONTINUES = np.zeros(256, bool)
 CONTINUES[0x80:0xC0] = True
 
 
-class _Powers:
-    """BASE**i and BASE**-i, grown on demand."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                a = np.full(size, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)
@@ -76,16 +61,25 @@ class Scan:
         self.start = self.end - lens
 
     @cached_property
-    def prefix(self) -> np.ndarray:
-        up, _ = _powers.get(len(self.data) + 1)
-        out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_VALUE[self.data] * up[: len(self.data)], out=out[1:])
-        return out
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on, one row each."""
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of the stretches [start, end); an empty one has hash 0."""
-        _, down = _powers.get(len(self.data) + 1)
-        return mix((self.prefix[end] - self.prefix[start]) * down[start])
+        """Of the stretches [start, end)."""
+        size = end - start
+        out = mix(size.astype(np.uint64) * _SIZE + _SEED)
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+        at, left = start[live], size[live]
+        while len(live):
+            bytes_ = self._eights[at].view("<u8").ravel() & _LAST[np.minimum(left, 8)]
+            out[live] = mix(out[live] ^ bytes_)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        data, digest = memoryview(self.data), xxhash.xxh3_64_intdigest
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = digest(data[start[i] : end[i]])
+        return out
 
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
