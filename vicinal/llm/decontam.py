@@ -1,27 +1,32 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a piece of a task's documents. Its words become symbols: words of
-the test items have numbers, all others separate, and only stretches of test
-words that could hold a whole window are indexed (a window cannot lie anywhere
-else). The index is a suffix array's Burrows-Wheeler transform in a wavelet
-matrix; all windows are searched backwards at once by its ranks, occurrences
-are located from sampled suffix positions, and the covered words are merged to
-spans. Nothing is shuffled.
-
-The items are cut into blocks of bounded text size that lie as files in the
-shared folder; a task holds one block at a time, so their total size is free.
+A shard is a piece of a task's documents: up to ``SHARD_WORDS`` words, all of
+them symbols of the shard's own vocabulary, with a separator after each text
+(longer texts go on in the next shard, which takes up ``WIDTH`` - 1 words again).
+Its index is the suffix array's Burrows-Wheeler transform in a wavelet matrix,
+built once. The windows of all test items are searched in it backwards by the
+matrix's ranks, occurrences are located from sampled suffix positions, and the
+covered words are merged to spans. Nothing is shuffled.
+
+The items are cut into blocks of bounded text size, written by tasks to the
+shared folder; a task holds ``HELD`` blocks at a time, so their total size is
+free.
 
 Edge cases: a null or empty text has no words; items without words have no
 windows, those of fewer than ``WIDTH`` words are one window; items that repeat
-an id count once, a null id is the empty string; with no items nothing is hit.
-Columns of the input are kept, those named like a result are replaced.
+an id count once, a null id is the empty string; with no items nothing is hit,
+and an empty table has no rows. Rows that repeat are judged alike. A text of any
+length is searched whole, with some 60 bytes of working memory a byte and the
+index of one shard. Columns of the input are kept, those named like a result are
+replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,8 @@ from vicinal.llm import common
 from vicinal.llm.textscan import BREAK, Scan
 
 WIDTH = 10
-#: Bytes of item text in a block, and bytes of document text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+#: Bytes of item text in a block, blocks that a Python worker holds, words of a shard.
+BLOCK_BYTES, HELD, SHARD_WORDS = 1 << 20, 8, 400_000
 #: Every so many positions of a stretch has its suffix's place stored.
 SAMPLED = 8
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -64,24 +69,28 @@ class WaveletMatrix:
 
 
 def suffix_array(seq: np.ndarray, separator: int = 0) -> np.ndarray:
-    """By prefix doubling. Separators are smaller than words and differ from
-    each other by position, so no comparison runs past one."""
+    """By prefix doubling of what is not told apart yet. Separators are smaller
+    than words and differ from each other by position, so no comparison runs
+    past one."""
     n = len(seq)
     gaps = seq == separator
-    rank = np.where(gaps, np.cumsum(gaps) - 1, seq.astype(np.int64) + n)
-    order = np.argsort(rank, kind="stable")
-    step = 1
+    first = np.where(gaps, np.cumsum(gaps) - 1, seq.astype(np.int64) + n)
+    order = np.argsort(first, kind="stable")
+    rank, slots, own, step = np.empty(n, np.int64), np.arange(n), first[order], 1
+    held = order
     while True:
-        s = rank[order]
-        dense = np.r_[0, np.cumsum(s[1:] != s[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = dense
-        if dense[-1] == n - 1:
+        fresh = np.r_[True, own[1:] != own[:-1]]
+        at = np.flatnonzero(fresh)
+        size = np.diff(np.r_[at, len(own)])
+        rank[held] = np.repeat(slots[at], size)  # of equal ones: the first's slot
+        open_ = np.repeat(size > 1, size)
+        if not open_.any():
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        rank = rank * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        slots, held = slots[open_], held[open_]
+        key = rank[held] * (n + 1) + rank[held + step] + 1
+        by = np.argsort(key, kind="stable")
+        held, own = held[by], key[by]
+        order[slots] = held
         step *= 2
 
 
@@ -152,70 +161,46 @@ class Block:
         pairs = np.unique(np.c_[of.ravel(), number[item]], axis=0)
         self.item_of, self.item_start = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1))
 
-    @cached_property
-    def least(self) -> int:
-        return int(self.lens.min(initial=WIDTH))
-
-    def find(self, s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Covered word starts and ends [first, last), and (text, item) pairs."""
-        none = np.zeros(0, np.int64)
-        h, doc = s.word_hashes, s.words[2]
-        if not len(self.lens) or not len(h):
-            return none, none, none, none
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = np.flatnonzero(self.vocabulary[at] == h)
-        if not len(known):
-            return none, none, none, none
-        fresh = np.r_[True, (np.diff(known) != 1) | (np.diff(doc[known]) != 0)]
-        stretch = np.cumsum(fresh) - 1
-        known = known[(np.bincount(stretch) >= self.least)[stretch]]
-        if not len(known):
-            return none, none, none, none
-        fresh = np.flatnonzero(np.r_[True, (np.diff(known) != 1) | (np.diff(doc[known]) != 0)])
-        # stretch, 0, stretch, 0, ...
-        cut = np.r_[fresh[1:], len(known)]
-        seq = np.insert(at[known] + 1, cut, 0)
-        word = np.insert(known, cut, -1)
-        index = FMIndex(seq, len(self.vocabulary) + 1)
-        low, high = index.search(self.patterns, self.lens)
+    def find(self, index: FMIndex, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows in an index over symbols 1 + number in
+        ``vocabulary``: place, length and pattern."""
+        if not len(self.lens) or not len(vocabulary):
+            return (np.zeros(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+        symbol = np.r_[0, np.where(vocabulary[at] == self.vocabulary, at + 1, -1)]
+        patterns = symbol[self.patterns]
+        there = np.flatnonzero((patterns >= 0).all(1))
+        low, high = index.search(patterns[there], self.lens[there])
         hit = np.flatnonzero(high > low)
         many = (high - low)[hit]
-        pattern = np.repeat(hit, many)
-        first = word[index.locate(common.ragged(low[hit], many))]
-        own = np.unique(doc[first] * len(self.lens) + pattern)
-        text, p = own // len(self.lens), own % len(self.lens)
-        n = (self.item_start[1:] - self.item_start[:-1])[p]
-        items = self.item_of[common.ragged(self.item_start[p], n)]
-        return first, first + self.lens[pattern], np.repeat(text, n), items
+        pattern = np.repeat(there[hit], many)
+        return index.locate(common.ragged(low[hit], many)), self.lens[pattern], pattern
+
+    def items(self, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many items hold each pattern, and their numbers one after another."""
+        n = (self.item_start[1:] - self.item_start[:-1])[pattern]
+        return n, self.item_of[common.ragged(self.item_start[pattern], n)]
 
 
 def _blocks(items: DataFrame, id_column: str, column: str) -> list[str]:
     """Write the items as blocks to the shared folder; their file names."""
     uri = common.shared_dir(items.sparkSession, "items")
-    fs, root = common.filesystem(uri)
-    fs.create_dir(root, recursive=True)
-    names, ids, texts, size = [], [], [], 0
-
-    def flush() -> None:
-        if ids:
-            names.append(f"{uri}/{len(names)}")
-            with fs.open_output_stream(f"{root}/{len(names) - 1}", compression=None) as f:
-                f.write(pickle.dumps(Block(ids, texts)))
-            ids.clear()
-            texts.clear()
-
-    for row in items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.coalesce(F.col(column), F.lit(""))).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1].encode())
-        size += len(texts[-1])
-        if size >= BLOCK_BYTES:
-            flush()
-            size = 0
-    flush()
-    return names
-
-
-@lru_cache(maxsize=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = common.filesystem(uri)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for piece in common.slices(batch, "text", BLOCK_BYTES):
+                name = f"{uri}/{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{root}/{name.rsplit('/', 1)[1]}", compression=None) as f:
+                    f.write(pickle.dumps(Block([x.decode() for x in common.values(piece, "id")], common.values(piece, "text"))))
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    rows = items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    return [r[0] for r in common.stored(rows.mapInArrow(run, "name string"), "blocks").collect()]  # a name a block
+
+
+@lru_cache(maxsize=HELD)
 def _block(name: str) -> Block:
     fs, path = common.filesystem(name)
     with fs.open_input_stream(path, compression=None) as f:
@@ -225,17 +210,28 @@ def _block(name: str) -> Block:
 def search(s: Scan, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
     """Of the texts of a scan: first and last-but-one word of the merged spans,
     and the sorted ids of the items of each text."""
-    step = np.zeros(len(s.words[0]) + 1, np.int64)
+    doc, n = s.words[2], len(s.words[0])
+    step = np.zeros(n + 1, np.int64)
     found: list[set[str]] = [set() for _ in range(s.n)]
-    for name in names:
-        block = _block(name)
-        first, last, text, item = block.find(s)
-        np.add.at(step, first, 1)
-        np.add.at(step, last, -1)
-        for t, i in zip(text.tolist(), item.tolist(), strict=True):
-            found[t].add(block.names[i])
+    for begin in range(0, n if names else 0, SHARD_WORDS):
+        end = min(begin + SHARD_WORDS + WIDTH - 1, n)
+        own = doc[begin:end]
+        vocabulary, symbol = np.unique(s.word_hashes[begin:end], return_inverse=True)
+        # text, 0, text, 0, ...
+        cut = np.r_[np.flatnonzero(np.diff(own)) + 1, end - begin]
+        word = np.insert(np.arange(begin, end), cut, -1)
+        index = FMIndex(np.insert(symbol.astype(np.int32) + 1, cut, 0), len(vocabulary) + 1)
+        for name in names:
+            block = _block(name)
+            place, size, pattern = block.find(index, vocabulary)
+            first = word[place]
+            np.add.at(step, first, 1)
+            np.add.at(step, first + size, -1)
+            both = np.unique(doc[first] * max(1, len(block.lens)) + pattern)
+            many, item = block.items(both % max(1, len(block.lens)))
+            for t, i in zip(np.repeat(both // max(1, len(block.lens)), many).tolist(), item.tolist(), strict=True):
+                found[t].add(block.names[i])
     hit = np.cumsum(step)[:-1] > 0
-    doc = s.words[2]
     begins = hit & np.r_[True, ~hit[:-1] | (doc[1:] != doc[:-1])][: len(hit)]
     ends = hit & np.r_[~hit[1:] | (doc[1:] != doc[:-1]), True][: len(hit)]
     return hit, np.flatnonzero(begins), np.flatnonzero(ends) + 1, [sorted(x) for x in found]
@@ -255,7 +251,7 @@ def find(docs: DataFrame, items: DataFrame, column: str = "text", id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in common.slices(batch, column, SHARD_BYTES):
+            for piece in common.slices(batch, column):
                 texts = common.values(piece, column)
                 s = Scan(texts, BREAK, lower=True)
                 hit, first, last, found = search(s, names)
