@@ -7,7 +7,7 @@ pair left drop out. Words seen before come from a bounded cache, so a round
 only sees new ones.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; a
-text of any length is encoded whole; special tokens written out in a text take
+text of any length is encoded whole, with some 40 bytes of working memory a byte; special tokens written out in a text take
 their own id, as the tokenizer file says. Other columns are kept; the columns
 that are added replace columns of those names.
 """
@@ -28,8 +28,8 @@ from vicinal.llm import common
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept by a Python worker.
-CACHE_WORDS = 1_200_000
+#: Words kept by a Python worker (some 130 MB).
+CACHE_WORDS = 250_000
 #: Marks before a key, bytes that no UTF-8 text holds.
 VERBATIM, SPECIAL = b"\xff", b"\xfe"
 NONE = np.iinfo(np.int32).max

@@ -44,6 +44,8 @@ FRAME_IDS = 1 << 16
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_MAGIC, SEEK_DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
+#: Words kept by a Python worker (some 200 MB; the library is slower than a lookup).
+KEPT_WORDS = 1_200_000
 
 
 class Writer:
@@ -152,7 +154,7 @@ class LibraryWords:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         plain = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.joint = plain[-1] if plain else None
-        self.parts = PieceCache(self._ask)
+        self.parts = PieceCache(self._ask, KEPT_WORDS)
 
     def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.zeros(len(words), np.int64)
