@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from vicinal.llm import bpe, cascade, common, decontam, linededup, omh, quality, sharding, tokenfile, toxicity, warc
 from vicinal.llm.textscan import BREAK, Scan, mix
@@ -124,9 +125,16 @@ def brute_windows(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_decontamination_is_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, shard", [(1, 50), (1 << 20, 400_000)])
+def test_decontamination_is_brute_force(spark, monkeypatch, block, shard):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    real = decontam.search
+
+    def search(*args):
+        decontam.SHARD_WORDS = shard  # in the workers too
+        return real(*args)
+
+    monkeypatch.setattr(decontam, "search", search)
     rnd = random.Random(4)
     vocab = [f"w{i}" for i in range(12)] + ["É", "the"]
     say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
@@ -181,18 +189,23 @@ def test_line_dedup_is_brute_force(spark):
     assert linededup.drop(docs(spark, []), least_docs=1).count() == 0
 
 
+def word_hashes(t):
+    return (Scan([(t or "").encode()], BREAK, lower=True).word_hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def brute_classes(texts):
-    km = []
-    for t in texts:
-        s = Scan([(t or "").encode()], BREAK, lower=True)
-        km.append(omh.kmers(mix(s.word_hashes & np.uint64(0xFFFFFFFF))) if s.n_words[0] else None)
+    """By the longest common subsequence of the words themselves."""
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
     root = list(range(len(texts)))
     find = lambda a: a if root[a] == a else find(root[a])
     for a in range(len(texts)):
         for b in range(a):
-            if km[a] is not None and km[b] is not None and omh.similarity(km[a], km[b]) >= 0.8:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
+            n = len(words[a]) + len(words[b])
+            if words[a] and words[b] and 9 * 2 * min(len(words[a]), len(words[b])) >= 8 * n:  # else too few can match
+                found = brute_lcs(words[a], words[b])
+                if found >= 0.8 * (n - found):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
     return [find(a) for a in range(len(texts))]
 
 
@@ -215,7 +228,7 @@ def test_near_duplicates_are_brute_force(spark):
 
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(omh, "SMALL", 1)  # all pairs come by their rarest k-mers
+    monkeypatch.setattr(omh, "ROUNDS", 1)
     rnd = random.Random(11)
     passage = [f"p{i}" for i in range(30)]
     texts = []
@@ -231,7 +244,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
-def test_crowded_pairs_cover_all_similar_texts(spark):
+def test_overlapping_pairs_cover_all_similar_by_kmers(spark):
     rnd = random.Random(12)
     base, rows, km = [rnd.randrange(1 << 32) for _ in range(90)], [], {}
     for k in range(70):
@@ -240,18 +253,40 @@ def test_crowded_pairs_cover_all_similar_texts(spark):
             w[rnd.randrange(len(w))] = rnd.randrange(1 << 32)
         w = np.array(w[rnd.randint(0, 12) :], "<u4")
         node = bytes([k]) * 16
-        km[node] = omh.kmers(mix(w.astype(np.uint64)))
-        rows.append((node, len(km[node]), bytearray(zstandard.compress(w.tobytes()))))
-    words = spark.createDataFrame(rows, "node binary, n long, words binary")
-    placed = words.selectExpr("1L as bucket", "node", "n", "1000L as size", "node as label")
-    got = {(bytes(r.a), bytes(r.b)) for r in omh.crowded_pairs(placed, words.select("node", "words")).collect()}
-    want = {(a, b) for a in km for b in km if a < b and omh.similarity(km[a], km[b]) >= omh.SIMILARITY}
+        km[node] = set(omh.kmers(mix(w.astype(np.uint64))).tolist())
+        rows.append((node, len(km[node]), node, bytearray(zstandard.compress(w.tobytes()))))
+    texts = spark.createDataFrame(rows, "node binary, n long, label binary, words binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in omh.overlapping(common.Scratch(spark, "t"), texts).collect()}
+    want = {(a, b) for a in km for b in km if a < b and len(km[a] & km[b]) >= omh.SIMILARITY * len(km[a] | km[b])}
     assert len(want) > 50 and want <= got
+    one = texts.withColumn("label", F.lit(b"x"))
+    assert omh.overlapping(common.Scratch(spark, "t"), one).count() == 0 and omh.rarest(one).count() == 0
+
+
+def thue_morse(rounds=11):
+    a, b = "a", "b"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_of_like_structure_do_not_collide(spark):
+    a, b = thue_morse()
+    s = Scan([a.encode(), b.encode()])
+    assert len(set(s.word_hashes.tolist())) == 2
+    assert cascade.base_counts([f"{a}\n{b}".encode()])["n_dup_lines"] == 0
+    items = spark.createDataFrame([("i", a)], "item_id string, text string")
+    assert [r.n_hit for r in sorted(decontam.find(docs(spark, [a, b]), items).collect())] == [1, 0]
+    rows = linededup.drop(docs(spark, [f"{a}\n{b}"] * 10)).collect()
+    assert {r.n_dropped for r in rows} == {2}
+    words = " ".join(f"w{k}" for k in range(30))
+    left = omh.classes(docs(spark, [f"{words} {a}", f"{words} {b}", a, b])).collect()
+    assert {r.doc_id: r.class_id for r in left} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
 def test_order_matters_to_the_sketch():
-    w = np.arange(1, 60, dtype=np.uint64)
-    a, b = omh.kmers(mix(w)), omh.kmers(mix(np.r_[w[30:], w[:30]]))
+    w = np.arange(1, 60, dtype=np.uint32)
+    a, b = w, np.r_[w[30:], w[:30]]
     assert omh.similarity(a, a) == 1 and omh.similarity(a, b) < 0.8
 
 
@@ -306,8 +341,6 @@ def test_pairs_of_terms_are_learned():
 
 
 def test_toxicity_and_quality_on_small_tables(spark):
-    from pyspark.sql import functions as F
-
     rnd = random.Random(9)
     say = lambda: " ".join(rnd.choice(["sun", "moon", "tree", "river", "stone"]) for _ in range(40))
     texts = [say() + (" idiot" if i % 3 == 0 else "") for i in range(150)] + [None, ""]
@@ -345,10 +378,11 @@ def test_further_links_join_classes(spark):
     name = lambda i: bytes([i]) * 16
     links = [tuple(rnd.sample(range(60), 2)) for _ in range(45)]
     table = lambda rows: spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in rows], "a binary, b binary")
-    at_once = {(bytes(r.node), bytes(r.label)) for r in omh.components(table(links)).collect()}
-    labels = omh.components(table(links[:20]))
+    at_once = {(bytes(r.node), bytes(r.label)) for r in omh.components(common.Scratch(spark, "t"), table(links)).collect()}
+    scratch = common.Scratch(spark, "t")
+    labels = omh.components(scratch, table(links[:20]))
     for part in (links[20:30], links[:3], links[30:]):
-        labels = omh.merged(labels, table(part))
+        labels = omh.merged(scratch, labels, table(part))
     assert {(bytes(r.node), bytes(r.label)) for r in labels.collect()} == at_once
 
 
@@ -379,10 +413,7 @@ def test_a_copy_without_an_early_repeat_is_linked(spark):
     parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(10)]
     whole = " ".join(f"{p} {line}" for p in parts)
     texts = [whole, whole.replace(line, "", 1)]
-    km = [omh.plain_kmers(mix(Scan([t.encode()], BREAK, lower=True).word_hashes)) for t in texts]
-    n, found = len(km[0]) + len(km[1]), brute_lcs(*(k.tolist() for k in km))
-    assert omh.similarity(*(omh.label(k, np.zeros(len(k), np.int64)) for k in km)) < 0.8  # by labels alone
-    assert found / (n - found) > 0.9
+    assert omh.similarity(*map(word_hashes, texts)) > 0.9
     assert {r.class_id for r in omh.classes(docs(spark, texts)).collect()} == {0}
 
 

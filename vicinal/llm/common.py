@@ -8,7 +8,6 @@ the folder named by ``spark.checkpoint.dir`` and are reached through
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -31,9 +30,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh URI below the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vicinal-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _dirs.append(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = base if "://" in base else f"file://{base}"
     uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _dirs.append(uri)
@@ -65,6 +62,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+class Scratch:
+    """Tables of one operator's run below one folder, to be dropped together
+    once its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.uri, self.n = shared_dir(spark, name), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.uri}/{self.n}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{self.n}")
+
+    def drop(self) -> None:
+        drop_dir(self.uri)
+        _dirs.remove(self.uri)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about ``max_bytes`` in ``column``; a
     longer value is a piece of its own, never cut."""

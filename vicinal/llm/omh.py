@@ -3,42 +3,49 @@
 The k-mers of a text are its windows of five words, each labelled with its
 occurrence number, so that a text's labelled k-mers are all different. A sketch
 takes the ``PICKED`` smallest under one of ``SKETCHES`` hash functions and
-keeps them in text order; equal sketches make a bucket. Two texts whose
-alignment matches 0.8 of their k-mers share a given sketch with a chance of
-about 0.8**5, and miss all of them with one of 7 to 13 in 100,000 (texts of
-``SHORT`` k-mers or more; shorter ones do not depend on sketches).
-
-Candidates are verified by a banded alignment of the labelled k-mers: matches
-whose places differ by more than the k-mers that may stay unmatched are left
-out, and the longest chain of the others that ascends in both texts has L
-matches; the similarity is L / (n1 + n2 - L). Where a repeated passage is lost or
-edited, its later occurrences are labelled anew and match out of order: if the
-labelled k-mers in common would do but their chain does not, the k-mers without
-labels are aligned, by the longest common subsequence in the band.
-
-Work stays linear in large buckets: equal texts count once, and each text is
-compared with the centres of its buckets, first with the one that it shares
-most sketches with. A centre is the member that shares most sketches with
-others, as the original of many copies does. Of the pairs that are then still in
-different classes, those of buckets of up to ``SMALL`` texts are all compared.
-Those of larger buckets must share one of their rarest k-mers: of n1 and n2
-k-mers at least L = 0.8 / 1.8 * (n1 + n2) must match, so under any one order of
-all k-mers the first n1 - L + 1 and n2 - L + 1 have one in common, and no link
-is lost. The order is by how often a k-mer's bin occurs; the table of ``BINS``
-counts has that size for any input. A passage that many texts share is thus no
-reason to compare them, nor is an original that each changed too much. Texts of
-fewer than ``SHORT`` k-mers meet all others that they can be similar to in the
-same way, in one bucket or not, so that none of their links is missed.
+keeps them in text order; equal sketches make a bucket.
+
+Candidates are verified by a banded alignment of their words: of n1 and n2 words
+L match in order, and the similarity is L / (n1 + n2 - L); 0.8 or more is a
+link. Changed words cost what they are, not the five windows that each spoils,
+so texts with two k-mers of five in common may be linked. (If the k-mers are
+aligned to 0.8, the words are too.) Places of matches differ by no more than may
+stay unmatched, which is the band.
+
+Candidates, in buckets of any size by the same rules:
+
+* In ``ROUNDS`` rounds each bucket names a centre and compares it with all its
+  members of other classes; then the centre's class leaves the bucket. The first
+  centre is the member that shares most sketches with others, as the original of
+  many copies does. A round has at most a pair a member.
+* Of what is still in different classes afterwards, all pairs of a bucket that
+  share k-mers enough for a similarity of 0.8 by k-mers are found by their
+  rarest k-mers: of n1 and n2 k-mers at least L = 0.8 / 1.8 * (n1 + n2) must be
+  common, so under any one order of all k-mers the first n1 - L + 1 and
+  n2 - L + 1 share one. The order begins with those that only texts of one class
+  hold, which needn't be looked for, and goes on from rare to frequent; a table
+  of counters, sized to the k-mers, holds both. A passage that many texts share
+  is thus no reason to compare them.
+* Texts of fewer than ``SHORT`` k-mers are found by their rarest k-mers in one
+  bucket or not, as picks from so few agree too seldom.
+
+What may be lost: longer texts that share no sketch. Two texts that share a part
+J of their k-mers (Jaccard) have a given sketch in common with a chance of about
+J**``PICKED``, and none of all with (1 - J**3)**24: 0.1 in 1000 at J = 0.7, 3 in
+1000 at 0.6, 4 in 100 at 0.5, 2 in 10 at 0.4. The README has measured figures.
 
 Edge cases: texts of fewer than five words have one k-mer, all their words;
 texts without a word (null, empty) are in no group: each is its own class. Rows
 that repeat an id are rows of their own; a class's id is the smallest id in it.
+An empty table has no classes. A text is held whole, with some 60 bytes of
+working memory a byte. Of the input only the id and the text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +58,19 @@ from vicinal.llm import common
 from vicinal.llm.textscan import BREAK, Scan, mix
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 24, 5
+SKETCHES, PICKED = 24, 3
 #: K-mers below a threshold that are sorted to find the smallest: about so many.
-TAKEN = 24
-#: Texts of a bucket up to which all its pairs are candidates.
-SMALL = 32
+TAKEN = 16
+#: Centres that a bucket names one after another.
+ROUNDS = 3
 #: Texts of fewer k-mers are compared without regard to buckets: picks from so few
 #: agree too seldom.
 SHORT = 40
-#: Counters by which k-mers are ordered from rare to frequent.
-BINS = 1 << 20
+#: Counters by which k-mers are ordered: about this many for each k-mer, within
+#: these bounds (a byte each), dealt in blocks.
+COUNTERS, LEAST_BINS, MOST_BINS, BIN_BLOCK = 4, 1 << 16, 1 << 23, 1 << 16
+#: Classes of more than 1 / HOT of the rows are at most HOT, and are broadcast.
+HOT = 1000
 
 _RNG = np.random.default_rng(3)
 _A = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,34 +140,17 @@ def sketches(s: Scan) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> float:
-    """Of two texts' labelled k-mers, by banded alignment; 0 if below SIMILARITY
-    for certain. Given the k-mers without labels too (x, y), these are aligned
-    where the labelled ones are as many as it takes but fall out of order."""
-    n = len(a) + len(b)
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two texts' words (hashes), by banded alignment; 0 if below SIMILARITY
+    for certain."""
+    n = len(x) + len(y)
     least = int(np.ceil(SIMILARITY * n / (1 + SIMILARITY) - 1e-9))
-    band = n - 2 * least
-    if abs(len(a) - len(b)) > band:
+    if min(len(x), len(y)) < least:
         return 0.0
-    common_, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < least:
+    a, b = (label(w.astype(np.uint64), np.zeros(len(w), np.int64)) for w in (x, y))
+    if len(np.intersect1d(a, b, assume_unique=True)) < least:
         return 0.0
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    j = j[np.argsort(i)]
-    if (np.diff(j) > 0).all():
-        chain = len(j)
-    else:
-        tails: list[int] = []
-        for p in j.tolist():
-            k = bisect_left(tails, p)
-            if k == len(tails):
-                tails.append(p)
-            else:
-                tails[k] = p
-        chain = len(tails)
-    if chain < least and x is not None and y is not None:
-        chain = alignment(x, y, least)
+    chain = alignment(x, y, least)
     return chain / (n - chain)
 
 
@@ -209,7 +202,7 @@ def digest(column: str) -> Column:
     return F.unhex(F.md5(column))
 
 
-def sketch_table(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
+def sketch_table(scratch: common.Scratch, docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, node (128-bit hash of the words; null without words), keys
     (buckets), n (k-mers), words (32-bit hashes, packed) and digest (of the text as
     it is), stored."""
@@ -228,179 +221,226 @@ def sketch_table(docs: DataFrame, column: str = "text", id_column: str = "doc_id
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node, pa.binary()), lists, pa.array(np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)), pa.array(words, pa.binary()), piece.column(2)], names=["doc_id", "node", "keys", "n", "words", "digest"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), column, digest(column).alias("digest"))
-    return common.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary, digest binary"), "sketches")
+    return scratch.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary, digest binary"))
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Add ``similarity`` to pairs (a, b) of nodes; those below 0.8 go."""
+    """The pairs (a, b) of nodes that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            sims = [similarity(label(p, np.zeros(len(p), np.int64)), label(q, np.zeros(len(q), np.int64)), p, q) for p, q in zip(_unpacked(x, plain_kmers), _unpacked(y, plain_kmers), strict=True)]
-            keep = [i for i, v in enumerate(sims) if v >= SIMILARITY]
+            x, y = batch.column(2), batch.column(3)
+            keep = [i for i in range(batch.num_rows) if similarity(*(np.frombuffer(unpack(c[i].as_py()), "<u4") for c in (x, y))) >= SIMILARITY]
             if keep:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.binary()), "b": pa.array([b[i] for i in keep], pa.binary()), "similarity": [sims[i] for i in keep]})
+                yield batch.take(pa.array(keep)).select(["a", "b"])
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(scratch: common.Scratch, edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node with an
     edge: each round every component hooks on its smallest neighbour."""
-    labels, left = None, common.stored(edges.select("a", "b").distinct(), "edges")
+    labels, left = None, scratch.stored(edges.select("a", "b").distinct())
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        to = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "hooks")
+        to = scratch.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         if labels is None:
             labels = to.select(F.col("a").alias("node"), F.col("m").alias("label"))
         else:
             labels = labels.join(to, labels["label"] == to["a"], "left").select("node", F.coalesce("m", "label").alias("label"))
-        labels = common.stored(labels, "labels")
+        labels = scratch.stored(labels)
         other = to.select(F.col("a").alias("b"), F.col("m").alias("mb"))
         left = left.join(to, "a").join(other, "b").where("m != mb").select(F.col("m").alias("a"), F.col("mb").alias("b")).distinct()
-        left = common.stored(left, "edges")
+        left = scratch.stored(left)
     if labels is None:
         labels = left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes have different labels."""
-    out = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-    out = out.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _unpacked(words: list[bytes]) -> Iterator[np.ndarray]:
+    """The labelled k-mers of texts whose words are packed."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (kmers(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in words)
 
 
-def _unpacked(words: list[bytes], of: Callable[[np.ndarray], np.ndarray] = kmers) -> Iterator[np.ndarray]:
-    """The k-mers, labelled unless ``of`` is another, of texts whose words are packed."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    return (of(mix(np.frombuffer(unpack(w), "<u4").astype(np.uint64))) for w in words)
+def _bin(km: np.ndarray, bins: int) -> np.ndarray:
+    return (km & np.uint64(bins - 1)).astype(np.int64)
+
 
+def orders(texts: DataFrame, bins: int) -> np.ndarray:
+    """For each bin of k-mers: 0 if texts (label, words) of one class alone hold
+    them, else how many there are, up to 255.
 
-def bin_counts(texts: DataFrame) -> np.ndarray:
-    """How many k-mers of the texts (words) fall in each of ``BINS`` bins."""
+    Tasks send what they have of a block of bins (the count, and the least and
+    the greatest hash of a label) to the task that merges the block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        n, low, high = np.zeros(bins, np.uint8), np.full(bins, 0xFFFFFFFF, np.uint32), np.zeros(bins, np.uint32)
         for batch in batches:
-            for km in _unpacked(batch.column(0).to_pylist()):
-                np.add.at(total, (km & np.uint64(BINS - 1)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        for k in range(0, len(some), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"bin": some[k : k + (1 << 16)], "n": total[some[k : k + (1 << 16)]]})
-
-    out = np.zeros(BINS, np.int64)
-    found = texts.select("words").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most BINS rows
-    out[found["bin"].to_numpy()] = found["n"].to_numpy()
+            for own, km in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1).to_pylist()), strict=True):
+                at, c = np.unique(_bin(km, bins), return_counts=True)
+                n[at] = np.minimum(n[at] + c, 255)
+                h = np.uint32(xxhash.xxh32_intdigest(own))
+                low[at], high[at] = np.minimum(low[at], h), np.maximum(high[at], h)
+        for k in range(0, bins, BIN_BLOCK):
+            part = slice(k, k + BIN_BLOCK)
+            if n[part].any():
+                packed = zlib.compress(n[part].tobytes() + low[part].tobytes() + high[part].tobytes(), 1)
+                yield pa.RecordBatch.from_pydict({"block": [k // BIN_BLOCK], "part": pa.array([packed], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = zlib.decompress(packed)
+                n, low, high = (np.frombuffer(raw, t, BIN_BLOCK, at * BIN_BLOCK) for t, at in (("u1", 0), ("<u4", 1), ("<u4", 5)))
+                if k in held:
+                    n0, low0, high0 = held[k]
+                    n, low, high = np.minimum(n0.astype(np.int64) + n, 255).astype(np.uint8), np.minimum(low0, low), np.maximum(high0, high)
+                held[k] = [n, low, high]
+        for k, (n, low, high) in held.items():
+            yield pa.RecordBatch.from_pydict({"block": [k], "part": pa.array([zlib.compress(np.where(low == high, 0, n).astype(np.uint8).tobytes(), 1)], pa.binary())})
+
+    parts = texts.select("label", "words").mapInArrow(count, "block long, part binary").repartition("block").mapInArrow(merge, "block long, part binary")
+    out = np.zeros(bins, np.uint8)
+    for row in parts.toLocalIterator():  # at most MOST_BINS bytes
+        out[row[0] * BIN_BLOCK : (row[0] + 1) * BIN_BLOCK] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
     return out
 
 
 def rarest(texts: DataFrame) -> DataFrame:
     """kmer, place, node, n, label: of each text (node, n, label, words) the
-    rarest k-mers from place 0 on, as far as any text can need them."""
-    counts = texts.sparkSession.sparkContext.broadcast(bin_counts(texts))  # BINS numbers
+    k-mers of two classes or more among its rarest from place 0 on, as far as any
+    text can need them."""
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = LEAST_BINS
+    while bins < min(COUNTERS * total, MOST_BINS):
+        bins *= 2
+    shared = texts.sparkSession.sparkContext.broadcast(orders(texts, bins))  # at most MOST_BINS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken = []
+            taken, places = [], []
             for km in _unpacked(batch.column(3).to_pylist()):
-                often = counts.value[(km & np.uint64(BINS - 1)).astype(np.int64)]
-                take = len(km) - int(np.ceil(SIMILARITY * len(km) - 1e-9)) + 1
-                taken.append(km[np.lexsort((km, often))[:take]])
-            if taken:
+                often = shared.value[_bin(km, bins)]
+                first = np.lexsort((km, often))[: len(km) - int(np.ceil(SIMILARITY * len(km) - 1e-9)) + 1]
+                place = np.flatnonzero(often[first])
+                taken.append(km[first[place]])
+                places.append(place)
+            if sum(map(len, taken)):
                 of = pa.array(np.repeat(np.arange(len(taken)), [len(x) for x in taken]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate([np.arange(len(x)) for x in taken])), *(batch.column(k).take(of) for k in range(3))], names=["kmer", "place", "node", "n", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate(places)), *(batch.column(k).take(of) for k in range(3))], names=["kmer", "place", "node", "n", "label"])
 
     return texts.select("node", "n", "label", "words").mapInArrow(run, "kmer long, place long, node binary, n long, label binary")
 
 
-def crowded_pairs(placed: DataFrame, words: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of texts in buckets of more than ``SMALL`` and of ``others``
-    (node, n, label), of different classes, that share one of their rarest
-    k-mers."""
-    large = placed.where(F.col("size") > SMALL)
-    mixed = large.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    texts = large.join(mixed, "bucket", "left_semi").select("node", "n", "label").distinct()
-    texts = texts if others is None else texts.unionByName(others).distinct()
-    rare = common.stored(rarest(common.stored(texts.join(words, "node"), "crowded")), "rarest")
-    shared = rare.groupBy("kmer").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("kmer")
-    rare = rare.join(shared, "kmer", "left_semi")
+def overlapping(scratch: common.Scratch, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (node, n, label, words) of different classes that
+    share one of their rarest k-mers."""
+    rare = scratch.stored(rarest(scratch.stored(texts)))
     other = rare.select("kmer", F.col("place").alias("pb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     least = lambda n: F.ceil(n * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     both = least(F.col("n") + F.col("nb"))
     fits = (F.col("n") <= F.col("nb")) & (F.col("label") != F.col("lb")) & (F.col("place") <= F.col("n") - both) & (F.col("pb") <= F.col("nb") - both)
     shorter = rare.where(F.col("place") <= F.col("n") - least(2 * F.col("n")))
     pairs = shorter.join(other, "kmer").where(fits)
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(scratch: common.Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after further links (a, b): only classes that these touch are
     joined anew, each named by its smallest node."""
     edges = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     edges = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     edges = edges.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b")
-    to = components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    to = components(scratch, edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
     alone = to.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
     rest = labels.join(to, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
-    return common.stored(rest.unionByName(alone), "labels")
+    return scratch.stored(rest.unionByName(alone))
 
 
-def _more(labels: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _more(scratch: common.Scratch, labels: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Verify further pairs and join the classes that they link."""
-    found = common.stored(verified(common.stored(pairs, "pairs"), words), "links")
-    return labels if found.isEmpty() else merged(labels, found)
+    found = scratch.stored(verified(scratch.stored(pairs), words))
+    return labels if found.isEmpty() else merged(scratch, labels, found)
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, label) of buckets with two classes or more."""
+    some = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+    return rows.join(some, "bucket", "left_semi")
 
 
 def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row a document, stored: doc_id, label (its class; null without words),
     node and digest."""
-    table = sketch_table(docs, column, id_column)
+    scratch = common.Scratch(docs.sparkSession, "near-copies")
+    table = sketch_table(scratch, docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
-    texts = common.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
-    members = texts.select("node", "n", F.explode("keys").alias("bucket"))
-    members = common.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
-    short = texts.where(F.col("n") * SIMILARITY < SHORT).select("node", "n")  # those of under SHORT k-mers and all that may be similar to one
-    words = some.select("node", "words").join(members.select("node").union(short.select("node")).distinct(), "node", "left_semi")
-    words = common.stored(words.groupBy("node").agg(F.first("words").alias("words")), "words")
+    texts = scratch.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")))
+    members = texts.select("node", F.explode("keys").alias("bucket"))
+    members = scratch.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
+    short = texts.where(F.col("n") * SIMILARITY < SHORT).where("n > 3").select("node", "n")  # those of under SHORT k-mers and all that may be similar to one; under 4 k-mers all must agree
+    needed = members.select("node").union(short.select("node")).distinct()
+    words = some.select("node", "n", "words").join(needed, "node", "left_semi")
+    words = scratch.stored(words.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words")))
 
     # the original of many copies shares most sketches with them all
-    central = members.groupBy("node").agg(F.sum("size").alias("score"))
-    centres = members.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
-    stars = members.join(centres, "bucket").where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    stars = common.stored(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"), "shared"), "stars")
-    first = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    labels = components(common.stored(verified(first, words), "links"))
-
-    # the other centres, where they are not in one class yet
-    rest = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    labels = _more(labels, rest, words)
-
-    placed = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("label"))
-    placed = common.stored(placed, "placed")
-    short = short.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    small = placed.where(F.col("size") <= SMALL)
-    other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = (F.least("n", "nb") >= F.greatest("n", "nb") * SIMILARITY) & (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b"))
-    pairs = small.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b")
-    pairs = pairs.unionByName(crowded_pairs(placed, words, short)).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    labels = _more(labels, pairs, words)
+    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    left = scratch.stored(members.select("bucket", "node").join(score, "node"))
+    labels = None
+    for _ in range(ROUNDS):
+        now = left.withColumn("label", F.col("node")) if labels is None else _mixed(_named(left, labels))
+        now = scratch.stored(now)
+        centres = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("centre"), F.col("label").alias("lc")), F.struct("score", "node")).alias("c")).select("bucket", "c.*")
+        others = now.join(centres, "bucket").where("label != lc")
+        pairs = others.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.count("*").alias("shared"))
+        if labels is None:  # first with the centre that shares most sketches, as most links are found so
+            pairs = scratch.stored(pairs)
+            best = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+            links = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words)
+            labels = components(scratch, links)
+            named = labels.select("node", "label")
+            pairs = pairs.join(named.toDF("a", "la"), "a", "left").join(named.toDF("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        labels = _more(scratch, labels, pairs.select("a", "b"), words)
+        done = _named(centres.select("bucket", F.col("centre").alias("node")), labels).select("bucket", F.col("label").alias("lc"))
+        left = _named(now.select("bucket", "node", "score"), labels).join(done, "bucket").where("label != lc").select("bucket", "node", "score")
+
+    mixed = _mixed(_named(members.select("bucket", "node"), labels)).select("node")
+    texts = _named(words.join(mixed.union(short.select("node")).distinct(), "node", "left_semi"), labels)
+    labels = _more(scratch, labels, overlapping(scratch, texts), words)
 
     named = table.select("doc_id", "node", "digest").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node", "digest")
-    return common.stored(named, "named")
+    named = common.stored(named, "named")
+    scratch.drop()
+    return named
+
+
+def by_class(rows: DataFrame, info: DataFrame, size: str, total: int) -> DataFrame:
+    """Join rows with their class's row on ``label``, left: the few classes that
+    hold many rows are broadcast, so that none of them meets in one task."""
+    hot = F.broadcast(info.where(F.col(size) * HOT > total))  # at most HOT rows
+    rest = rows.join(hot.select("label"), "label", "left_anti")
+    return rows.join(hot, "label").unionByName(rest.join(info.where(F.col(size) * HOT <= total), "label", "left"))
 
 
 def classes(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, class_id (the smallest id of its class),
     class_size (documents of the class) and n_texts (different texts)."""
     named = labelled(docs, column, id_column)
-    ids = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    texts = named.where(F.col("label").isNotNull()).select("label", "node").distinct().groupBy("label").agg(F.count("*").alias("n_texts"))
-    out = named.join(ids.join(texts, "label"), "label", "left")
+    some = named.where(F.col("label").isNotNull())
+    # nodes first, so that a class's copies count in their tasks
+    texts = some.groupBy("label", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    info = texts.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
+    info = common.stored(info.where("class_size > 1"), "classes")
+    out = by_class(some, info, "class_size", named.count()).unionByName(named.where(F.col("label").isNull()), allowMissingColumns=True)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
@@ -412,7 +452,8 @@ def drop_copies(docs: DataFrame, column: str = "text", id_column: str = "doc_id"
     held = named.groupBy("label", "doc_id", "node", "digest").agg(F.count("*").alias("rows"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "digest")
     best = held.groupBy("label").agg(F.min(first).alias("best"), F.sum("rows").alias("size")).where("size > 1")
-    marked = held.join(best, "label").withColumn("kept", first == F.col("best")).where("not kept or rows > 1")
+    best = common.stored(best, "best")
+    marked = by_class(held, best, "size", held.count()).where("best is not null").withColumn("kept", first == F.col("best")).where("not kept or rows > 1")
     marked = common.stored(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")), "marked")
     match = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (digest(column) == F.col("_digest"))
     out = docs.join(marked, match, "left_anti")
