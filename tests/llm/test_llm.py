@@ -50,6 +50,7 @@ def test_token_files_round_trip_by_frames(spark, monkeypatch):
     ids = list(range(len(texts)))
     random.Random(3).shuffle(ids)
     ids[5] = ids[6]
+    texts[7] = texts[8] = texts[9] = "same text"
     lib = tokenizers.Tokenizer.from_file(path("word_bpe_49k.json"))
     uri = common.shared_dir(spark, "ids")
     files = tokenfile.write(docs(spark, texts, ids), uri, path("word_bpe_49k.json"), 2)
@@ -434,3 +435,62 @@ def test_one_row_of_each_class_stays_where_ids_repeat(spark):
     assert sorted(map(repr, left)) == sorted(repr(type(left[0])(doc_id=i, text=t)) for i, t in [(1, a), (2, b), (3, c), (None, None), (2, None)])
     left = omh.drop_copies(docs(spark, [c, c], [None, None])).collect()
     assert len(left) == 1
+
+
+def test_machine_margins_are_the_formula():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.zeros(1), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
+    sets = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    row, col = (np.array(x) for x in zip(*[(i, c) for i, s in enumerate(sets) for c in s]))
+    for got, s in zip(m.margins(row, col, 4), sets):
+        pairs = sum(float(m.factor[a] @ m.factor[b]) for a in s for b in s if a < b)
+        assert abs(got - (0.3 + sum(m.weight[a] for a in s) + pairs)) < 1e-9
+
+
+def test_rules_as_columns_are_the_rules(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 2)).round(3)
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.4)).astype(float)
+    e = quality.fit_rules(x, y, ("a", "b"))
+    assert e.rules
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, a double, b double")
+    got = {r.i: r.s for r in rows.select("i", e.column().alias("s")).collect()}
+    for i, v in enumerate(x):
+        at = {"a": v[0], "b": v[1]}
+        z = e.bias + sum(w for w, rule in e.rules if all((at[n] > c) == above for n, c, above in rule))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert np.mean([(got[i] > 0.5) == y[i] for i in range(500)]) > 0.97
+
+
+def test_labels_that_disagree_and_rows_that_repeat_count_once(spark):
+    texts, ids = [f"sun moon tree {i}" + " idiot" * (i % 2) for i in range(120)], [i if i < 100 else 5 for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(100)] + [(7, 0, 0), (8, None, None)], "doc_id long, toxic int, quality int")
+    rows = quality.labelled_rows(docs(spark, texts, ids), labels, F.lit(True), "text", "toxic", 1000).collect()
+    assert {r.y for r in rows if r.doc_id == 7} == {0} and sum(r.doc_id == 5 for r in rows) == 21
+    one, two = (toxicity.fit(docs(spark, texts, ids).repartition(n), labels, F.lit(True)) for n in (1, 3))
+    assert (one.weight == two.weight).all() and quality.fit(docs(spark, texts, ids), labels, F.lit(True)) == quality.fit(docs(spark, texts, ids).repartition(3), labels, F.lit(True))
+
+
+def test_names_that_clash_are_replaced_or_kept(spark):
+    from vicinal.llm import sharding as sh
+
+    names = ["n_words", "items", "spans", "n_lines", "n_dropped", "n_tokens", "ids", "decoded", "shard", "depth", "n_bytes", "kept", "rejected_by", "label", "node", "n", "key", "digest"]
+    wide = docs(spark, ["a b c\nd", None, ""]).withColumns({n: F.lit("own") for n in names})
+    outs = [decontam.find(wide, spark.createDataFrame([("i", "a b c")], "item_id string, text string")), linededup.drop(wide), bpe.encode_decode(wide, path("byte_bpe_50k.json")), sh.assign(wide), cascade.apply(wide), omh.drop_copies(wide)]
+    for out in outs:
+        assert out.count() == 3 and len(set(out.columns)) == len(out.columns)
+        assert all(r.key == "own" and r.digest == "own" for r in out.select("key", "digest").collect())
+    pages = spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string").withColumns({n: F.lit("own") for n in ("key", "digest", "n", "first_id", "refers_to")})
+    assert [r.refers_to for r in warc.with_types(pages).collect()] == [None]
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(4)
+    text = " ".join(f"w{rnd.randrange(5000)}" for _ in range(450_000)) + "\nlast line"  # longer than a shard
+    item = " ".join(text.split()[399_990:400_010])  # across the cut
+    rows = docs(spark, [text, text + " more"])
+    assert [r.n_hit for r in decontam.find(rows, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()] == [20, 20]
+    assert {r.n_words for r in cascade.apply(rows).collect()} == {450_002, 450_003}
+    assert {r.n_lines for r in linededup.drop(rows).collect()} == {2}
+    lib = tokenizers.Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert [r.n_tokens for r in bpe.encode(rows.limit(1), path("byte_bpe_50k.json")).collect()] == [len(lib.encode(text, add_special_tokens=False).ids)]

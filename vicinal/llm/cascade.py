@@ -2,13 +2,16 @@
 
 Base counts are taken of every text. Texts that pass the base rule go through
 further rules; each rule only sees what the rules before it let through. The
-order follows rejections per cost, both measured on a sample of rows; as a text
-is kept only if no rule rejects it, the order changes the work, never the
-verdict.
+order follows rejections per cost, both measured by tasks on a sample of about
+``SAMPLE_ROWS`` rows, chosen by a hash of their texts. As a text is kept only if
+no rule rejects it, the order changes the work, never the verdict; the rule
+named for a rejected text is the first by the given order, so no result depends
+on measured times.
 
 Edge cases: a null or empty text has no words and fails the base rule; rows
 that repeat are judged alike; columns of the input are kept, and those named
 like a result are replaced. On an empty table the rules keep their given order.
+A text of any length is judged whole, with some 60 bytes of working memory a byte.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm import common
 from vicinal.llm.textscan import CONTINUES, WHITE, Scan, table
 
-#: Rows of the sample that orders the rules.
-SAMPLE_ROWS = 500
+#: Rows of the sample that orders the rules, about.
+SAMPLE_ROWS = 2000
 #: The symbols that are counted, and the base rule's limits.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -77,7 +81,7 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def cascade(texts: list[bytes], base: dict[str, np.ndarray], rules: list[Rule]) -> np.ndarray:
-    """The number of the rule that rejects each text; -1: kept, -2: base."""
+    """The number in ``rules`` of a rule that rejects each text; -1: kept, -2: base."""
     out = np.where(base_failed(base), -2, -1)
     for k, rule in enumerate(rules):
         left = np.flatnonzero(out == -1)
@@ -87,39 +91,59 @@ def cascade(texts: list[bytes], base: dict[str, np.ndarray], rules: list[Rule])
     return out
 
 
+def named(texts: list[bytes], base: dict[str, np.ndarray], hit: np.ndarray, rules: tuple[Rule, ...]) -> np.ndarray:
+    """``hit`` with the first rule by the given order for each rejected text."""
+    out, gone = hit.copy(), np.flatnonzero(hit >= 0)
+    if len(gone):
+        out[gone] = cascade([texts[i] for i in gone], {n: v[gone] for n, v in base.items()}, list(rules))
+    return out
+
+
 def order(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(name, cost in seconds a text, share rejected) of each rule on a sample
-    of at most ``rows`` rows, best first: by rejections per cost."""
-    texts = [(r[0] or "").encode() for r in df.select(column).limit(rows).collect()]
-    base = base_counts(texts)
-    left = np.flatnonzero(~base_failed(base))
-    if not len(left):
+    of about ``rows`` rows, best first: by rejections per cost."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, hits, seen = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
+        for batch in batches:
+            for piece in common.slices(batch, column):
+                texts = common.values(piece, column)
+                base = base_counts(texts)
+                left = np.flatnonzero(~base_failed(base))
+                some, counts = [texts[i] for i in left], {n: v[left] for n, v in base.items()}
+                seen += len(left)
+                for k, r in enumerate(rules if len(left) else ()):
+                    r.rejects(Scan(some[:1]), {n: v[:1] for n, v in counts.items()})
+                    began = time.thread_time()
+                    hits[k] += r.rejects(Scan(some), counts).sum()
+                    cost[k] += time.thread_time() - began
+        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "cost": cost, "hits": hits, "seen": [seen] * len(rules)})
+
+    share = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(df.count(), 1)))
+    parts = df.select(column).where(share).mapInArrow(measure, "rule long, cost double, hits long, seen long")
+    found = {r["rule"]: r for r in parts.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("cost", "hits", "seen"))).collect()}  # a row a rule
+    if not any(r["seen"] for r in found.values()):
         return [(r.name, 0.0, 0.0) for r in rules]
-    some, counts, found = [texts[i] for i in left], {n: v[left] for n, v in base.items()}, []
-    for r in rules:
-        r.rejects(Scan(some[:1]), {n: v[:1] for n, v in counts.items()})
-        began = time.thread_time()
-        hit = r.rejects(Scan(some), counts)
-        found.append((r.name, max(time.thread_time() - began, 1e-6) / len(left), float(hit.mean())))
-    return sorted(found, key=lambda x: -x[2] / x[1])
+    out = [(r.name, max(found[k]["cost"], 1e-6) / found[k]["seen"], found[k]["hits"] / found[k]["seen"]) for k, r in enumerate(rules)]
+    return sorted(out, key=lambda x: -x[2] / x[1])
 
 
 def apply(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Add the base counts, ``base_failed``, ``rejected_by`` (null if kept) and ``kept``."""
     names = [n for n, _, _ in order(df, column, rules, rows)]
-    by = {r.name: r for r in RULES} | {r.name: r for r in rules}
+    by = {r.name: r for r in rules}
     added = {n: T.LongType() for n in BASE} | {"base_failed": T.BooleanType(), "rejected_by": T.StringType(), "kept": T.BooleanType()}
     rest = [c for c in df.columns if c not in added]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [by[n] for n in names]
-        labels = np.array([*names, "base", ""], object)
+        labels = np.array([*(r.name for r in rules), "base", ""], object)
         for batch in batches:
             for piece in common.slices(batch, column):
                 texts = common.values(piece, column)
                 base = base_counts(texts)
-                hit = cascade(texts, base, own)
+                hit = named(texts, base, cascade(texts, base, own), rules)
                 cols = [piece.column(piece.schema.get_field_index(c)) for c in rest]
                 cols += [pa.array(base[n]) for n in BASE]
                 cols += [pa.array(hit == -2), pa.array(labels[hit], pa.string(), mask=hit == -1), pa.array(hit == -1)]

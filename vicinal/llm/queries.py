@@ -13,6 +13,8 @@ from vicinal.llm import bpe, cascade, common, decontam, linededup, omh, quality,
 
 #: Id that ends a document in token files.
 END_ID = 2
+#: Bytes of a shard of the query: small enough that tables of a few MB split.
+SHARD_BYTES = 256 << 10
 
 
 def tokenizer(name: str) -> str:
@@ -62,7 +64,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.tables(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.assign(docs).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    return sharding.assign(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
 def op7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +124,7 @@ p AS (SELECT *, unnest(range(0, {sharding.HASH_BITS + 1})) AS depth FROM d),
 q AS (SELECT doc_id, n_bytes, depth, h >> ({sharding.HASH_BITS} - depth) AS bucket,
   sum(n_bytes) OVER (PARTITION BY depth, h >> ({sharding.HASH_BITS} - depth)) AS shard_bytes,
   count(*) OVER (PARTITION BY depth, h >> ({sharding.HASH_BITS} - depth)) AS shard_docs FROM p),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM q WHERE shard_bytes <= {sharding.LIMIT})
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM q WHERE shard_bytes <= {SHARD_BYTES})
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(bucket), 64, '0'), CAST(depth AS INTEGER)) END AS shard,
   CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs
 FROM f WHERE k = 1""",

@@ -15,9 +15,10 @@ A reader takes the seek table from the file's end, the index, and then only
 the frames of the documents that it wants.
 
 Edge cases: a null or empty text has the end id alone; rows that repeat a
-document id all stay, one after another; null document ids come first; an
+document id all stay, one after another in the order of a hash of their texts
+(a hot id is dealt to several files); null document ids come first; an
 empty table has no files. A document longer than a frame has a frame of its
-own. Columns other than the id and the text are not stored.
+own; encoding holds one text whole, with some 40 bytes of working memory a byte. Columns other than the id and the text are not stored.
 """
 
 from __future__ import annotations
@@ -125,8 +126,9 @@ class Reader:
     def frames(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Frame by frame: the rows of its documents, and their ids."""
         of = np.searchsorted(self.ids_before, self.first, side="right") - 1
+        edges = np.searchsorted(of, np.arange(len(self.raw)))
         for k in range(len(self.raw) - 1):
-            yield np.flatnonzero(of == k), np.frombuffer(self._frame(k), "<u4")
+            yield np.arange(edges[k], edges[k + 1]), np.frombuffer(self._frame(k), "<u4")
 
 
 class LibraryWords:
@@ -209,7 +211,7 @@ def write(df: DataFrame, uri: str, path: str, end_id: int, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.filesystem(uri)
         fs.create_dir(root, recursive=True)
-        name, out, w, first = f"{uuid.uuid4().hex}.zst", None, None, None
+        name, out, w, first, key = f"{uuid.uuid4().hex}.zst", None, None, None, None
         for batch in batches:
             for piece in common.slices(batch, column):
                 docs = piece.column(0).to_pylist()
@@ -218,19 +220,21 @@ def write(df: DataFrame, uri: str, path: str, end_id: int, id_column: str = "doc
                 ends = np.cumsum(n + 1)
                 if w is None:
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    w, first = Writer(out), docs[0]
+                    w, first, key = Writer(out), docs[0], piece.column(2)[0].as_py()
                 for d, e, k in zip(docs, ends, n + 1, strict=True):
                     w.add(d, ids[e - k : e])
         if w is not None:
             w.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "n_docs": [len(w.index)], "n_tokens": [w.n_ids]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "first_key": [key], "n_docs": [len(w.index)], "n_tokens": [w.n_ids]})
 
-    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).cast("string").alias(column))
-    parts = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = common.stored(parts.mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long"), "files")
+    text = F.col(column).cast("string")
+    rows = df.select(F.col(id_column).cast("long").alias("doc_id"), text.alias(column), F.xxhash64(text).alias("key"))
+    by = (F.col("doc_id").asc_nulls_first(), F.col("key").asc())
+    parts = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    files = common.stored(parts.mapInArrow(run, "file string, first_id long, first_key long, n_docs long, n_tokens long"), "files")
     # one row a file, so one partition can order them
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "file")
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_key", "file")
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

@@ -11,8 +11,11 @@ slots, so most terms cost one array read.
 Edge cases: a null or empty text has no terms and is scored by the intercept;
 labels that are null, or whose document is missing, aren't used; with no
 labelled row, or only one class, every score is the class's share (0.5 if
-there is none). Columns of the input are kept; ``score`` and ``predicted`` are
-replaced. Of rows that repeat a document id each counts as a row.
+there is none), and an empty table has no scores. Columns of the input are kept;
+``score`` and ``predicted`` are replaced. Rows that repeat a document id are
+scored each by its text; in the fit one of them counts, the first by a hash of
+the text, and of labels that disagree the smallest. A text is held whole, with
+some 100 bytes of working memory a byte.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm import common
+from vicinal.llm.quality import labelled_rows
 from vicinal.llm.textscan import BREAK, Scan, mix
 
 BITS = 20
@@ -103,9 +107,10 @@ def fit_machine(row: np.ndarray, col: np.ndarray, y: np.ndarray, slots: int) ->
 def fit(docs: DataFrame, labels: DataFrame, use: Column, column: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, slots: int = SLOTS) -> Machine:
     """Learn from the labelled rows for which ``use`` (a Column over doc_id)
     holds, at most ``max_rows`` of them, chosen by a hash of the id."""
-    own = labels.where(use & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", column).join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+    # one row an id, whatever repeats: at most max_rows, stored as all steps read them
+    once = labelled_rows(docs, labels, use, column, label, max_rows).groupBy("doc_id", "y").agg(F.min_by(column, F.xxhash64(column)).alias(column))
+    scratch = common.Scratch(docs.sparkSession, "labelled")
+    rows = scratch.stored(once.select("doc_id", column, "y"))
 
     def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, hit = np.zeros((2, 1 << BITS), np.int32)
@@ -125,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, column: str = "text", l
     none = np.full(1 << BITS, -1, np.int32)
     if not total["hit"] or total["hit"] == total["n"]:
         share = np.clip(total["hit"] / total["n"], 1e-3, 1 - 1e-3) if total["n"] else 0.5
+        scratch.drop()
         return Machine(none, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     counts = rows.mapInArrow(slot_counts, "slot long, n long, hit long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 2")
     rate = total["hit"] / total["n"]
@@ -147,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, column: str = "text", l
     n = data["slots"].map(len).to_numpy()
     row, col = np.repeat(np.arange(len(n)), n), np.concatenate([*data["slots"], np.zeros(0, np.int32)]).astype(np.int64)
     shared.unpersist()
+    scratch.drop()
     return Machine(none, *fit_machine(row, col, data["y"].to_numpy(float), len(best)))
 
 

@@ -11,7 +11,8 @@ smallest page id is a response and the others are revisits without a payload.
 Edge cases: a null html is an empty payload; a null url is left out; a null
 page id has no page header and is a response unless an equal payload has an id;
 rows that repeat the smallest page id are all responses; an empty table has no
-archives. Columns other than page_id, url and html are not stored.
+archives. Columns other than page_id, url and html are not stored, so others
+may have any name. A record is held whole, some five times.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ FILE_BYTES = 128 << 20
 VERSION, PROFILE = b"WARC/1.1", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"1970-01-01T00:00:00Z"
 LEVEL, CHUNK = 4, 1 << 20
+#: Parts in which the copies of one page are dealt.
+SALTS = 16
 INDEX = "file string, offset long, length long, page_id long, record_type string"
 
 
@@ -119,10 +122,15 @@ def with_types(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= LEAST_BYTES, F.col("digest")))
-    again = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(again, "key", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return out.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # who refers to whom is found without the payloads; copies of a hot page are salted
+    narrow = rows.where(F.col("key").isNotNull()).groupBy("page_id", "key").agg(F.count("*").alias("n"))
+    again = narrow.groupBy("key").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("n")).where("n > 1").select("key", "first_id")
+    salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    refers = narrow.withColumn("salt", F.coalesce(F.pmod("page_id", F.lit(SALTS)), F.lit(0)).cast("int")).join(salted, ["key", "salt"])
+    refers = refers.where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("of"), F.col("key").alias("held"), F.col("first_id").alias("refers_to"))
+    # rows meet it by page, so no payload decides where a row goes
+    out = rows.join(refers, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("held")), "left")
+    return out.select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write_monolithic(pages: DataFrame, uri: str) -> DataFrame:
