@@ -4,7 +4,14 @@ Toxic documents go, repeated lines go, of each class of near-duplicates one
 document stays, benchmark passages are cut out, and what is left is encoded.
 All stages but the last return the columns of ``documents``; ``n_chars`` follows
 the text. Each stage is written as Parquet and read again as the next one's
-input.
+input; the table before it is dropped then.
+
+Edge cases: a null or empty text has no toxic term, one empty line, no class and
+no benchmark window, so its row goes through all stages and has no ids in the
+end. Rows that repeat an id are documents of their own, but exact copies: of
+these, as of near copies, one stays. Columns besides ``documents``'s own go
+through as they are, whatever their names (in the last stage only ``doc_id``
+does). An empty table goes through as one. A text is held whole by each stage.
 """
 
 from __future__ import annotations
@@ -57,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.tables(spark, sf_dir, "documents")
+    docs, before = common.tables(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        own = common.Scratch(spark, name.replace(" ", "-"))
+        docs = own.stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = own
     return docs
