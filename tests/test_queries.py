@@ -9,7 +9,7 @@ import pytest
 from vicinal.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["cover_pvalue", "knn_exact", "knn_bucketed", "fuzzy_union", "coarsen_galerkin", "prediction_set", "trust_continuity", "path_ties_drop", "policy_tilt", "components_min_label"]
+SOME = ["cover_pvalue", "knn_exact", "knn_bucketed", "fuzzy_union", "coarsen_galerkin", "prediction_set", "trust_continuity", "path_ties_drop", "policy_tilt", "components_min_label", "landmark_backbone", "cross_entropy", "affinity_usage", "support_per_landmark", "novelty", "edge_lengths"]
 
 
 def rows(df: pd.DataFrame) -> list:

@@ -16,17 +16,23 @@ BLOCK = 1024
 KNN = "i long, rk int, j long, d double"
 #: Pairs whose exact distances are taken at a time.
 STEP = 1 << 16
+#: Parts of a bucket's query blocks.
+SALTS = 4
 #: Rounding of a squared distance by the product formula, as a share of the norms.
 ROUNDING = 1e-12
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def checked(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v) with v as array<double>; a null, NaN or a vector of another
-    length than the first is an error."""
+    """(id, v) with v as array<double>; a null, NaN or infinite value, or a
+    vector of another length than the first row's, is an error."""
     v = F.col(column).cast("array<double>")
-    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    return df.select(F.col(id_column).cast("long").alias("id"), F.when(bad, F.raise_error(F.lit("a vector has a null or NaN")).cast("array<double>")).otherwise(v).alias("v"))
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    first = df.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).first()
+    ragged = F.size(v) != (first["n"] if first else 0)
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
+    v = F.when(bad, fail("a vector has a null, NaN or infinite value")).when(ragged, fail("vectors differ in length")).otherwise(v)
+    return df.select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
 def blocks(df: DataFrame, size: int = BLOCK, by: str | None = None) -> DataFrame:
@@ -158,13 +164,42 @@ def knn_bucketed(df: DataFrame, landmarks: DataFrame, k: int, c_buckets: int, c_
     with fewer than k are searched exactly."""
     m = METRICS[metric] if isinstance(metric, str) else metric
     found = assign(df, landmarks, max(c_buckets, c_search))
+    if m.name in ("l2", "frobenius"):
+        rows = found.join(df, "id").select("id", "v", "l", "rk")
+        near = _shared_nearest(rows.where(F.col("rk") <= c_search), rows.where(F.col("rk") <= c_buckets), k)
+        return _completed(near, df, k)
     query = found.where(F.col("rk") <= c_search).select("l", F.col("id").alias("i"))
     stored = found.where(F.col("rk") <= c_buckets).select("l", F.col("id").alias("j"))
     pairs = query.join(stored, "l").where("i != j").select("i", "j").distinct()
     pairs = pairs.join(df.select(F.col("id").alias("i"), F.col("v").alias("x")), "i").join(df.select(F.col("id").alias("j"), F.col("v").alias("y")), "j")
     d = pairs.select("i", "j", m(F.col("x"), F.col("y")).alias("d"))
     rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    near = d.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
+    return _completed(d.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d"), df, k)
+
+
+def _shared_nearest(query: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the rows that share a value of ``l``: blocks of a bucket
+    meet, a stored block with ``SALTS`` parts of the bucket's query blocks, and
+    only their first k are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
+                a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
+                row, col, d = first_k(a, b, qi, ci, k, True)
+                yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": d})
+
+    left = blocks(query, by="l").select("g", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt"), F.col("ids").alias("qi"), F.col("m").alias("qm"))
+    right = blocks(stored, by="l").select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"), F.col("ids").alias("ci"), F.col("m").alias("cm"))
+    some = left.join(right, ["g", "salt"]).select("qi", "qm", "ci", "cm").mapInArrow(run, "i long, j long, d double")
+    once = some.groupBy("i", "j").agg(F.min("d").alias("d"))
+    rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return once.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
+
+
+def _completed(near: DataFrame, df: DataFrame, k: int) -> DataFrame:
+    """``near`` with the rows that have fewer than k searched exactly."""
     full = near.where(F.col("rk") == k).select(F.col("i").alias("id"))
     short = df.join(full, "id", "left_anti")
     return near.join(full.withColumnRenamed("id", "i"), "i", "left_semi").unionByName(nearest(short, df, k))

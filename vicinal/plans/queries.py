@@ -63,7 +63,9 @@ def r6(df: DataFrame) -> DataFrame:
 def shared(spark: SparkSession) -> None:
     """Iterations cut their lineage in the shared folder; tests have none set."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile  # one machine: a local test
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinal-"))
 
@@ -192,8 +194,8 @@ def one_nn(spark, d):
 
 
 _BK = f"""{E_}, {D_}, {KN_}, {M_}, {AS_},
-CAND AS (SELECT DISTINCT q.id AS i, s.id AS j FROM A q JOIN A s ON q.l = s.l AND q.id <> s.id WHERE q.rk <= 4 AND s.rk <= 4),
-BR AS (SELECT D.i, D.j, D.d, row_number() OVER (PARTITION BY D.i ORDER BY D.d, D.j) AS rk FROM CAND JOIN D ON CAND.i = D.i AND CAND.j = D.j),
+CAND AS MATERIALIZED (SELECT DISTINCT q.id AS i, s.id AS j FROM A q JOIN A s ON q.l = s.l AND q.id <> s.id WHERE q.rk <= 4 AND s.rk <= 4),
+BR AS MATERIALIZED (SELECT D.i, D.j, D.d, row_number() OVER (PARTITION BY D.i ORDER BY D.d, D.j) AS rk FROM CAND JOIN D ON CAND.i = D.i AND CAND.j = D.j),
 FULL_ AS (SELECT i FROM BR WHERE rk = {KNN}),
 BK AS (SELECT i, rk, j, d FROM BR WHERE rk <= {KNN} AND i IN (SELECT i FROM FULL_) UNION ALL SELECT i, rk, j, d FROM KN WHERE i NOT IN (SELECT i FROM FULL_))"""
 

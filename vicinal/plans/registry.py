@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vicinal.plans import objectives  # noqa: F401  registers its queries
 from vicinal.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
