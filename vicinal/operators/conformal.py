@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-12
+#: Stretches of scores that are summed apart.
+PARTS = 64
 
 
 def affinities(dist: DataFrame, tau: float = 1.0) -> DataFrame:
@@ -31,30 +33,53 @@ def consistency(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, ["id", "l"]).groupBy("id").agg((0.5 * F.sum(F.abs(F.col("a") - F.col("b")))).alias("consistency"))
 
 
+def counted(rows: DataFrame, groups: list[str] | None = None, parts: int = PARTS) -> DataFrame:
+    """One row for each different score s of (s, c): n (the sum of c), le (the sum
+    up to s) and total; by group where given.
+
+    Scores are summed first, then cut at ``parts`` - 1 quantiles; each stretch is
+    summed by a window of its own, and the stretches before it are added, so
+    neither all rows nor equal scores meet in one task."""
+    groups = groups or []
+    per = rows.where(F.col("s").isNotNull()).groupBy(*groups, "s").agg(F.sum("c").alias("n"))
+    cuts = per.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)]).alias("q")).first()["q"]  # parts - 1 numbers
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("s"))) if cuts else F.lit(0)
+    per = per.withColumn("part", part)
+    sums = per.groupBy(*groups, "part").agg(F.sum("n").alias("m"))
+    other = sums.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), F.col("m").alias("_m"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    pairs = sums.join(other, same) if same else sums.crossJoin(F.broadcast(other))  # parts rows a group
+    before = pairs.groupBy(*groups, "part").agg(F.coalesce(F.sum(F.when(F.col("_part") < F.col("part"), F.col("_m"))), F.lit(0)).alias("lower"), F.sum("_m").alias("total"))
+    before = before.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "lower", "total")
+    at = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("part") == F.col("_part")]
+    up = Window.partitionBy(*groups, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    summed = per.withColumn("own", F.sum("n").over(up)).join(before if groups else F.broadcast(before), at)
+    return summed.select(*groups, "s", "n", (F.col("lower") + F.col("own")).alias("le"), "total")
+
+
 def p_values(test: DataFrame, calib: DataFrame, groups: list[str] | None = None, sided: str = "upper") -> DataFrame:
     """(1 + calibration scores at least as large) / (n + 1) for rows (id, s);
-    ``two``: twice the smaller tail, at most 1. By group where given.
-
-    Both sides are sorted together and counted by one running window, so no
-    pair of rows is formed."""
+    ``two``: twice the smaller tail, at most 1. By group where given. A null
+    score has no row. No pair of rows is formed."""
     groups = groups or []
-    both = test.select(*groups, "id", "s", F.lit(0).alias("c")).unionByName(calib.select(*groups, F.lit(None).cast("long").alias("id"), "s", F.lit(1).alias("c")))
-    same = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    up, down = same.orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, 0), same.orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
-    counted = both.select("*", F.sum("c").over(up).alias("ge"), F.sum("c").over(down).alias("le"), F.sum("c").over(same).alias("n")).where("c = 0")
-    hi, lo = (1 + F.col("ge")) / (F.col("n") + 1), (1 + F.col("le")) / (F.col("n") + 1)
+    own = [F.col(g) for g in groups]
+    both = test.select(*own, "s", F.lit(0).alias("c")).unionByName(calib.select(*own, "s", F.lit(1).alias("c")))
+    found = counted(both, groups).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("s").alias("_s"), "n", "le", "total")
+    rows = test.select(*own, "id", "s").join(found, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("s") == F.col("_s")])
+    ge = F.col("total") - F.col("le") + F.col("n")
+    hi, lo = (1 + ge) / (F.col("total") + 1), (1 + F.col("le")) / (F.col("total") + 1)
     p = hi if sided == "upper" else F.least(F.lit(1.0), 2 * F.least(hi, lo))
-    return counted.select(*groups, "id", "s", p.alias("p"))
+    return rows.select(*groups, "id", "s", p.alias("p"))
 
 
 def thresholds(calib: DataFrame, alphas: list[float], groups: list[str] | None = None) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score for each alpha; infinity
     beyond n."""
     groups = groups or []
-    lists = calib.groupBy(*groups).agg(F.sort_array(F.collect_list("s")).alias("ss"))
-    a = F.explode(F.array(*(F.lit(x) for x in alphas)))
-    k = F.ceil(F.round((F.size("ss") + 1) * (1 - F.col("alpha")), 9)).cast("int")
-    return lists.withColumn("alpha", a).select(*groups, "alpha", F.coalesce(F.try_element_at("ss", k), F.lit(float("inf"))).alias("threshold"), F.size("ss").cast("long").alias("n"))
+    ranked = counted(calib.withColumn("c", F.lit(1)), groups).withColumn("alpha", F.explode(F.array(*(F.lit(x) for x in alphas))))
+    k = F.ceil(F.round((F.col("total") + 1) * (1 - F.col("alpha")), 9))
+    found = ranked.groupBy(*groups, "alpha").agg(F.min(F.when(F.col("le") >= k, F.col("s"))).alias("t"), F.max("total").alias("n"))
+    return found.select(*groups, "alpha", F.coalesce("t", F.lit(float("inf"))).alias("threshold"), F.col("n").cast("long").alias("n"))
 
 
 def prediction_sets(p: DataFrame, alpha: float, group: str = "grp") -> DataFrame:
@@ -63,10 +88,10 @@ def prediction_sets(p: DataFrame, alpha: float, group: str = "grp") -> DataFrame
 
 
 def bh_reject(p: DataFrame, alpha: float) -> DataFrame:
-    """Benjamini-Hochberg step-up on (id, p)."""
-    ordered = p.withColumn("rk", F.row_number().over(Window.orderBy("p", "id"))).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
-    cut = ordered.agg(F.coalesce(F.max(F.when(F.col("p") <= alpha * F.col("rk") / F.col("m"), F.col("rk"))), F.lit(0)).alias("cut"))
-    return ordered.crossJoin(F.broadcast(cut)).select("id", "p", (F.col("rk") <= F.col("cut")).alias("reject"))  # one row
+    """Benjamini-Hochberg step-up on (id, p): of equal p the last rank decides."""
+    ranked = counted(p.select(F.col("p").alias("s"), F.lit(1).alias("c")))
+    cut = ranked.agg(F.max(F.when(F.col("s") <= alpha * F.col("le") / F.col("total"), F.col("s"))).alias("cut"))
+    return p.crossJoin(F.broadcast(cut)).select("id", "p", F.coalesce(F.col("p") <= F.col("cut"), F.lit(False)).alias("reject"))  # one row
 
 
 def mann_whitney_u(rows: DataFrame, x: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators.conformal import counted
+
 
 def average_rank(c: str) -> Column:
     """Rank from 1, ties averaged, over the whole table."""
@@ -121,5 +123,7 @@ def quantile_bins(rows: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def ks_uniform(p: DataFrame) -> DataFrame:
-    ordered = p.select("p", F.row_number().over(Window.orderBy("p")).alias("rk"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    return ordered.agg(F.max(F.greatest(F.col("rk") / F.col("n") - F.col("p"), F.col("p") - (F.col("rk") - 1) / F.col("n"))).alias("ks"))
+    """The largest gap between (id, p) and the uniform law."""
+    ranked = counted(p.select(F.col("p").alias("s"), F.lit(1).alias("c")))
+    above, below = F.col("le") / F.col("total") - F.col("s"), F.col("s") - (F.col("le") - F.col("n")) / F.col("total")
+    return ranked.agg(F.max(F.greatest(above, below)).alias("ks"))

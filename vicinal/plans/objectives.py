@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import metrics as V
 from vicinal.operators import conformal as C
+from vicinal.operators import evaluate as Q
 from vicinal.operators import knn as K
 from vicinal.operators import objectives as O
 from vicinal.plans.queries import (
@@ -121,6 +122,13 @@ def exchangeable(spark, d):
     return C.p_values(s.where("id % 2 = 1"), s.where("id % 2 = 0")).select("id", (F.col("p") > 0.05).alias("exchangeable"))
 
 
+@query(W + _PV + ", R AS (SELECT p, rank() OVER (ORDER BY p) AS lo, count(*) OVER (ORDER BY p) AS hi, count(*) OVER () AS n FROM PV) SELECT round(max(greatest(hi / CAST(n AS DOUBLE) - p, p - (lo - 1) / CAST(n AS DOUBLE))), 6) AS ks FROM R")
+def uniformity(spark, d):
+    e = emb(spark, d)
+    s = C.scores(dist_to_marks(e)).where(F.col("id") >= MARKS).select("id", F.col("cover").alias("s"))
+    return r6(Q.ks_uniform(C.p_values(s.where("id % 2 = 1"), s.where("id % 2 = 0"))))
+
+
 @query(W + f"{E_} SELECT round(avg(greatest(0.9e0 * (v[1] - v[2]), -0.1e0 * (v[1] - v[2]))), 6) AS pinball, round(avg(CASE WHEN v[1] BETWEEN v[2] - 0.1e0 AND v[2] + 0.1e0 THEN 1e0 ELSE 0 END), 6) AS coverage FROM E")
 def interval_losses(spark, d):
     y, x = F.col("v")[0], F.col("v")[1]
