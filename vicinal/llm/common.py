@@ -69,10 +69,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.uri, self.n = shared_dir(spark, name), 0
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def stored(self, df: DataFrame, name: str = "") -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.uri}/{self.n}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{self.n}")
+        name = name or str(self.n)
+        df.write.parquet(f"{self.uri}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{name}")
+
+    def free(self, name: str) -> None:
+        """Drop one table by its name, once nothing reads it any more."""
+        drop_dir(f"{self.uri}/{name}")
 
     def drop(self) -> None:
         drop_dir(self.uri)

@@ -221,7 +221,7 @@ def sketch_table(scratch: common.Scratch, docs: DataFrame, column: str = "text",
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node, pa.binary()), lists, pa.array(np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)), pa.array(words, pa.binary()), piece.column(2)], names=["doc_id", "node", "keys", "n", "words", "digest"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), column, digest(column).alias("digest"))
-    return scratch.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary, digest binary"))
+    return scratch.stored(rows.mapInArrow(run, "doc_id long, node binary, keys array<long>, n long, words binary, digest binary"), "sketches")
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -384,19 +384,21 @@ def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -
     scratch = common.Scratch(docs.sparkSession, "near-copies")
     table = sketch_table(scratch, docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
+    rows = scratch.stored(table.select("doc_id", "node", "digest"))
     texts = scratch.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")))
     members = texts.select("node", F.explode("keys").alias("bucket"))
     members = scratch.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     short = texts.where(F.col("n") * SIMILARITY < SHORT).where("n > 3").select("node", "n")  # those of under SHORT k-mers and all that may be similar to one; under 4 k-mers all must agree
     needed = members.select("node").union(short.select("node")).distinct()
     words = some.select("node", "n", "words").join(needed, "node", "left_semi")
-    words = scratch.stored(words.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    words = scratch.stored(words.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words")), "words")
+    scratch.free("sketches")
 
     # the original of many copies shares most sketches with them all
     score = members.groupBy("node").agg(F.sum("size").alias("score"))
     left = scratch.stored(members.select("bucket", "node").join(score, "node"))
     labels = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         now = left.withColumn("label", F.col("node")) if labels is None else _mixed(_named(left, labels))
         now = scratch.stored(now)
         centres = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("centre"), F.col("label").alias("lc")), F.struct("score", "node")).alias("c")).select("bucket", "c.*")
@@ -412,12 +414,16 @@ def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -
         labels = _more(scratch, labels, pairs.select("a", "b"), words)
         done = _named(centres.select("bucket", F.col("centre").alias("node")), labels).select("bucket", F.col("label").alias("lc"))
         left = _named(now.select("bucket", "node", "score"), labels).join(done, "bucket").where("label != lc").select("bucket", "node", "score")
+        if turn == 0:  # from now on only texts of mixed buckets, and short ones, are read
+            mixed = _mixed(_named(members.select("bucket", "node"), labels)).select("node")
+            words = scratch.stored(words.join(mixed.union(short.select("node")).distinct(), "node", "left_semi"))
+            scratch.free("words")
 
     mixed = _mixed(_named(members.select("bucket", "node"), labels)).select("node")
     texts = _named(words.join(mixed.union(short.select("node")).distinct(), "node", "left_semi"), labels)
     labels = _more(scratch, labels, overlapping(scratch, texts), words)
 
-    named = table.select("doc_id", "node", "digest").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node", "digest")
+    named = rows.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), "node", "digest")
     named = common.stored(named, "named")
     scratch.drop()
     return named
