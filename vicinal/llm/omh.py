@@ -385,10 +385,12 @@ def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -
     table = sketch_table(scratch, docs, column, id_column)
     some = table.where(F.col("node").isNotNull())
     rows = scratch.stored(table.select("doc_id", "node", "digest"))
-    texts = scratch.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")))
+    texts = scratch.stored(some.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n")), "texts")
     members = texts.select("node", F.explode("keys").alias("bucket"))
     members = scratch.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
-    short = texts.where(F.col("n") * SIMILARITY < SHORT).where("n > 3").select("node", "n")  # those of under SHORT k-mers and all that may be similar to one; under 4 k-mers all must agree
+    # those of under SHORT k-mers and all that may be similar to one; under 4 k-mers all must agree
+    short = scratch.stored(texts.where(F.col("n") * SIMILARITY < SHORT).where("n > 3").select("node", "n"))
+    scratch.free("texts")
     needed = members.select("node").union(short.select("node")).distinct()
     words = some.select("node", "n", "words").join(needed, "node", "left_semi")
     words = scratch.stored(words.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words")), "words")
@@ -399,8 +401,7 @@ def labelled(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -
     left = scratch.stored(members.select("bucket", "node").join(score, "node"))
     labels = None
     for turn in range(ROUNDS):
-        now = left.withColumn("label", F.col("node")) if labels is None else _mixed(_named(left, labels))
-        now = scratch.stored(now)
+        now = left.withColumn("label", F.col("node")) if labels is None else scratch.stored(_mixed(_named(left, labels)))
         centres = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("centre"), F.col("label").alias("lc")), F.struct("score", "node")).alias("c")).select("bucket", "c.*")
         others = now.join(centres, "bucket").where("label != lc")
         pairs = others.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.count("*").alias("shared"))
