@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators.order import before
+
 TINY = 1e-12
 #: Stretches of scores that are summed apart.
 PARTS = 64
@@ -49,11 +51,11 @@ def counted(rows: DataFrame, groups: list[str] | None = None, parts: int = PARTS
     other = sums.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), F.col("m").alias("_m"))
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
     pairs = sums.join(other, same) if same else sums.crossJoin(F.broadcast(other))  # parts rows a group
-    before = pairs.groupBy(*groups, "part").agg(F.coalesce(F.sum(F.when(F.col("_part") < F.col("part"), F.col("_m"))), F.lit(0)).alias("lower"), F.sum("_m").alias("total"))
-    before = before.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "lower", "total")
+    lower = pairs.groupBy(*groups, "part").agg(F.coalesce(F.sum(F.when(F.col("_part") < F.col("part"), F.col("_m"))), F.lit(0)).alias("lower"), F.sum("_m").alias("total"))
+    lower = lower.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "lower", "total")
     at = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("part") == F.col("_part")]
     up = Window.partitionBy(*groups, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    summed = per.withColumn("own", F.sum("n").over(up)).join(before if groups else F.broadcast(before), at)
+    summed = per.withColumn("own", F.sum("n").over(up)).join(lower if groups else F.broadcast(lower), at)
     return summed.select(*groups, "s", "n", (F.col("lower") + F.col("own")).alias("le"), "total")
 
 
@@ -95,10 +97,12 @@ def bh_reject(p: DataFrame, alpha: float) -> DataFrame:
 
 
 def mann_whitney_u(rows: DataFrame, x: Column) -> DataFrame:
-    """U of the rows where ``x`` holds against the others; ties by id."""
-    ranked = rows.withColumn("rk", F.row_number().over(Window.orderBy("s", "id"))).withColumn("x", x)
-    n = F.count_if("x")
-    return ranked.agg((F.sum(F.when(F.col("x"), F.col("rk"))) - n * (n + 1) / 2).alias("u"))
+    """U of the rows (id, s) where ``x`` holds against the others; ties by id, and
+    rows of one score and id share their mean rank."""
+    per = rows.select("s", "id", F.coalesce(x, F.lit(False)).cast("long").alias("x")).groupBy("s", "id").agg(F.count("*").alias("c"), F.sum("x").alias("x"))
+    ranked = before(per, ["s", "id"], F.col("c"))
+    n = F.sum("x")
+    return ranked.agg((F.sum(F.col("x") * (F.col("before") + (F.col("c") + 1) / 2)) - n * (n + 1) / 2).alias("u"))
 
 
 def cqr_offset(rows: DataFrame, alpha: float) -> DataFrame:

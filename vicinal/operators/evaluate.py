@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators import knn as K
 from vicinal.operators.conformal import counted
 
 
-def average_rank(c: str) -> Column:
-    """Rank from 1, ties averaged, over the whole table."""
-    order, tie = Window.orderBy(c), Window.partitionBy(c)
-    return F.rank().over(order) + (F.count("*").over(tie) - 1) / 2
+def ranked(rows: DataFrame, groups: list[str] | None = None, **columns: str) -> DataFrame:
+    """Add the rank from 1, ties averaged, of each column under its given name,
+    over the whole table or by group. Rows with a null there have none and go.
+    Equal values are counted first and met by a join."""
+    groups, out = groups or [], rows
+    for name, c in columns.items():
+        at = counted(rows.select(*groups, F.col(c).alias("s"), F.lit(1).alias("c")), groups)
+        at = at.select(*groups, F.col("s").alias(c), (F.col("le") - (F.col("n") - 1) / 2).alias(name))
+        out = out.join(at, [*groups, c])
+    return out
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(average_rank(a).alias("ra"), average_rank(b).alias("rb")).agg(F.corr("ra", "rb").alias("rho"))
+    return ranked(pairs.select(a, b), ra=a, rb=b).agg(F.corr("ra", "rb").alias("rho"))
 
 
 def shepard(pairs: DataFrame) -> DataFrame:
     """rho, alpha and stress of pairs (g: original, e: embedded distance)."""
-    ranked = pairs.select("g", "e", average_rank("g").alias("rg"), average_rank("e").alias("re"))
-    s = ranked.agg(F.corr("rg", "re").alias("rho"), F.sum(F.col("g") * F.col("e")).alias("ge"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("g") * F.col("g")).alias("gg"))
+    s = ranked(pairs.select("g", "e"), rg="g", re="e")
+    s = s.agg(F.corr("rg", "re").alias("rho"), F.sum(F.col("g") * F.col("e")).alias("ge"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("g") * F.col("g")).alias("gg"))
     alpha = F.col("ge") / F.col("ee")
     left = alpha * alpha * F.col("ee") - 2 * alpha * F.col("ge") + F.col("gg")
     return s.select("rho", alpha.alias("alpha"), F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("gg")).alias("stress"))
@@ -33,21 +40,23 @@ def shepard_banded(pairs: DataFrame, bands: int = 3, least: int = 32) -> DataFra
     edges = pairs.agg(F.percentile("g", F.array(*(F.lit(k / bands) for k in range(bands + 1)))).alias("q"))
     split = pairs.crossJoin(F.broadcast(edges)).withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(bands))))  # one row
     split = split.where((F.col("g") >= F.element_at("q", F.col("band"))) & (F.col("g") <= F.element_at("q", F.col("band") + 1)))
-    rank = lambda c: F.rank().over(Window.partitionBy("band").orderBy(c)) + (F.count("*").over(Window.partitionBy("band", c)) - 1) / 2
-    ranked = split.select("band", rank("g").alias("rg"), rank("e").alias("re"))
-    return ranked.groupBy("band").agg(F.when(F.count("*") > least, F.corr("rg", "re")).alias("rho"), F.count("*").alias("n"))
+    each = ranked(split.select("band", "g", "e"), ["band"], rg="g", re="e")
+    return each.groupBy("band").agg(F.when(F.count("*") > least, F.corr("rg", "re")).alias("rho"), F.count("*").alias("n"))
 
 
 def ranks(dist: DataFrame) -> DataFrame:
     return dist.select("i", "j", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")).alias("rk"))
 
 
-def trust_continuity(original: DataFrame, embedded: DataFrame, n: int, k: int) -> DataFrame:
-    """Trustworthiness and continuity from all pair distances (i, j, d)."""
-    both = ranks(original).withColumnRenamed("rk", "ro").join(ranks(embedded).withColumnRenamed("rk", "re"), ["i", "j"])
+def trust_continuity(original: DataFrame, embedded: DataFrame, k: int) -> DataFrame:
+    """Trustworthiness and continuity of a map (id, v) of the rows (id, v): only
+    the ranks that the k neighbours of one have in the other are counted."""
+    n = original.count()
+    loss = lambda near, other: K.ranks(near, other).agg(F.coalesce(F.sum(F.when(F.col("rk") > k, F.col("rk") - k)), F.lit(0)).alias("s"))
+    trust, continuity = loss(K.knn(embedded, k), original), loss(K.knn(original, k), embedded)
     scale = 2.0 / (n * k * (2 * n - 3 * k - 1))
-    loss = lambda a, b: F.coalesce(F.sum(F.when((F.col(b) <= k) & (F.col(a) > k), F.col(a) - k)), F.lit(0))
-    return both.agg((1 - scale * loss("ro", "re")).alias("trust"), (1 - scale * loss("re", "ro")).alias("continuity"))
+    one = trust.withColumnRenamed("s", "t").crossJoin(continuity)  # one row each
+    return one.select((1 - scale * F.col("t")).alias("trust"), (1 - scale * F.col("s")).alias("continuity"))
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -59,7 +68,9 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 
 def rank_agreement(original: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Mean over rows of the correlation of their neighbour ranks."""
+    """Mean over query rows of the correlation of the ranks that all others have
+    by distance (i, j, d) in both spaces; all pairs of a query row are ranked, so
+    queries should be few."""
     both = ranks(original).withColumnRenamed("rk", "ro").join(ranks(embedded).withColumnRenamed("rk", "re"), ["i", "j"])
     return both.groupBy("i").agg(F.corr("ro", "re").alias("r")).agg(F.avg("r").alias("rank_agreement"))
 
@@ -69,10 +80,11 @@ def local_density(knn: DataFrame) -> DataFrame:
 
 
 def density_correspondence(a: DataFrame, b: DataFrame) -> DataFrame:
-    """OLS of log10 densities (b on a), Pearson and Spearman."""
+    """OLS of log10 densities (b on a), Pearson and Spearman. The densities are
+    stored once for their ranks."""
     x = local_density(a).select("i", F.log10("density").alias("x"))
     y = local_density(b).select("i", F.log10("density").alias("y"))
-    both = x.join(y, "i").select("x", "y", average_rank("x").alias("rx"), average_rank("y").alias("ry"))
+    both = ranked(x.join(y, "i").select("x", "y").checkpoint(), rx="x", ry="y")
     return both.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
 
 
@@ -87,14 +99,15 @@ def spacing(embedded: DataFrame, original: DataFrame) -> DataFrame:
 def auc_pairs(rows: DataFrame) -> DataFrame:
     """For all pairs of classes (label) with lo < hi: P(s of hi > s of lo) plus
     half the ties, from ranks: (lo, hi, auc)."""
-    a = rows.groupBy(F.col("label").alias("lo")).agg(F.count("*").alias("n_lo"))
-    b = rows.groupBy(F.col("label").alias("hi")).agg(F.count("*").alias("n_hi"))
-    pairs = a.join(b, F.col("lo") < F.col("hi"))
-    each = pairs.join(rows, (F.col("label") == F.col("lo")) | (F.col("label") == F.col("hi")))
-    rank = F.rank().over(Window.partitionBy("lo", "hi").orderBy("s")) + (F.count("*").over(Window.partitionBy("lo", "hi", "s")) - 1) / 2
-    ranked = each.withColumn("rk", rank)
-    top = F.sum(F.when(F.col("label") == F.col("hi"), F.col("rk")))
-    return ranked.groupBy("lo", "hi", "n_lo", "n_hi").agg(((top - F.col("n_hi") * (F.col("n_hi") + 1) / 2) / (F.col("n_lo") * F.col("n_hi"))).alias("auc")).select("lo", "hi", "auc")
+    per = rows.where(F.col("label").isNotNull() & F.col("s").isNotNull()).groupBy("label", "s").agg(F.count("*").alias("c"))
+    size = per.groupBy("label").agg(F.sum("c").alias("n"))
+    pairs = size.select(F.col("label").alias("lo"), F.col("n").alias("n_lo")).join(size.select(F.col("label").alias("hi"), F.col("n").alias("n_hi")), F.col("lo") < F.col("hi"))
+    side = lambda c, of_hi: pairs.select("lo", "hi").join(per.withColumnRenamed("label", c), c).select("lo", "hi", "s", "c", (F.col("c") * of_hi).alias("of_hi"))
+    both = side("lo", 0).unionByName(side("hi", 1))
+    rank = counted(both, ["lo", "hi"]).select("lo", "hi", "s", (F.col("le") - (F.col("n") - 1) / 2).alias("rk"))
+    top = both.where("of_hi > 0").join(rank, ["lo", "hi", "s"]).groupBy("lo", "hi").agg(F.sum(F.col("of_hi") * F.col("rk")).alias("top"))
+    auc = (F.col("top") - F.col("n_hi") * (F.col("n_hi") + 1) / 2) / (F.col("n_lo") * F.col("n_hi"))
+    return pairs.join(top, ["lo", "hi"]).select("lo", "hi", auc.alias("auc"))
 
 
 def class_positions(rows: DataFrame) -> DataFrame:
@@ -108,11 +121,12 @@ def label_accuracy(knn: DataFrame, labels: DataFrame) -> DataFrame:
     return won.join(labels.select(F.col("id").alias("i"), "label"), "i").agg(F.avg((F.col("won") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-def silhouette(dist: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean silhouette from all pair distances (i, j, d)."""
-    a = dist.join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j").groupBy("i", "lj").agg(F.avg("d").alias("m"))
-    own = a.join(labels.select(F.col("id").alias("i"), "label"), "i")
-    s = own.groupBy("i").agg(F.max(F.when(F.col("lj") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("lj") != F.col("label"), F.col("m"))).alias("b"))
+def silhouette(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean silhouette of rows (id, v) by their labels (id, label), from the mean
+    distances to each class; 0 for a row alone in its class."""
+    known = rows.join(labels, "id").select("id", "v", "label")
+    own = K.class_means(known, known).withColumnRenamed("label", "lj").join(labels.select(F.col("id").alias("i"), "label"), "i")
+    s = own.groupBy("i").agg(F.max(F.when(F.col("lj") == F.col("label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("lj") != F.col("label"), F.col("mean"))).alias("b"))
     return s.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,108 @@ def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = T
     return some.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Ids and matrices of the pairs of blocks, and the columns beyond these."""
+    for batch in batches:
+        for qi, qm, ci, cm, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
+            yield qi, np.frombuffer(qm, "<f8").reshape(len(qi), -1), ci, np.frombuffer(cm, "<f8").reshape(len(ci), -1), *more
+
+
+def _by_class(query: DataFrame, classes: DataFrame) -> DataFrame:
+    left = blocks(query).select(F.col("ids").alias("qi"), F.col("m").alias("qm"))
+    right = blocks(classes.where(F.col("label").isNotNull()), by="label").select(F.col("ids").alias("ci"), F.col("m").alias("cm"), "g")
+    return left.crossJoin(right)
+
+
+def class_nearest(query: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each class of ``classes`` (id, v, label) for each row
+    of ``query``, but itself, ties by id: (i, label, rk, j, d). Only the first k
+    of a pair of blocks are shuffled. Rows without a class are nobody's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b, g in _met(batches):
+            row, col, d = first_k(a, b, qi, ci, k, True)
+            yield pa.RecordBatch.from_pydict({"i": qi[row], "label": np.full(len(row), g), "j": ci[col], "d": d})
+
+    some = _by_class(query, classes).mapInArrow(run, "i long, label long, j long, d double")
+    rk = F.row_number().over(Window.partitionBy("i", "label").orderBy("d", "j"))
+    return some.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "label", "rk", "j", "d")
+
+
+def class_means(query: DataFrame, classes: DataFrame) -> DataFrame:
+    """Mean distance of each row of ``query`` to the other rows of each class of
+    ``classes`` (id, v, label): (i, label, mean, n). Pairs of blocks give one sum
+    a row and class, so no pair of rows leaves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b, g in _met(batches):
+            d2 = l2_kernel(a, b)
+            near = d2 <= 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])  # where the product formula cancels
+            d = np.sqrt(d2)
+            row, col = np.nonzero(near)
+            d[row, col] = exact(a, b, row, col)
+            other = qi[:, None] != ci[None]
+            yield pa.RecordBatch.from_pydict({"i": qi, "label": np.full(len(qi), g), "s": np.where(other, d, 0).sum(1), "n": other.sum(1)})
+
+    some = _by_class(query, classes).mapInArrow(run, "i long, label long, s double, n long")
+    sums = some.groupBy("i", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    return sums.select("i", "label", (F.col("s") / F.col("n")).alias("mean"), "n")
+
+
+def distances(pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """(i, j, d) of given pairs of rows, computed as ``nearest`` does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                a, b = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for k in (2, 3))
+                at = np.arange(n)
+                yield pa.RecordBatch.from_pydict({"i": batch.column(0), "j": batch.column(1), "d": exact(a, b, at, at)})
+
+    x, y = (df.select(F.col("id").alias(c), F.col("v").alias(v)) for c, v in (("i", "x"), ("j", "y")))
+    return pairs.select("i", "j").join(x, "i").join(y, "j").select("i", "j", "x", "y").mapInArrow(run, "i long, j long, d double")
+
+
+def ranks(pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """(i, j, rk): the rank of row j among the others by distance from row i, ties
+    by id, for few j of each i, whose distances ride with row i's vector.
+
+    Pairs of blocks count the rows that come first; the sums of (i, j) are all
+    that is shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                ids, v, js, ds = (c for c in batch.slice(at, BLOCK).columns)
+                m, n = v.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(js).to_numpy()
+                held = (ids.to_numpy().astype("<i8"), m.astype("<f8"), n.astype("<i8"), js.flatten().to_numpy().astype("<i8"), ds.flatten().to_numpy().astype("<f8"))
+                yield pa.RecordBatch.from_pydict(dict(zip(("qi", "qm", "n", "js", "ds"), ([x.tobytes()] for x in held), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b, n, js, ds in _met(batches):
+            row, js, ds = np.repeat(np.arange(len(qi)), np.frombuffer(n, "<i8")), np.frombuffer(js, "<i8"), np.frombuffer(ds, "<f8")
+            g = l2_kernel(a, b)
+            g[qi[:, None] == ci[None]] = np.inf
+            off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])
+            low, high, first = g - off, g + off, np.zeros(len(js), "<i8")
+            for at in range(0, len(js), BLOCK):
+                own, d2 = row[at : at + BLOCK], ds[at : at + BLOCK, None] ** 2
+                under = high[own] < d2
+                t, col = np.nonzero(~under & (low[own] <= d2))  # too close to call
+                d, j = exact(a, b, own[t], col), ci[col]
+                t = t[(d < ds[at + t]) | ((d == ds[at + t]) & (j < js[at + t]))]
+                first[at : at + BLOCK] = under.sum(1) + np.bincount(t, minlength=len(own))
+            yield pa.RecordBatch.from_pydict({"i": qi[row], "j": js, "n": first})
+
+    asked = distances(pairs, df).groupBy(F.col("i").alias("id")).agg(F.collect_list(F.struct("j", "d")).alias("t"))
+    held = df.join(asked, "id").select("id", "v", F.col("t.j").alias("js"), F.col("t.d").alias("ds"))
+    left = held.mapInArrow(pack, "qi binary, qm binary, n binary, js binary, ds binary")
+    right = blocks(df).select(F.col("ids").alias("ci"), F.col("m").alias("cm"))
+    some = left.crossJoin(right).select("qi", "qm", "ci", "cm", "n", "js", "ds").mapInArrow(run, "i long, j long, n long")
+    return some.groupBy("i", "j").agg((F.sum("n") + 1).alias("rk"))
+
+
 def pair_distances(a: DataFrame, b: DataFrame, metric: MetricSpec | str = "l2", where: Column | None = None) -> DataFrame:
     """All pairs (i, j, d) under any metric; ``where`` may use i and j."""
     m = METRICS[metric] if isinstance(metric, str) else metric

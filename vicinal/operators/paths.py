@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators.order import before
+
 
 def collapse_ties(rows: DataFrame, policy: str = "first") -> DataFrame:
     """Of rows (grp, t, id) with the same grp and t: the first or last by id, or
@@ -27,7 +29,7 @@ def triplets(rows: DataFrame, lag: int = 3, policy: str = "first") -> DataFrame:
 
 def remap(found: DataFrame, keep: DataFrame) -> DataFrame:
     """Triplets whose three ends are kept, renumbered by the order of ids."""
-    number = keep.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("k"))
+    number = before(keep.select("id").distinct(), ["id"]).select("id", F.col("before").alias("k"))
     out = found
     for c in ("a", "near", "mid"):
         out = out.join(number.select(F.col("id").alias(c), F.col("k").alias(f"{c}_k")), c)
@@ -49,16 +51,16 @@ def parse_index(c: Column) -> Column:
 
 def dense_ids(rows: DataFrame, *columns: str) -> DataFrame:
     """Add ``gid``: dense ids from 0 of the columns' values in order."""
-    names = rows.select(*columns).distinct()
-    ids = names.select(*columns, (F.dense_rank().over(Window.orderBy(F.concat_ws("|", *columns))) - 1).cast("long").alias("gid"))
-    return rows.join(ids, list(columns))
+    own = rows.withColumn("_name", F.concat_ws("|", *columns))
+    ids = before(own.select("_name").distinct(), ["_name"]).select("_name", F.col("before").alias("gid"))
+    return own.join(ids, "_name").drop("_name")
 
 
 def subset_by_group(groups: DataFrame, n_keep: int, seed: int | None = None) -> DataFrame:
     """Whole groups (grp, n), by id or by a seeded hash, until n_keep rows are reached."""
-    order = ["grp"] if seed is None else [F.xxhash64("grp", F.lit(seed)), F.col("grp")]
-    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn("before", before).where(F.col("before") < n_keep).drop("before")
+    order = ["grp"] if seed is None else ["_h", "grp"]
+    own = groups if seed is None else groups.withColumn("_h", F.xxhash64("grp", F.lit(seed)))
+    return before(own, order, F.col("n")).where(F.col("before") < n_keep).select(*groups.columns)
 
 
 def order_share(rows: DataFrame) -> DataFrame:

@@ -74,10 +74,6 @@ def dist_to_marks(e: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return K.pair_distances(e if rows is None else rows, marks(e)).select(F.col("i").alias("id"), F.col("j").alias("l"), "d")
 
 
-def all_pairs(e: DataFrame) -> DataFrame:
-    return K.nearest(e, e, 1 << 30).select("i", "j", "d")
-
-
 # ---- SQL pieces -----------------------------------------------------------
 E_ = "E AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label FROM embeddings)"
 Z_ = "Z AS (SELECT id, v[1:2] AS v, label FROM E)"
@@ -415,12 +411,9 @@ def bh_reject(spark, d):
 
 @query(W + f"{E_}, {D_}, CR AS (SELECT D.i AS id, b.label AS grp, D.d, row_number() OVER (PARTITION BY D.i, b.label ORDER BY D.d, D.j) AS rk FROM D JOIN E b ON D.j = b.id) SELECT id, grp, round(d, 6) AS score FROM CR WHERE rk = 5")
 def class_region(spark, d):
-    e, y = emb(spark, d), labels(spark, d)
-    from pyspark.sql import Window
-
-    r = all_pairs(e).join(y.select(F.col("id").alias("j"), F.col("label").alias("grp")), "j")
-    r = r.withColumn("rk", F.row_number().over(Window.partitionBy("i", "grp").orderBy("d", "j"))).where("rk = 5")
-    return r6(r.select(F.col("i").alias("id"), "grp", F.col("d").alias("score")))
+    e = emb(spark, d)
+    r = K.class_nearest(e, e.join(labels(spark, d), "id"), 5).where("rk = 5")
+    return r6(r.select(F.col("i").alias("id"), F.col("label").alias("grp"), F.col("d").alias("score")))
 
 
 @query(W + f"{E_}, I AS (SELECT v[1] - 0.1e0 AS lo, v[1] + 0.1e0 AS hi, v[2] AS y FROM E) SELECT round(quantile_cont(greatest(lo - y, y - hi), least(1, 0.9e0 * (1 + 1e0 / (SELECT count(*) FROM I)))), 6) AS \"offset\" FROM I".replace("least(1, 0.9e0 * (1 + 1e0 / (SELECT count(*) FROM I)))", "0.9"))
@@ -466,9 +459,10 @@ _AV = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0
 
 
 def _query_pairs(spark, d):
+    shared(spark)
     e, z = emb(spark, d), flat(emb(spark, d))
     g, h = (K.pair_distances(t.where("id % 100 = 0"), t, "l2", F.col("i") != F.col("j")) for t in (e, z))
-    return g.withColumnRenamed("d", "g").join(h.withColumnRenamed("d", "e"), ["i", "j"]).select("g", "e")
+    return g.withColumnRenamed("d", "g").join(h.withColumnRenamed("d", "e"), ["i", "j"]).select("g", "e").checkpoint()  # several aggregates follow
 
 
 @query(W + _GP + f", R AS (SELECT g, e, {_AV.format('g')} AS rg, {_AV.format('e')} AS re FROM G), T AS (SELECT corr(rg, re) AS rho, sum(g * e) / sum(e * e) AS al, sum(g * g) AS gg, sum(e * e) AS ee, sum(g * e) AS ge FROM R) SELECT round(rho, 6) AS rho, round(al, 6) AS alpha, round(sqrt((al * al * ee - 2 * al * ge + gg) / gg), 6) AS stress FROM T")
@@ -487,7 +481,7 @@ _TWO = f"{E_}, {Z_}, {D_}, {DZ_}, {KN_}, {KZ_}"
 @query(W + _TWO + f", RO AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS ro FROM D), RE AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS re FROM DZ), B AS (SELECT ro, re FROM RO JOIN RE ON RO.i = RE.i AND RO.j = RE.j), N AS (SELECT count(*) AS n FROM E) SELECT round(1 - 2e0 / (n * {KNN} * (2 * n - {3 * KNN + 1})) * sum(CASE WHEN re <= {KNN} AND ro > {KNN} THEN ro - {KNN} ELSE 0 END), 6) AS trust, round(1 - 2e0 / (n * {KNN} * (2 * n - {3 * KNN + 1})) * sum(CASE WHEN ro <= {KNN} AND re > {KNN} THEN re - {KNN} ELSE 0 END), 6) AS continuity FROM B, N GROUP BY n")
 def trust_continuity(spark, d):
     e = emb(spark, d)
-    return r6(Q.trust_continuity(all_pairs(e), all_pairs(flat(e)), e.count(), KNN))
+    return r6(Q.trust_continuity(e, flat(e), KNN))
 
 
 @query(W + _TWO + f", O AS (SELECT KN.i, count(KZ.j) AS n FROM KN LEFT JOIN KZ ON KN.i = KZ.i AND KN.j = KZ.j GROUP BY KN.i) SELECT round(avg(n / {KNN}e0), 6) AS overlap_at_k, round(avg(n / ({2 * KNN}e0 - n)), 6) AS jaccard_at_k FROM O")
@@ -496,10 +490,11 @@ def knn_overlap(spark, d):
     return r6(Q.overlap(K.knn(e, KNN), K.knn(flat(e), KNN), KNN))
 
 
-@query(W + f"{E_}, {Z_}, {D_}, {DZ_}, B AS (SELECT x.i, ro, re FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS ro FROM D) x JOIN (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS re FROM DZ) y ON x.i = y.i AND x.j = y.j) SELECT round(avg(r), 6) AS rank_agreement FROM (SELECT i, corr(ro, re) AS r FROM B GROUP BY i)")
+@query(W + f"{E_}, {Z_}, {D_}, {DZ_}, B AS (SELECT x.i, ro, re FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS ro FROM D) x JOIN (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS re FROM DZ) y ON x.i = y.i AND x.j = y.j) SELECT round(avg(r), 6) AS rank_agreement FROM (SELECT i, corr(ro, re) AS r FROM B WHERE i % 100 = 0 GROUP BY i)")
 def rank_agreement(spark, d):
     e = emb(spark, d)
-    return r6(Q.rank_agreement(all_pairs(e), all_pairs(flat(e))))
+    far = lambda t: K.nearest(t.where("id % 100 = 0"), t, 1 << 30)
+    return r6(Q.rank_agreement(far(e), far(flat(e))))
 
 
 @query(W + f"{E_}, {Z_}, QG AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r1 FROM E a JOIN E b ON a.id % 2 = 1 AND b.id % 2 = 0), QZ AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r2 FROM Z a JOIN Z b ON a.id % 2 = 1 AND b.id % 2 = 0) SELECT round(avg(n / {KNN}e0), 6) AS overlap_at_k, round(avg(n / ({2 * KNN}e0 - n)), 6) AS jaccard_at_k FROM (SELECT x.i, count(y.j) AS n FROM (SELECT * FROM QG WHERE r1 <= {KNN}) x LEFT JOIN (SELECT * FROM QZ WHERE r2 <= {KNN}) y ON x.i = y.i AND x.j = y.j GROUP BY x.i)")
@@ -511,6 +506,7 @@ def retrieval_overlap(spark, d):
 
 @query(W + _TWO + f", X AS (SELECT i, log10(1 / avg(d)) AS x FROM KN GROUP BY i), Y AS (SELECT i, log10(1 / avg(d)) AS y FROM KZ GROUP BY i), B AS (SELECT x, y, {_AV.format('x')} AS rx, {_AV.format('y')} AS ry FROM X JOIN Y ON X.i = Y.i) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM B")
 def density_correspondence(spark, d):
+    shared(spark)
     e = emb(spark, d)
     return r6(Q.density_correspondence(K.knn(e, KNN), K.knn(flat(e), KNN)))
 
@@ -528,7 +524,7 @@ def label_accuracy(spark, d):
 
 @query(W + f"{E_}, {D_}, X AS (SELECT D.i, b.label AS lj, a.label, avg(d) AS m FROM D JOIN E b ON D.j = b.id JOIN E a ON D.i = a.id GROUP BY 1, 2, 3), Y AS (SELECT i, max(CASE WHEN lj = label THEN m END) AS a, min(CASE WHEN lj <> label THEN m END) AS b FROM X GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM Y")
 def silhouette(spark, d):
-    return r6(Q.silhouette(all_pairs(emb(spark, d)), labels(spark, d)))
+    return r6(Q.silhouette(emb(spark, d), labels(spark, d)))
 
 
 @query(W + f"{E_}, X AS (SELECT a.label AS lo, b.label AS hi, avg(CASE WHEN b.v[1] > a.v[1] THEN 1e0 WHEN b.v[1] = a.v[1] THEN 0.5e0 ELSE 0 END) AS auc FROM E a JOIN E b ON a.label < b.label GROUP BY 1, 2) SELECT lo, hi, round(auc, 6) AS auc FROM X")
@@ -704,9 +700,10 @@ def emd_pairs(spark, d):
     return r6(N.emd_pairs(e.where("id % 100 = 0"), e, 8))
 
 
-@query()
+@query(f"""WITH {_ED}, C AS (SELECT src, dst, w, sum(w) OVER (ORDER BY src, dst, w ROWS UNBOUNDED PRECEDING) AS hi FROM ED),
+P AS (SELECT CAST('0x' || substr(md5('7:' || k), 1, 13) AS BIGINT) / 4503599627370496e0 * (SELECT sum(w) FROM ED) AS x FROM range(0, 1000) t(k))
+SELECT src, dst, w, count(*) AS draws FROM P JOIN C ON x >= hi - w AND x < hi GROUP BY 1, 2, 3""")
 def weighted_draw(spark, d):
-    shared(spark)
     return S.draw(_bipartite(spark, d), 1000, 7)
 
 
