@@ -55,6 +55,17 @@ def test_unknown_metric_and_bad_rows(spark):
         K.checked(bad).collect()
 
 
+def test_ragged_and_infinite_vectors_are_errors(spark):
+    schema = "vec_id long, embedding array<float>"
+    ragged = spark.createDataFrame([(0, [1.0] * 3), (1, [2.0] * 5), (2, [3.0] * 4), (3, [4.0] * 4)], schema)
+    with pytest.raises(Exception, match="differ in length"):
+        K.checked(ragged).collect()
+    for value in (float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="infinite value"):
+            K.checked(spark.createDataFrame([(0, [1.0]), (1, [value])], schema)).collect()
+    assert K.checked(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_components_take_the_smallest_id(spark):
     nodes = spark.range(12)
     pairs = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(11, 7), (9, 7)], "i long, j long")

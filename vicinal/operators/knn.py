@@ -32,7 +32,7 @@ def checked(df: DataFrame, id_column: str = "vec_id", column: str = "embedding")
     first = df.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).first()
     ragged = F.size(v) != (first["n"] if first else 0)
     fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
-    v = F.when(bad, fail("a vector has a null, NaN or infinite value")).when(ragged, fail("vectors differ in length")).otherwise(v)
+    v = F.when(bad, fail("a vector has a null or NaN or infinite value")).when(ragged, fail("vectors differ in length")).otherwise(v)
     return df.select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
