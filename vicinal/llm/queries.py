@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, cascade, common, decontam, linededup, omh, quality, sharding, tokenfile, toxicity, warc
+from vicinal.llm import bpe, cascade, common, decontam, fim, linededup, omh, quality, sharding, tokenfile, toxicity, warc
 
 #: Id that ends a document in token files.
 END_ID = 2
@@ -91,7 +91,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, uri).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(common.tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files, op13_fill_in_middle)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _BLACK = r"[^\x20\x09-\x0D]+"
@@ -151,4 +158,12 @@ gone AS (SELECT k FROM l WHERE length(k) >= {linededup.LEAST_CHARS} GROUP BY k H
 m AS (SELECT l.*, gone.k IS NOT NULL AS dropped FROM l LEFT JOIN gone ON l.k = gone.k),
 s AS (SELECT r, count(*) FILTER (dropped) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped) AS kept FROM m GROUP BY r)
 SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN s USING (r)""",
+    "op13_fill_in_middle": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS r1, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS r2, CAST('0x' || x[17:24] AS BIGINT) % 100 AS r3, CAST('0x' || x[25:32] AS BIGINT) % 100 AS r4 FROM d),
+p AS (SELECT *, array_to_string(u[1 : least(r1, r2)], '') AS a, array_to_string(u[least(r1, r2) + 1 : greatest(r1, r2)], '') AS m, array_to_string(u[greatest(r1, r2) + 1 :], '') AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= {fim.REWRITTEN} THEN 'plain' WHEN r4 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || m ELSE '<P>' || a || '<S>' || z || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
 }
