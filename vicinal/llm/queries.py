@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, cascade, common, decontam, fim, linededup, omh, quality, sharding, tokenfile, toxicity, warc
+from vicinal.llm import bpe, cascade, common, decontam, fim, linededup, omh, quality, secrets, sharding, tokenfile, toxicity, warc
 
 #: Id that ends a document in token files.
 END_ID = 2
@@ -91,6 +91,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, uri).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(common.tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.written(F.col("spans"), ["assign", "access", "hex"])
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(common.tables(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -98,14 +104,45 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files, op12_secret_scan, op13_fill_in_middle)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _BLACK = r"[^\x20\x09-\x0D]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _matches(kind: str, pattern: str) -> str:
+    """Matches of a pattern and where they start, from the texts between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, '{kind}' AS kind, m, sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+  SELECT r, unnest(m) AS m, unnest(p[1 : len(m)]) AS p, unnest(range(len(m))) AS k FROM (SELECT r, regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS p FROM d)) WINDOW w AS (PARTITION BY r ORDER BY k)"""
+
+
+def _op12_sql() -> str:
+    width, tests = secrets.WINDOW, {"digit": "[^0-9]", "upper": "[^A-Z]", "lower": "[^a-z]", "letter": "[^A-Za-z]"}
+    allow = "|".join(f"(?:{p})" for p in secrets.ALLOW)
+    rank = "list_position([" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "], kind)"
+    enough = " OR ".join(f"(kind = '{kind}' AND x <= {secrets.most(bits)}" + "".join(f" AND length(regexp_replace(part, '{tests[k]}', '', 'g')) >= {n}" for k, n in least.items()) + ")" for kind, _, bits, least in secrets.CLASSES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join([_matches("assign", secrets.ASSIGN), _matches("access", secrets.ACCESS), _matches("hex", secrets.HEX)])}),
+base AS (SELECT r, kind, CAST(s AS BIGINT) AS a, CAST(s + length(m) AS BIGINT) AS b FROM found
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= {secrets.LEAST_ASSIGNED} WHEN 'access' THEN length(m) >= {secrets.LEAST_ACCESS} ELSE length(m) >= {secrets.LEAST_HEX} END),
+cand AS ({" UNION ALL ".join(_matches(kind, f"[{chars}]+") for kind, chars, _, _ in secrets.CLASSES)}),
+win AS (SELECT r, kind, s + j AS h, substr(m, j + 1, {width}) AS part FROM (SELECT *, unnest(range(length(m) - {width - 1})) AS j FROM cand WHERE length(m) >= {width} AND NOT regexp_matches(m, '{allow}'))),
+bits AS (SELECT *, list_sum(list_transform(map_values(list_aggregate(string_split(part, ''), 'histogram')), lambda c: {[secrets.weight(c) for c in range(width + 1)]}[CAST(c AS BIGINT) + 1])) AS x FROM win),
+hit AS (SELECT r, kind, h, sum(CASE WHEN h <= before + {width} THEN 0 ELSE 1 END) OVER (PARTITION BY r, kind ORDER BY h) AS g FROM (SELECT *, lag(h) OVER (PARTITION BY r, kind ORDER BY h) AS before FROM bits WHERE {enough})),
+more AS (SELECT r, kind, CAST(min(h) AS BIGINT) AS a, CAST(max(h) + {width} AS BIGINT) AS b FROM hit GROUP BY r, kind, g),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = more.r AND base.a <= more.a AND more.b <= base.b)),
+per AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {rank}) FILTER (kind IN ('assign', 'access', 'hex')) AS based, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, {rank}) AS every FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN per USING (r)"""
+
+
 ORACLES = {
+    "op12_secret_scan": _op12_sql(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= {warc.LEAST_BYTES} THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first_id FROM p)
