@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, cascade, common, decontam, fim, linededup, omh, quality, secrets, sharding, tokenfile, toxicity, warc
+from vicinal.llm import bpe, cascade, common, decontam, fim, linededup, omh, prefixtrie, quality, secrets, sharding, tokenfile, toxicity, warc
 
 #: Id that ends a document in token files.
 END_ID = 2
@@ -91,6 +91,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, uri).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixtrie.build(common.tables(spark, sf_dir, "conversations"), 100, 6)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(common.tables(spark, sf_dir, "documents").select("doc_id", "text"))
     base = secrets.written(F.col("spans"), ["assign", "access", "hex"])
@@ -104,7 +109,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files, op12_secret_scan, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_order_minhash, op4_decontamination, op5_bpe, op6_extendible_shards, op7_cascade, op8_toxicity, op9_line_dedup, op10_token_files, op11_prefix_trie, op12_secret_scan, op13_fill_in_middle)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _BLACK = r"[^\x20\x09-\x0D]+"
@@ -141,7 +146,23 @@ per AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN per USING (r)"""
 
 
+#: CRC-32 of a short ASCII string s: bytes come in by xor, then eight shifts each.
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(s, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"
+
 ORACLES = {
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY i) AS v FROM t GROUP BY c),
+h AS (SELECT c, v, CAST({_CRC} % 6 AS BIGINT) AS h FROM (SELECT *, CAST(c AS VARCHAR) AS s FROM own)),
+built AS (SELECT h.c, list_concat(coalesce(b.v[1 : h.h], []), h.v[h.h + 1 :]) AS v FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, len(v) AS n, d, v[1 : d] AS p FROM (SELECT *, unnest(range(len(v) + 1)) AS d FROM built)),
+node AS (SELECT p, d, min(c) AS c, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[d].t) END AS own FROM p GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (p, d)),
+below AS (SELECT p[1 : e] AS p, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_) GROUP BY ALL)
+SELECT f.c AS conv_id, f.d AS depth, up.c AS parent_conv_id, f.n_convs, f.n_children, CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN below ON f.p = below.p AND f.d = below.d LEFT JOIN node up ON up.d = f.d - 1 AND up.p = f.p[1 : f.d - 1]""",
     "op12_secret_scan": _op12_sql(),
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
