@@ -484,6 +484,65 @@ def test_names_that_clash_are_replaced_or_kept(spark):
     assert [r.refers_to for r in warc.with_types(pages).collect()] == [None]
 
 
+def test_names_of_intermediate_columns_are_free_for_own_use(spark):
+    import corpus_pipeline as p
+
+    names = ["_id", "_digest", "_kept", "_row", "_gone", "_hash", "_text_hash", "_clean", "n_words", "score", "n_lines", "own3", "n_chars"]
+    wide = docs(spark, ["a b c\nd", "a b c\nd", None, ""]).withColumns({n: F.lit(f"own {n}") for n in names if n != "n_chars"}).withColumn("n_chars", F.lit(7))
+    for out in (omh.drop_copies(wide), linededup.drop(wide, broadcast_keys=0, least_docs=2), linededup.drop(wide, least_docs=2)):
+        assert {r._id for r in out.select("_id").collect()} == {"own _id"} and len(set(out.columns)) == len(out.columns)
+    items = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    real = common.tables
+    common.tables = lambda spark, d, name: items if name == "benchmark" else real(spark, d, name)
+    try:
+        for out in (p.drop_lines(spark, wide, ""), p.drop_near_copies(spark, wide, ""), p.cut_benchmark(spark, wide, "")):
+            assert out.columns == wide.columns
+            for r in out.collect():
+                assert all(r[n] == f"own {n}" for n in names if n != "n_chars")
+                assert r.n_chars == (7 if r.text is None else len(r.text))
+    finally:
+        common.tables = real
+
+
+def test_texts_made_to_collide_without_a_key(spark):
+    a, b = "gzgeetyg}:d}O:y~", "the insurance is"
+    assert len(set(Scan([a.encode()]).hashes(np.array([0]), np.array([16])).tolist() + Scan([b.encode()]).hashes(np.array([0]), np.array([16])).tolist())) == 1
+    assert cascade.base_counts([f"{a}\n{b}".encode()])["n_dup_lines"] == 0
+    rows = linededup.drop(docs(spark, [a] * 5 + [b] * 5), least_docs=6).collect()
+    assert {r.n_dropped for r in rows} == {0}
+    one, two = (Scan([b"insurance"], BREAK, lower=True, key=k).word_hashes.tolist() for k in (1, 2))
+    assert one != two
+
+
+def test_an_order_that_saves_work(spark, monkeypatch):
+    seen = {"slow": 0, "quick": 0}
+
+    def rule(name, work, rejects):
+        def run(s, b):
+            seen[name] += s.n
+            for _ in range(work):
+                s.count(cascade._UPPER)
+            return rejects(s, b)
+
+        return cascade.Rule(name, run)
+
+    rules = (rule("slow", 60, lambda s, b: s.count(cascade._UPPER) > 10**6), rule("quick", 0, lambda s, b: b["n_symbols"] == 0))
+    texts = [f"w{i} some plain words that go on and on for this text number {i} " + "x" * 500 for i in range(300)] + [f"$ w{i} one two three four five six seven eight nine ten" for i in range(30)]
+    best = cascade.order(docs(spark, texts), rules=rules)
+    assert [n for n, _, _ in best] == ["quick", "slow"]
+    data = [t.encode() for t in texts]
+    base, by = cascade.base_counts(data), {r.name: r for r in rules}
+    work = {}
+    for how, names in (("given", ["slow", "quick"]), ("measured", [n for n, _, _ in best])):
+        seen.update(slow=0, quick=0)
+        out = cascade.cascade(data, base, [by[n] for n in names])
+        work[how] = sum(seen.values())
+        assert (out == -1).sum() == 30
+    assert work == {"given": 660, "measured": 360}
+    rows = cascade.apply(docs(spark, texts), rules=rules).collect()
+    assert sum(r.kept for r in rows) == 30 and {r.rejected_by for r in rows} == {None, "quick"}
+
+
 def test_a_very_long_text(spark):
     rnd = random.Random(4)
     text = " ".join(f"w{rnd.randrange(5000)}" for _ in range(450_000)) + "\nlast line"  # longer than a shard

@@ -2,11 +2,11 @@
 
 Base counts are taken of every text. Texts that pass the base rule go through
 further rules; each rule only sees what the rules before it let through. The
-order follows rejections per cost, both measured by tasks on a sample of about
-``SAMPLE_ROWS`` rows, chosen by a hash of their texts. As a text is kept only if
-no rule rejects it, the order changes the work, never the verdict; the rule
-named for a rejected text is the first by the given order, so no result depends
-on measured times.
+order follows rejections per cost, both measured by tasks on a random sample of
+about ``SAMPLE_ROWS`` rows. As a text is kept only if no rule rejects it, the
+order changes the work, never the verdict. ``rejected_by`` names the rule that
+rejected first in the order that was run, which may differ between runs where
+several rules would reject; no other column depends on measured times.
 
 Edge cases: a null or empty text has no words and fails the base rule; rows
 that repeat are judged alike; columns of the input are kept, and those named
@@ -30,11 +30,13 @@ from vicinal.llm import common
 from vicinal.llm.textscan import CONTINUES, WHITE, Scan, table
 
 #: Rows of the sample that orders the rules, about.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, SEED = 2000, 7
 #: The symbols that are counted, and the base rule's limits.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
+#: Of the hashes that say which lines and words are equal in a text: a process's own.
+KEY = common.run_key()
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL, _LETTERS, _UPPER = table(SYMBOLS), table(bytes([*range(65, 91), *range(97, 123)])), table(bytes(range(65, 91)))
@@ -66,7 +68,7 @@ RULES = (
 
 
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
-    s = Scan(texts)
+    s = Scan(texts, key=KEY)
     return {
         "n_words": s.n_words,
         "word_chars": s.count(_CHARS),
@@ -82,20 +84,14 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 
 def cascade(texts: list[bytes], base: dict[str, np.ndarray], rules: list[Rule]) -> np.ndarray:
     """The number in ``rules`` of a rule that rejects each text; -1: kept, -2: base."""
-    out = np.where(base_failed(base), -2, -1)
+    out, scan, seen = np.where(base_failed(base), -2, -1), None, -1
     for k, rule in enumerate(rules):
         left = np.flatnonzero(out == -1)
         if not len(left):
             break
-        out[left[rule.rejects(Scan([texts[i] for i in left]), {n: v[left] for n, v in base.items()})]] = k
-    return out
-
-
-def named(texts: list[bytes], base: dict[str, np.ndarray], hit: np.ndarray, rules: tuple[Rule, ...]) -> np.ndarray:
-    """``hit`` with the first rule by the given order for each rejected text."""
-    out, gone = hit.copy(), np.flatnonzero(hit >= 0)
-    if len(gone):
-        out[gone] = cascade([texts[i] for i in gone], {n: v[gone] for n, v in base.items()}, list(rules))
+        if len(left) != seen:  # the rule before let fewer through
+            scan, counts, seen = Scan([texts[i] for i in left], key=KEY), {n: v[left] for n, v in base.items()}, len(left)
+        out[left[rule.rejects(scan, counts)]] = k
     return out
 
 
@@ -113,14 +109,14 @@ def order(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES,
                 some, counts = [texts[i] for i in left], {n: v[left] for n, v in base.items()}
                 seen += len(left)
                 for k, r in enumerate(rules if len(left) else ()):
-                    r.rejects(Scan(some[:1]), {n: v[:1] for n, v in counts.items()})
+                    r.rejects(Scan(some[:1], key=KEY), {n: v[:1] for n, v in counts.items()})
                     began = time.thread_time()
-                    hits[k] += r.rejects(Scan(some), counts).sum()
+                    hits[k] += r.rejects(Scan(some, key=KEY), counts).sum()
                     cost[k] += time.thread_time() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "cost": cost, "hits": hits, "seen": [seen] * len(rules)})
 
-    share = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(df.count(), 1)))
-    parts = df.select(column).where(share).mapInArrow(measure, "rule long, cost double, hits long, seen long")
+    some = df.select(column).sample(min(1.0, rows / max(df.count(), 1)), SEED)
+    parts = some.mapInArrow(measure, "rule long, cost double, hits long, seen long")
     found = {r["rule"]: r for r in parts.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("cost", "hits", "seen"))).collect()}  # a row a rule
     if not any(r["seen"] for r in found.values()):
         return [(r.name, 0.0, 0.0) for r in rules]
@@ -138,12 +134,12 @@ def apply(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [by[n] for n in names]
-        labels = np.array([*(r.name for r in rules), "base", ""], object)
+        labels = np.array([*names, "base", ""], object)
         for batch in batches:
             for piece in common.slices(batch, column):
                 texts = common.values(piece, column)
                 base = base_counts(texts)
-                hit = named(texts, base, cascade(texts, base, own), rules)
+                hit = cascade(texts, base, own)
                 cols = [piece.column(piece.schema.get_field_index(c)) for c in rest]
                 cols += [pa.array(base[n]) for n in BASE]
                 cols += [pa.array(hit == -2), pa.array(labels[hit], pa.string(), mask=hit == -1), pa.array(hit == -1)]

@@ -8,6 +8,7 @@ the folder named by ``spark.checkpoint.dir`` and are reached through
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -50,6 +51,22 @@ def drop_dir(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def run_key() -> int:
+    """A secret 64-bit key of hashes, drawn on the driver for one run."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from
+    ``columns`` (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

@@ -140,8 +140,8 @@ class FMIndex:
 class Block:
     """Windows of some items: words, patterns and the items of each pattern."""
 
-    def __init__(self, ids: list[str], texts: list[bytes]):
-        s = Scan(texts, BREAK, lower=True)
+    def __init__(self, ids: list[str], texts: list[bytes], key: int = 0):
+        s = Scan(texts, BREAK, lower=True, key=key)
         self.vocabulary, word = np.unique(s.word_hashes, return_inverse=True)
         word = word.astype(np.int32) + 1
         n, first = s.n_words, np.cumsum(s.n_words) - s.n_words
@@ -182,7 +182,7 @@ class Block:
         return n, self.item_of[common.ragged(self.item_start[pattern], n)]
 
 
-def _blocks(items: DataFrame, id_column: str, column: str) -> list[str]:
+def _blocks(items: DataFrame, id_column: str, column: str, key: int) -> list[str]:
     """Write the items as blocks to the shared folder; their file names."""
     uri = common.shared_dir(items.sparkSession, "items")
 
@@ -193,7 +193,7 @@ def _blocks(items: DataFrame, id_column: str, column: str) -> list[str]:
             for piece in common.slices(batch, "text", BLOCK_BYTES):
                 name = f"{uri}/{uuid.uuid4().hex}"
                 with fs.open_output_stream(f"{root}/{name.rsplit('/', 1)[1]}", compression=None) as f:
-                    f.write(pickle.dumps(Block([x.decode() for x in common.values(piece, "id")], common.values(piece, "text"))))
+                    f.write(pickle.dumps(Block([x.decode() for x in common.values(piece, "id")], common.values(piece, "text"), key)))
                 yield pa.RecordBatch.from_pydict({"name": [name]})
 
     rows = items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
@@ -241,7 +241,8 @@ def find(docs: DataFrame, items: DataFrame, column: str = "text", id_column: str
     """Add ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` (byte
     ranges of the UTF-8 text that are covered); with ``clean`` also a column of
     that name with the text without its spans."""
-    names = _blocks(items, id_column, item_column)
+    key = common.run_key()
+    names = _blocks(items, id_column, item_column, key)
     added = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": SPAN}
     if clean:
         added[clean] = T.StringType()
@@ -253,7 +254,7 @@ def find(docs: DataFrame, items: DataFrame, column: str = "text", id_column: str
         for batch in batches:
             for piece in common.slices(batch, column):
                 texts = common.values(piece, column)
-                s = Scan(texts, BREAK, lower=True)
+                s = Scan(texts, BREAK, lower=True, key=key)
                 hit, first, last, found = search(s, names)
                 start, end, doc = s.words
                 own = doc[first]

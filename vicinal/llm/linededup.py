@@ -46,8 +46,8 @@ BROADCAST_KEYS = 1 << 20
 class Lines:
     """Lines of some texts with their keys' ranges and 64-bit hashes."""
 
-    def __init__(self, texts: list[bytes]):
-        s = self.scan = Scan(texts, WHITE, lower=True)
+    def __init__(self, texts: list[bytes], key: int = 0):
+        s = self.scan = Scan(texts, WHITE, lower=True, key=key)
         self.start, self.end, self.doc = s.lines
         first, last, _ = s.words
         i, j = np.searchsorted(first, self.start), np.searchsorted(first, self.end)
@@ -59,8 +59,8 @@ class Lines:
 
     def exact(self, at: np.ndarray) -> list[bytes]:
         """128-bit hashes of the keys of some lines."""
-        data = self.scan.data
-        return [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(self.key_start[at], self.key_end[at], strict=True)]
+        data, seed = self.scan.data, self.scan.key
+        return [xxhash.xxh3_128_digest(data[a:b].tobytes(), seed=seed) for a, b in zip(self.key_start[at], self.key_end[at], strict=True)]
 
     def long_enough(self, chars: int) -> np.ndarray:
         if chars <= 1:
@@ -95,14 +95,14 @@ def filter_bytes(df: DataFrame) -> int:
     return n
 
 
-def twice_seen(df: DataFrame, column: str, chars: int, n_bytes: int) -> np.ndarray:
+def twice_seen(df: DataFrame, column: str, chars: int, n_bytes: int, key: int = 0) -> np.ndarray:
     """The merged twice-seen filter (at most ``FILTER_BYTES``)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros((2, n_bytes), np.uint8)
         for batch in batches:
             for piece in common.slices(batch, column):
-                x = Lines(common.values(piece, column))
+                x = Lines(common.values(piece, column), key)
                 h, doc = x.hash[x.long_enough(chars)], x.doc[x.long_enough(chars)]
                 h, n = np.unique(h[x.scan.first_in_doc(h, doc)], return_counts=True)
                 put(twice, h[(n > 1) | has(once, h)])
@@ -137,17 +137,17 @@ def twice_seen(df: DataFrame, column: str, chars: int, n_bytes: int) -> np.ndarr
     return out
 
 
-def repeated(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, np.ndarray]:
+def repeated(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, key: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Keys in ``least_docs`` documents or more: key (128-bit hash), n_docs and
     first (the smallest id, then line, that holds it); and the filter."""
     # of two documents on, the twice-seen filter misses none
-    bits = twice_seen(df, column, least_chars, filter_bytes(df)) if least_docs > 1 else np.full(BLOCK, 255, np.uint8)
+    bits = twice_seen(df, column, least_chars, filter_bytes(df), key) if least_docs > 1 else np.full(BLOCK, 255, np.uint8)
     shared = df.sparkSession.sparkContext.broadcast(bits)  # at most FILTER_BYTES
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, column):
-                x = Lines(common.values(piece, column))
+                x = Lines(common.values(piece, column), key)
                 at = np.flatnonzero(x.long_enough(least_chars) & has(shared.value, x.hash))
                 at = at[x.scan.first_in_doc(x.hash[at], x.doc[at])]
                 ids = piece.column(0).take(pa.array(x.doc[at]))
@@ -163,7 +163,8 @@ def drop(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_d
     """Drop all lines of repeated keys; with ``keep_first`` the first line in
     the document with the smallest id stays. ``column`` is replaced by the other
     lines; ``n_lines`` (before) and ``n_dropped`` are added."""
-    keys, bits = repeated(df, column, id_column, least_docs, least_chars)
+    key = common.run_key()
+    keys, bits = repeated(df, column, id_column, least_docs, least_chars, key)
     keys = common.stored(keys, "repeated-lines")
     context = df.sparkSession.sparkContext
     added = {"n_lines": T.LongType(), "n_dropped": T.LongType()}
@@ -186,7 +187,7 @@ def drop(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_d
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in common.slices(batch, column):
-                    x = Lines(common.values(piece, column))
+                    x = Lines(common.values(piece, column), key)
                     gone = np.zeros(len(x.doc), bool)
                     at = np.flatnonzero(x.long_enough(least_chars) & has(shared_bits.value, x.hash))
                     found = x.exact(at)
@@ -205,7 +206,7 @@ def drop(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_d
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, column):
-                x = Lines(common.values(piece, column))
+                x = Lines(common.values(piece, column), key)
                 at = np.flatnonzero(x.long_enough(least_chars) & has(shared_bits.value, x.hash))
                 line = at - np.searchsorted(x.doc, x.doc[at])
                 first = x.scan.first_in_doc(x.hash[at], x.doc[at])
@@ -213,19 +214,20 @@ def drop(df: DataFrame, column: str = "text", id_column: str = "doc_id", least_d
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(of), piece.column(2).take(of), pa.array(line), pa.array(first), pa.array(x.exact(at), pa.binary())], names=["doc_id", "text_hash", "line", "first", "key"])
 
     # lines go by the row's id and text: rows equal in both lose the same lines
-    marked = df.select(own).withColumn("_text_hash", F.xxhash64(F.col(column)))
-    narrow = marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column), F.col("_text_hash").alias("text_hash"))
+    text_hash, id_, hash_, gone_ = common.fresh(df.columns, "_text_hash", "_id", "_hash", "_gone")
+    marked = df.select(own).withColumn(text_hash, F.xxhash64(F.col(column)))
+    narrow = marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column), F.col(text_hash).alias("text_hash"))
     lines = narrow.mapInArrow(positions, "doc_id long, text_hash long, line long, first boolean, key binary").join(keys, "key")
     if keep_first:
         lines = lines.where(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("first_id"))))
-    gone = lines.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
-    joined = marked.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left").select(*own, "_gone")
+    gone = lines.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set("line").alias(gone_))
+    joined = marked.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & F.col(text_hash).eqNullSafe(F.col(hash_)), "left").select(*own, gone_)
 
     def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, column):
-                x = Lines(common.values(piece, column))
-                lists = piece.column(piece.schema.get_field_index("_gone")).to_pylist()
+                x = Lines(common.values(piece, column), key)
+                lists = piece.column(piece.schema.get_field_index(gone_)).to_pylist()
                 flags = np.zeros(len(x.doc), bool)
                 first = np.searchsorted(x.doc, np.arange(x.scan.n))
                 for d, own_lines in enumerate(lists):

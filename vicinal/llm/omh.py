@@ -461,11 +461,12 @@ def drop_copies(docs: DataFrame, column: str = "text", id_column: str = "doc_id"
     best = held.groupBy("label").agg(F.min(first).alias("best"), F.sum("rows").alias("size")).where("size > 1")
     best = common.stored(best, "best")
     marked = by_class(held, best, "size", held.count()).where("best is not null").withColumn("kept", first == F.col("best")).where("not kept or rows > 1")
-    marked = common.stored(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")), "marked")
-    match = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (digest(column) == F.col("_digest"))
+    id_, digest_, kept_, row_ = common.fresh(docs.columns, "_id", "_digest", "_kept", "_row")
+    marked = common.stored(marked.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), F.col("kept").alias(kept_)), "marked")
+    match = F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (digest(column) == F.col(digest_))
     out = docs.join(marked, match, "left_anti")
-    several = marked.where("_kept")
+    several = marked.where(F.col(kept_))
     if several.isEmpty():
         return out
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    return out.unionByName(docs.join(several, match).groupBy("_id", "_digest").agg(one).select("row.*"))
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row_)
+    return out.unionByName(docs.join(several, match).groupBy(id_, digest_).agg(one).select(f"{row_}.*"))

@@ -5,7 +5,9 @@ line feed. A stretch of up to ``LONG`` bytes is hashed eight bytes at a time, al
 stretches together: each step mixes the eight bytes into the state by a
 bijection, so that no structure of a text makes two stretches meet. Longer ones
 go to xxhash one by one. Two stretches with different bytes share a hash with a
-chance of about 2**-64.
+chance of about 2**-64. Without a key the seed is public, and texts can be written
+that share a hash; where equal hashes decide a result, a key drawn for the run
+(``common.run_key``) keeps such texts from being made beforehand.
 """
 
 from __future__ import annotations
@@ -49,10 +51,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Scan:
     """The texts of a piece. ``lower``: A-Z are lowered for hashes and words;
-    ``breaks``: the bytes that separate words."""
+    ``breaks``: the bytes that separate words; ``key``: of the hashes."""
 
-    def __init__(self, texts: list[bytes], breaks: np.ndarray = WHITE, lower: bool = False):
-        self.n = len(texts)
+    def __init__(self, texts: list[bytes], breaks: np.ndarray = WHITE, lower: bool = False, key: int = 0):
+        self.n, self.key = len(texts), key
         self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
         self.data = LOWER[self.raw] if lower else self.raw
         self.breaks = breaks
@@ -68,7 +70,7 @@ class Scan:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the stretches [start, end)."""
         size = end - start
-        out = mix(size.astype(np.uint64) * _SIZE + _SEED)
+        out = mix((size.astype(np.uint64) * _SIZE + _SEED) ^ np.uint64(self.key))
         live = np.flatnonzero((size > 0) & (size <= LONG))
         at, left = start[live], size[live]
         while len(live):
@@ -78,7 +80,7 @@ class Scan:
             live, at, left = live[more], at[more] + 8, left[more] - 8
         data, digest = memoryview(self.data), xxhash.xxh3_64_intdigest
         for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = digest(data[start[i] : end[i]])
+            out[i] = digest(data[start[i] : end[i]], seed=self.key)
         return out
 
     @cached_property
