@@ -10,6 +10,7 @@ from vicinal.operators import graph as G
 from vicinal.operators import knn as K
 from vicinal.operators import net as N
 from vicinal.operators import paths as P
+from vicinal.operators.cover import epsilon_net
 from vicinal.sources.store import GraphStore, fingerprint, needs_rebuild
 from vicinal.streaming.ingest import NetStream
 
@@ -75,7 +76,7 @@ def test_components_take_the_smallest_id(spark):
 
 def test_net_covers_and_packs(spark, cloud):
     e = vectors(spark, np.repeat(cloud[:20], 3, 0))
-    net = N.epsilon_net(e, e.where("id = 0"), 0.5).toPandas()
+    net = epsilon_net(e, e.where("id = 0"), 0.5).toPandas()
     x = np.repeat(cloud[:20], 3, 0)
     assert (np.sqrt(((x[net.id] - x[net.rep]) ** 2).sum(1)) <= 0.5 + 1e-9).all()
     reps = x[np.unique(net.rep)]
@@ -162,7 +163,7 @@ def test_knn_ties_go_by_id_and_large_norms_lose_none(spark):
 def test_net_of_large_buckets_covers_and_takes_the_nearest(spark):
     x = np.r_[np.arange(120) * 0.01, 50 + np.arange(9) * 0.01][:, None]  # two buckets, the first netted in parts
     e = vectors(spark, x)
-    net = N.epsilon_net(e, e.where("id in (0, 120)"), 0.1, max_bucket=30).toPandas().sort_values("id")
+    net = epsilon_net(e, e.where("id in (0, 120)"), 0.1).toPandas().sort_values("id")
     assert net.id.tolist() == list(range(129))
     d = np.abs(x[net.id] - x[net.rep])[:, 0]
     assert d.max() <= 0.1 + 1e-9

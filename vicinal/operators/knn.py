@@ -11,17 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.metrics import METRICS, MetricSpec
+from vicinal.operators.lineage import cut
 
 #: Rows of a block; a pair of blocks is one unit of the exact join.
 BLOCK = 1024
 KNN = "i long, rk int, j long, d double"
 #: Pairs whose exact distances are taken at a time.
 STEP = 1 << 16
-#: Parts of a bucket's query blocks.
-SALTS = 4
+#: Rows of one side of a cell of a bucket, and buckets whose sizes are broadcast, at most.
+CELL, LISTED = 8192, 100_000
 #: Rounding of a squared distance by the product formula, as a share of the norms.
 ROUNDING = 1e-12
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Ids and rows of queries, ids and rows of a corpus: columns of the result.
+BucketKernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict]
 
 
 def checked(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -55,31 +58,86 @@ def blocks(df: DataFrame, size: int = BLOCK, by: str | None = None) -> DataFrame
     return df.select("id", "v", (F.lit(0) if by is None else F.col(by)).cast("long").alias("g")).mapInArrow(run, "ids binary, m binary, g long")
 
 
-def block_pairs(query: DataFrame, corpus: DataFrame, by: str | None = None) -> DataFrame:
-    """Blocks (qi, qm) of ``query`` with blocks (ci, cm) of ``corpus``, of equal
-    ``by`` if given; no value of it gathers in one task."""
-    made = [blocks(df) if by is None else blocks(df, by=by) for df in (query, corpus)]
-    left = made[0].select(F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("g").alias("g1"))
-    right = made[1].select(F.col("ids").alias("ci"), F.col("m").alias("cm"), F.col("g").alias("g2"))
-    # not as an equality, by which the rows would be dealt
-    pairs = left.crossJoin(right) if by is None else left.join(right, (F.col("g1") <= F.col("g2")) & (F.col("g1") >= F.col("g2")))
-    return pairs.select("qi", "qm", "ci", "cm")
+def block_pairs(query: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Blocks (qi, qm) of ``query`` with blocks (ci, cm) of ``corpus``."""
+    left = blocks(query).select(F.col("ids").alias("qi"), F.col("m").alias("qm"))
+    right = blocks(corpus).select(F.col("ids").alias("ci"), F.col("m").alias("cm"))
+    return left.crossJoin(right)
 
 
-def within(df: DataFrame, eps: float, by: str | None = None) -> DataFrame:
-    """Pairs (i, j), i < j, of rows within ``eps``, of equal ``by`` if given."""
+def in_buckets(query: DataFrame, corpus: DataFrame, by: str, fn: BucketKernel, schema: str) -> DataFrame:
+    """Rows of ``query`` (id, v, ``by``) with those of ``corpus`` of equal ``by``, by
+    cells of at most ``CELL`` rows a side: ``fn(qi, qm, ci, cm)`` gives columns.
+
+    A bucket of more rows is a grid of cells: a query row goes to one row of the
+    grid and is copied along it, a corpus row to one column. Sizes are broadcast
+    of the at most ``LISTED`` buckets that are split; above that many, cells get
+    larger. A task holds one cell's corpus and streams its queries."""
+    sizes = query.groupBy(by).agg(F.count("*").alias("nq")).join(corpus.groupBy(by).agg(F.count("*").alias("nc")), by)
+    total = sizes.agg(F.sum("nq"), F.sum("nc")).first()
+    cell = max(CELL, -(-sum(x or 0 for x in total) // LISTED))
+    parts = lambda n: F.ceil(F.col(n) / cell).cast("int")
+    split = F.broadcast(sizes.where((F.col("nq") > cell) | (F.col("nc") > cell)).select(by, parts("nq").alias("sq"), parts("nc").alias("sc")))
+    one = F.lit(1)
+
+    def dealt(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.coalesce(own, one)).cast("int")
+        along = F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))
+        both = df.select("id", "v", by).join(split, by, "left").select("id", "v", F.col(by).cast("long").alias("g"), mine.alias("x"), along.alias("y"))
+        row, col = ("x", "y") if side else ("y", "x")
+        return both.select("g", F.col(row).alias("a"), F.col(col).alias("b"), F.lit(side).alias("side"), "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts = None, [], []
         for batch in batches:
-            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
-                off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None] + eps**2)
-                row, col = np.nonzero((l2_kernel(a, b) - off <= eps**2) & (qi[:, None] < ci[None]))
-                ok = exact(a, b, row, col) <= eps
-                yield pa.RecordBatch.from_pydict({"i": qi[row[ok]], "j": ci[col[ok]]})
+            key = np.stack([batch.column(k).to_numpy().astype("<i8") for k in range(4)], 1)
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if len(key) else []
+            for begin, end in zip(edge[:-1], edge[1:], strict=True):
+                cell_key, own = tuple(key[begin, :3]), batch.slice(begin, end - begin)
+                if cell_key != now:
+                    now, ids, parts = cell_key, [], []
+                v = own.column(5)
+                m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(float)
+                if key[begin, 3] == 0:
+                    ids.append(own.column(4).to_numpy().astype("<i8"))
+                    parts.append(m)
+                elif ids:
+                    if len(ids) > 1:
+                        ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                    qi = own.column(4).to_numpy().astype("<i8")
+                    for at in range(0, len(qi), BLOCK):
+                        out = fn(qi[at : at + BLOCK], m[at : at + BLOCK], ids[0], parts[0])
+                        yield pa.RecordBatch.from_pydict(out)
+
+    order = ["g", "a", "b"]
+    n = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt(corpus, 0, "sc", "sq").unionByName(dealt(query, 1, "sq", "sc"))
+    return rows.repartition(n, *order).sortWithinPartitions(*order, "side").mapInArrow(run, schema)
+
+
+def close(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the pairs of different ids within ``eps``."""
+    off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None] + eps**2)
+    row, col = np.nonzero((l2_kernel(a, b) - off <= eps**2) & (qi[:, None] != ci[None]))
+    d = exact(a, b, row, col)
+    ok = d <= eps
+    return row[ok], col[ok], d[ok]
+
+
+def within(df: DataFrame, eps: float, by: str | None = None) -> DataFrame:
+    """Pairs (i, j, d), i < j, of rows within ``eps``, of equal ``by`` if given."""
+
+    def pairs(qi: np.ndarray, a: np.ndarray, ci: np.ndarray, b: np.ndarray) -> dict:
+        row, col, d = close(a, b, qi, ci, eps)
+        up = qi[row] < ci[col]
+        return {"i": qi[row[up]], "j": ci[col[up]], "d": d[up]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b in met(batches):
+            yield pa.RecordBatch.from_pydict(pairs(qi, a, ci, b))
 
-    return block_pairs(df, df, by).mapInArrow(run, "i long, j long")
+    schema = "i long, j long, d double"
+    return block_pairs(df, df).mapInArrow(run, schema) if by is None else in_buckets(df, df, by, pairs, schema)
 
 
 def l2_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,12 +150,12 @@ def exact(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.
     return np.sqrt(np.concatenate(parts)) if parts else np.zeros(0)
 
 
-def first_k(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, k: int, skip_equal_id: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_k(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, k: int, skip: bool | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and distances of the k nearest of ``b`` for each of ``a``,
-    ties by id."""
+    ties by id; ``skip`` pairs of equal ids, or those that a matrix marks."""
     g = l2_kernel(a, b)
-    if skip_equal_id:
-        g[qi[:, None] == ci[None]] = np.inf
+    if skip is not False:
+        g[qi[:, None] == ci[None] if skip is True else skip] = np.inf
     off = ROUNDING * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])
     n = min(k, len(ci))
     most = np.partition(g + off, n - 1, axis=1)[:, n - 1 : n]  # at least k are no farther
@@ -114,25 +172,30 @@ def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = T
     distance, ties by id: (i, rk, j, d); with ``by``, among those of equal value
     in this column.
 
-    Blocks of rows meet in a join of blocks; a BLAS product picks in each pair
-    all that may be among the k by its rounding bound, ties included, whose
-    distances are then taken from differences. Only the first k of these are
-    shuffled, so neither side is broadcast."""
+    Blocks of rows meet in a join of blocks, or the rows of a bucket in cells; a
+    BLAS product picks in each pair all that may be among the k by its rounding
+    bound, ties included, whose distances are then taken from differences. Only
+    the first k of these are shuffled, so neither side is broadcast. Rows that
+    share several buckets count once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
-                row, col, d = first_k(a, b, qi, ci, k, skip_equal_id)
-                yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": d})
+    def first(qi: np.ndarray, a: np.ndarray, ci: np.ndarray, b: np.ndarray) -> dict:
+        row, col, d = first_k(a, b, qi, ci, k, skip_equal_id)
+        return {"i": qi[row], "j": ci[col], "d": d}
 
-    some = block_pairs(query, corpus, by).mapInArrow(run, "i long, j long, d double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b in met(batches):
+            yield pa.RecordBatch.from_pydict(first(qi, a, ci, b))
+
+    schema = "i long, j long, d double"
+    if by is None:
+        some = block_pairs(query, corpus).mapInArrow(run, schema)
+    else:
+        some = in_buckets(query, corpus, by, first, schema).groupBy("i", "j").agg(F.min("d").alias("d"))
     rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return some.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Ids and matrices of the pairs of blocks, and the columns beyond these."""
     for batch in batches:
         for qi, qm, ci, cm, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -152,7 +215,7 @@ def class_nearest(query: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     of a pair of blocks are shuffled. Rows without a class are nobody's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, a, ci, b, g in _met(batches):
+        for qi, a, ci, b, g in met(batches):
             row, col, d = first_k(a, b, qi, ci, k, True)
             yield pa.RecordBatch.from_pydict({"i": qi[row], "label": np.full(len(row), g), "j": ci[col], "d": d})
 
@@ -167,7 +230,7 @@ def class_means(query: DataFrame, classes: DataFrame) -> DataFrame:
     a row and class, so no pair of rows leaves a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, a, ci, b, g in _met(batches):
+        for qi, a, ci, b, g in met(batches):
             d2 = l2_kernel(a, b)
             near = d2 <= 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])  # where the product formula cancels
             d = np.sqrt(d2)
@@ -211,7 +274,7 @@ def ranks(pairs: DataFrame, df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(dict(zip(("qi", "qm", "n", "js", "ds"), ([x.tobytes()] for x in held), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, a, ci, b, n, js, ds in _met(batches):
+        for qi, a, ci, b, n, js, ds in met(batches):
             row, js, ds = np.repeat(np.arange(len(qi)), np.frombuffer(n, "<i8")), np.frombuffer(js, "<i8"), np.frombuffer(ds, "<f8")
             g = l2_kernel(a, b)
             g[qi[:, None] == ci[None]] = np.inf
@@ -268,8 +331,8 @@ def knn_bucketed(df: DataFrame, landmarks: DataFrame, k: int, c_buckets: int, c_
     m = METRICS[metric] if isinstance(metric, str) else metric
     found = assign(df, landmarks, max(c_buckets, c_search))
     if m.name in ("l2", "frobenius"):
-        rows = found.join(df, "id").select("id", "v", "l", "rk")
-        near = _shared_nearest(rows.where(F.col("rk") <= c_search), rows.where(F.col("rk") <= c_buckets), k)
+        rows = cut(found.join(df, "id").select("id", "v", "l", "rk"))  # named twice, and counted
+        near = cut(nearest(rows.where(F.col("rk") <= c_search), rows.where(F.col("rk") <= c_buckets), k, by="l"))
         return _completed(near, df, k)
     query = found.where(F.col("rk") <= c_search).select("l", F.col("id").alias("i"))
     stored = found.where(F.col("rk") <= c_buckets).select("l", F.col("id").alias("j"))
@@ -280,27 +343,6 @@ def knn_bucketed(df: DataFrame, landmarks: DataFrame, k: int, c_buckets: int, c_
     return _completed(d.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d"), df, k)
 
 
-def _shared_nearest(query: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """The k nearest of the rows that share a value of ``l``: blocks of a bucket
-    meet, a stored block with ``SALTS`` parts of the bucket's query blocks, and
-    only their first k are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                a, b = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(cm, "<f8").reshape(len(ci), -1)
-                row, col, d = first_k(a, b, qi, ci, k, True)
-                yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": d})
-
-    left = blocks(query, by="l").select("g", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt"), F.col("ids").alias("qi"), F.col("m").alias("qm"))
-    right = blocks(stored, by="l").select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"), F.col("ids").alias("ci"), F.col("m").alias("cm"))
-    some = left.join(right, ["g", "salt"]).select("qi", "qm", "ci", "cm").mapInArrow(run, "i long, j long, d double")
-    once = some.groupBy("i", "j").agg(F.min("d").alias("d"))
-    rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return once.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
-
-
 def _completed(near: DataFrame, df: DataFrame, k: int) -> DataFrame:
     """``near`` with the rows that have fewer than k searched exactly."""
     full = near.where(F.col("rk") == k).select(F.col("i").alias("id"))
@@ -328,25 +370,25 @@ def completeness(table: DataFrame, n: int, k: int) -> DataFrame:
 def range_pairs(df: DataFrame, eps: float, landmarks: DataFrame, c: int, across_only: bool = False) -> DataFrame:
     """Pairs i < j within ``eps`` that share one of their c nearest landmarks
     (with ``across_only``: and have different first ones)."""
-    found = assign(df, landmarks, c)
-    top = found.where("rk = 1").select("id", F.col("l").alias("top"))
-    held = found.join(top, "id").join(df, "id").select("l", "id", "top", "v")
-    other = held.select("l", *(F.col(x).alias(f"{x}2") for x in ("id", "top", "v")))
-    pairs = held.join(other, "l").where(F.col("id") < F.col("id2"))
-    pairs = pairs.where("top != top2") if across_only else pairs
-    return pairs.select(F.col("id").alias("i"), F.col("id2").alias("j"), METRICS["l2"](F.col("v"), F.col("v2")).alias("d")).where(F.col("d") <= eps).dropDuplicates(["i", "j"])
+    found = cut(assign(df, landmarks, c))
+    pairs = within(found.join(df, "id").select("id", "v", "l"), eps, "l").dropDuplicates(["i", "j"])
+    if across_only:
+        top = found.where("rk = 1")
+        ends = [top.select(F.col("id").alias(e), F.col("l").alias(f"{e}_top")) for e in ("i", "j")]
+        pairs = pairs.join(ends[0], "i").join(ends[1], "j").where("i_top != j_top")
+    return pairs.select("i", "j", "d")
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root): root is the smallest id reachable over pairs (i, j)."""
     labels = nodes.select("id", F.col("id").alias("root"))
-    both = pairs.select("i", "j").union(pairs.select("j", "i")).distinct().checkpoint()
+    both = cut(pairs.select("i", "j").union(pairs.select("j", "i")).distinct())
     while True:
         seen = both.join(labels.select(F.col("id").alias("j"), "root"), "j").groupBy(F.col("i").alias("id")).agg(F.min("root").alias("near"))
         hooked = labels.join(seen, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("next"), "root")
         # jump to the root of the root
         up = hooked.select(F.col("id").alias("next"), F.col("next").alias("up"))
-        new = hooked.join(up, "next", "left").select("id", F.least("next", "up").alias("new"), "root").checkpoint()
+        new = cut(hooked.join(up, "next", "left").select("id", F.least("next", "up").alias("new"), "root"))
         labels = new.select("id", F.col("new").alias("root"))
         if new.where("new != root").isEmpty():
             return labels

@@ -118,11 +118,6 @@ def cap_ratio(ratio: Column, cap: float) -> Column:
     return F.least(F.greatest(ratio, F.lit(1 / cap)), F.lit(cap))
 
 
-def bunch_of(k: Column, bunches: int, landmarks: int) -> Column:
-    """Contiguous blocks of landmarks."""
-    return F.floor(k * bunches / F.lit(landmarks)).cast("long")
-
-
 def cover_passes(rows: DataFrame, active: int, overlap: float, visits: int = 1) -> DataFrame:
     """Epochs until every row was active about ``visits`` times."""
     n = rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))

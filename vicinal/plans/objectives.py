@@ -159,11 +159,6 @@ def pair_fidelity(spark, d):
     return r6(O.pair_fidelity(K.knn(emb(spark, d), KNN), 1.2, 1.15))
 
 
-@query(f"SELECT vec_id AS l, vec_id * 5 // {MARKS} AS bunch FROM embeddings WHERE vec_id < {MARKS}")
-def landmark_bunches(spark, d):
-    return marks(emb(spark, d)).select(F.col("id").alias("l"), O.bunch_of(F.col("id"), 5, MARKS).alias("bunch"))
-
-
 @query("WITH N AS (SELECT count(*) AS n FROM orders) SELECT n, CAST(least(1000, n) AS BIGINT) AS active_size, round(0.7e0 * least(1000, n), 6) AS fresh_per_epoch, CAST(ceil(2 * n / (0.7e0 * least(1000, n))) AS BIGINT) AS epochs, CAST(ceil(2e0 * n / least(1000, n)) AS BIGINT) AS epochs_slots FROM N")
 def cover_passes(spark, d):
     return r6(O.cover_passes(table(spark, d, "orders"), 1000, 0.3, 2))

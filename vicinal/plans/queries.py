@@ -18,6 +18,7 @@ from vicinal.operators import knn as K
 from vicinal.operators import net as N
 from vicinal.operators import paths as P
 from vicinal.operators import sampling as S
+from vicinal.operators.lineage import shared
 from vicinal.streaming import ingest as I
 
 QUERIES: dict = {}
@@ -60,16 +61,6 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, 6) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes))
 
 
-def shared(spark: SparkSession) -> None:
-    """Iterations cut their lineage in the shared folder; tests have none set."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile  # one machine: a local test
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinal-"))
-
-
 def dist_to_marks(e: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return K.pair_distances(e if rows is None else rows, marks(e)).select(F.col("i").alias("id"), F.col("j").alias("l"), "d")
 
@@ -662,13 +653,6 @@ def fps_landmarks(spark, d):
     return N.fps(emb(spark, d), 32)
 
 
-@query()
-def epsilon_net(spark, d):
-    shared(spark)
-    e = emb(spark, d)
-    return N.epsilon_net(e, marks(e), EPS)
-
-
 @query()
 def geodesics(spark, d):
     shared(spark)
