@@ -86,6 +86,36 @@ def put(bits: np.ndarray, h: np.ndarray) -> None:
         np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
+def once_seen(keys: DataFrame, n_bytes: int) -> np.ndarray:
+    """The filter of a column of 64-bit keys, merged block by block."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bytes, np.uint8)
+        for batch in batches:
+            put(bits, batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+        for k in range(0, n_bytes, BLOCK):
+            if bits[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK]), "bits": [zlib.compress(bits[k : k + BLOCK].tobytes(), 1)]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
+        for batch in batches:
+            for k, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pydict({"block": pa.array([now]), "bits": [zlib.compress(bits.tobytes(), 1)]})
+                    now, bits = k, np.zeros(BLOCK, np.uint8)
+                bits |= np.frombuffer(zlib.decompress(part), np.uint8)
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([now]), "bits": [zlib.compress(bits.tobytes(), 1)]})
+
+    schema, out = "block long, bits binary", np.zeros(n_bytes, np.uint8)
+    parts = keys.mapInArrow(build, schema)
+    for row in parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).toLocalIterator():
+        out[row[0] * BLOCK : (row[0] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
+    return out
+
+
 def filter_bytes(df: DataFrame) -> int:
     """A power of two: about ten bits a line of the stored input."""
     size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

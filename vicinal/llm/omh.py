@@ -48,13 +48,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm import common
+from vicinal.llm import common, linededup
 from vicinal.llm.textscan import BREAK, Scan, mix
 
 WORDS, SIMILARITY = 5, 0.8
@@ -464,9 +465,21 @@ def drop_copies(docs: DataFrame, column: str = "text", id_column: str = "doc_id"
     id_, digest_, kept_, row_ = common.fresh(docs.columns, "_id", "_digest", "_kept", "_row")
     marked = common.stored(marked.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), F.col("kept").alias(kept_)), "marked")
     match = F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (digest(column) == F.col(digest_))
-    out = docs.join(marked, match, "left_anti")
+    # a filter of the marked rows, so that only suspects' texts are shuffled
+    size = linededup.BLOCK
+    while size < min(linededup.FILTER_BYTES, marked.count() * linededup.BITS_A_LINE // 8):
+        size *= 2
+    bits = docs.sparkSession.sparkContext.broadcast(linededup.once_seen(marked.select(F.xxhash64(id_, digest_)), size))  # at most FILTER_BYTES
+
+    @F.pandas_udf("boolean")
+    def suspect(h: pd.Series) -> pd.Series:
+        return pd.Series(linededup.has(bits.value, h.to_numpy().astype(np.int64).view(np.uint64)))
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    flagged = docs.withColumn(kept_, suspect(F.xxhash64(F.col(id_column).cast("long"), digest(column))))
+    out = flagged.where(~F.col(kept_)).select(*own).unionByName(flagged.where(F.col(kept_)).select(*own).join(marked, match, "left_anti"))
     several = marked.where(F.col(kept_))
     if several.isEmpty():
         return out
     one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row_)
-    return out.unionByName(docs.join(several, match).groupBy(id_, digest_).agg(one).select(f"{row_}.*"))
+    return out.unionByName(flagged.where(F.col(kept_)).select(*own).join(several, match).groupBy(id_, digest_).agg(one).select(f"{row_}.*"))
