@@ -17,6 +17,10 @@ from vicinal.operators import objectives as O
 from vicinal.operators.lineage import cut
 
 
+#: Components that are merged on the driver at most.
+FEW = 4096
+
+
 @dataclass(frozen=True)
 class Graph:
     """``members`` (id, rep, d), ``reps`` (id, weight: rows it stands for), ``knn`` of
@@ -48,6 +52,25 @@ def graph(df: DataFrame, landmarks: DataFrame, delta: float, k: int, bunches: in
     return Graph(members, reps, knn, with_backbone(edges, O.backbone(landmarks, rows, backbone)))
 
 
+def contracted(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(root, new): components joined by ``edges`` (i, j) between them; at most ``FEW``
+    are joined on the driver, to the same result."""
+    if sizes.limit(FEW + 1).count() > FEW:
+        return K.components(sizes.select(F.col("root").alias("id")), edges.select("i", "j")).select(F.col("id").alias("root"), F.col("root").alias("new"))
+    up = {r.root: r.root for r in sizes.select("root").collect()}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r in edges.select("i", "j").collect():  # an edge a component at most
+        a, b = sorted((top(r.i), top(r.j)))
+        up[b] = a
+    return sizes.sparkSession.createDataFrame([(x, top(x)) for x in up], "root long, new long")
+
+
 def between(query: DataFrame, corpus: DataFrame) -> DataFrame:
     """(root, d, lo, hi): the shortest pair from each component of ``query`` (id, v,
     root) to another in ``corpus``, ties by ids. A pair of blocks gives a row a
@@ -85,5 +108,5 @@ def bridges(df: DataFrame, pairs: DataFrame) -> DataFrame:
         found = cut(found.unionByName(edges))
         ends = rows.select("id", "root")
         joined = edges.join(ends.withColumnsRenamed({"id": "src", "root": "i"}), "src").join(ends.withColumnsRenamed({"id": "dst", "root": "j"}), "dst")
-        merged = K.components(sizes.select(F.col("root").alias("id")), joined.select("i", "j")).select(F.col("id").alias("root"), F.col("root").alias("new"))
+        merged = contracted(joined, sizes)
         rows = cut(rows.join(merged, "root").select("id", "v", F.col("new").alias("root")))

@@ -392,3 +392,55 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("new").alias("root"))
         if new.where("new != root").isEmpty():
             return labels
+
+
+def median_distance(df: DataFrame, bins: int = 4096, few: int = 100_000) -> float | None:
+    """The lower median of the distances of all pairs of different rows.
+
+    Pairs of blocks count distances by bins between bounds that close in on the
+    median's bin; once it holds ``few`` at most these alone are gathered. None
+    without a pair."""
+    n = df.count()
+    rank, low = (n * (n - 1) // 2 - 1) // 2, 0.0
+    if n < 2:
+        return None
+    high = 2 * df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("q")).first().q ** 0.5 * (1 + 1e-9) + 1e-300
+    pairs = cut(block_pairs(df, df))
+
+    def upper(qi: np.ndarray, a: np.ndarray, ci: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(l2_kernel(a, b))[qi[:, None] < ci[None]]
+
+    while True:
+        edges = np.linspace(low, high, bins + 1)
+
+        def counts(batches: Iterator[pa.RecordBatch], edges: np.ndarray = edges) -> Iterator[pa.RecordBatch]:
+            for block in met(batches):
+                n = np.histogram(upper(*block), edges)[0]
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"bin": some, "n": n[some]})
+
+        held = dict(pairs.mapInArrow(counts, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())  # a row a bin
+        for k in sorted(held):
+            if rank < held[k]:
+                break
+            rank -= held[k]
+        low, high, last = float(edges[k]), float(edges[k + 1]), k == bins - 1
+        if held[k] <= few:
+            break
+        if high - low <= 1e-12 * high:
+            return low  # as good as equal
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in met(batches):
+            d = upper(*block)
+            yield pa.RecordBatch.from_pydict({"d": d[(d >= low) & ((d < high) | (last & (d <= high)))]})
+
+    return sorted(r.d for r in pairs.mapInArrow(inside, "d double").collect())[rank]
+
+
+def view_scales(df: DataFrame, views: dict[str, Callable[[Column], Column]]) -> dict[str, float]:
+    """The lower median distance to the nearest other row in each view of the vectors;
+    1 where it is 0 or there is no pair."""
+    low = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("m")
+    found = {name: one_nn(df.select("id", view(F.col("v")).alias("v"))).agg(low).first().m for name, view in views.items()}
+    return {name: m if m and m > 0 else 1.0 for name, m in found.items()}

@@ -6,11 +6,17 @@ Tables of pairs have (i, j, d) with ids and an original distance; a map is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions.metrics import METRICS
 from vicinal.operators import knn as K
+from vicinal.operators.lineage import cut
+from vicinal.operators.order import before
 
 TINY, LEAST_PROB = 1e-12, 1e-7
 #: Landmarks whose pairs may be sorted on the driver.
@@ -46,10 +52,10 @@ def fuzzy_cross_entropy(edges: DataFrame, apart: DataFrame, a: float, b: float)
     return pull.crossJoin(push).withColumn("loss", F.col("attraction") + F.col("repulsion"))  # one row each
 
 
-def ordinal_triplets(rows: DataFrame, before: float = 1.0) -> DataFrame:
+def ordinal_triplets(rows: DataFrame, prior: float = 1.0) -> DataFrame:
     """-log sigmoid of ordered gaps of (near, mid, far), over a running scale
-    that was ``before``."""
-    scale = rows.agg(F.greatest(0.9 * before + 0.1 * F.avg("far"), F.lit(1e-6)).alias("scale"))
+    that was ``prior``."""
+    scale = rows.agg(F.greatest(0.9 * prior + 0.1 * F.avg("far"), F.lit(1e-6)).alias("scale"))
     soft = lambda x: F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
     loss = soft((F.col("mid") - F.col("near")) / F.col("scale")) + soft((F.col("far") - F.col("mid")) / F.col("scale"))
     return rows.crossJoin(F.broadcast(scale)).agg(F.avg(loss).alias("loss"), F.max("scale").alias("scale"))  # one row
@@ -80,13 +86,71 @@ def affinity_stats(a: DataFrame) -> DataFrame:
     return low.crossJoin(use)  # one row each
 
 
-def class_order(pairs: DataFrame, margin: float) -> DataFrame:
-    """Hinge on the gaps of pairs (lo, hi) along a coordinate, over its spread."""
-    n = F.count("*") * 2
-    total, square = F.sum(F.col("lo") + F.col("hi")), F.sum(F.col("lo") * F.col("lo") + F.col("hi") * F.col("hi"))
-    spread = pairs.agg(F.sqrt((square - total * total / n) / (n - 1)).alias("s")).select(F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))
-    short = F.greatest(margin - (F.col("hi") - F.col("lo")) / F.greatest("s", F.lit(1e-6)), F.lit(0.0))
-    return pairs.crossJoin(F.broadcast(spread)).agg(F.avg(short).alias("loss"), F.avg((short > 0).cast("double")).alias("active"))  # one row
+def class_order(lo: DataFrame, hi: DataFrame, margin: float) -> DataFrame:
+    """Mean hinge on the gaps hi - lo over all pairs of (id, s) of two classes, over
+    the pairs' spread, and the share of pairs that are short of the margin.
+
+    No pair is formed: for each hi the lo above hi - margin * spread are counted and
+    summed in one order of both."""
+    n = lambda df, c: df.agg(F.count("*").alias(f"n{c}"), F.sum("s").alias(f"s{c}"), F.sum(F.col("s") * F.col("s")).alias(f"q{c}"))
+    t = n(lo, 0).crossJoin(n(hi, 1))  # one row each
+    pairs, total = F.col("n0") * F.col("n1"), F.col("n1") * F.col("s0") + F.col("n0") * F.col("s1")
+    square = F.col("n1") * F.col("q0") + F.col("n0") * F.col("q1")
+    spread = F.sqrt(F.greatest(square - total * total / (2 * pairs), F.lit(0.0)) / (2 * pairs - 1))
+    t = t.withColumns({"pairs": pairs, "s": F.when(spread > 0, F.greatest(spread, F.lit(1e-6))).otherwise(1.0)}).select("pairs", "s0", "n0", F.col("s").alias("spread"))
+    events = lo.select(F.col("s").alias("key"), F.lit(0).alias("side"), "id", F.lit(1).cast("long").alias("c"), F.col("s").alias("v"), F.lit(None).cast("double").alias("hi"))
+    asked = hi.crossJoin(F.broadcast(t)).select((F.col("s") - margin * F.col("spread")).alias("key"), F.lit(1).alias("side"), "id", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"), F.col("s").alias("hi"))  # one row
+    order = ["key", "side", "id"]
+    counted = cut(before(events.unionByName(asked), order, F.col("c")).withColumnRenamed("before", "under").drop("stretch"))
+    both = before(counted, order, F.col("v")).where("side = 1").crossJoin(F.broadcast(t))  # one row
+    above, sums = F.col("n0") - F.col("under"), F.col("s0") - F.col("before")
+    short = above * (margin - F.col("hi") / F.col("spread")) + sums / F.col("spread")
+    return both.agg((F.sum(F.when(above > 0, short).otherwise(0.0)) / F.max("pairs")).alias("loss"), (F.sum(above) / F.max("pairs")).alias("active"))
+
+
+def best_rotation(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """The rotation R that maximises trace(R' m), and that trace; in the plane in
+    closed form."""
+    if m.shape == (2, 2):
+        c, s = m[0, 0] + m[1, 1], m[1, 0] - m[0, 1]
+        size = float(np.hypot(c, s))
+        c, s = (c / size, s / size) if size > TINY else (1.0, 0.0)
+        return np.array([[c, -s], [s, c]]), size
+    u, w, vt = np.linalg.svd(m)
+    if np.linalg.det(u @ vt) < 0:
+        u[:, -1], w[-1] = -u[:, -1], -w[-1]
+    return u @ vt, float(w.sum())
+
+
+def procrustes(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """Rows (id, z, y) with ``aligned``, y turned, scaled and moved onto z, and the
+    rotation, scale, shift and loss (mean squared coordinate left). Tasks add up the
+    cross-covariance; a matrix a task reaches the driver, and no row."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                z, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns)
+                part = [np.array([len(z), (z * z).sum(), (y * y).sum()]), z.sum(0), y.sum(0), y.T @ z]
+                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"m": [np.concatenate([x.ravel() for x in total]).tobytes()]})
+
+    parts = [np.frombuffer(r.m, "<f8") for r in rows.select("z", "y").mapInArrow(moments, "m binary").collect()]
+    if not parts:
+        raise ValueError("no rows to align")
+    t = np.sum(parts, 0)
+    d = int(round((-2 + (4 + 4 * (len(t) - 3)) ** 0.5) / 2))
+    n, zz, yy, zs, ys, m = t[0], t[1], t[2], t[3 : 3 + d], t[3 + d : 3 + 2 * d], t[3 + 2 * d :].reshape(d, d)
+    zm, ym = zs / n, ys / n
+    rotation, trace = best_rotation(m - n * np.outer(ym, zm))
+    left, right = zz - n * zm @ zm, yy - n * ym @ ym
+    scale = trace / max(right, TINY)
+    shift = zm - scale * ym @ rotation
+    turned = F.array(*(sum((F.col("y")[k] * float(scale * rotation[k, j]) for k in range(d)), F.lit(float(shift[j]))) for j in range(d)))
+    loss = max(left - 2 * scale * trace + scale * scale * right, 0.0) / (n * d)
+    return rows.withColumn("aligned", turned), {"rotation": rotation, "scale": float(scale), "shift": shift, "loss": float(loss)}
 
 
 def pinball(y: Column, yhat: Column, tau: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,24 @@ def subset_by_group(groups: DataFrame, n_keep: int, seed: int | None = None) ->
 def order_share(rows: DataFrame) -> DataFrame:
     """Share of rows with d_near < d_mid < d_far."""
     return rows.agg(F.avg(((F.col("d_near") < F.col("d_mid")) & (F.col("d_mid") < F.col("d_far"))).cast("double")).alias("ord_frac"))
+
+
+def path_loss(rows: DataFrame, low: float = 0.25, high: float = 4.0, margin: float = 0.05, log_space: bool = False, floor: float = 0.0) -> DataFrame:
+    """Ordinal hinges on d_near < d_mid < d_far, over the mean d_far, plus hinges that
+    keep the speeds d / dt of the two nearer points within [low, high] of each other
+    (``log_space``: of their logs); distances at least ``floor`` of the scale. One
+    row: loss, scale, ord_frac. Without rows the loss is 0."""
+    mean = rows.agg(F.avg("d_far").alias("m")).select(F.greatest(F.when(F.col("m") > 0, F.col("m")).otherwise(1.0), F.lit(1e-6)).alias("s"))
+    hinge = lambda x: F.greatest(x, F.lit(0.0))
+    near, mid = (F.greatest(F.col(c), floor * F.col("s")) for c in ("d_near", "d_mid"))
+    v_near, v_mid = near / F.greatest("dt_near", F.lit(1e-6)), mid / F.greatest("dt_mid", F.lit(1e-6))
+    if log_space:
+        rel = F.ln(F.greatest(v_mid, F.lit(1e-8))) - F.ln(F.greatest(v_near, F.lit(1e-8)))
+        speed = hinge(math.log(low) - rel) + hinge(rel - math.log(high))
+    else:
+        rel = v_mid / F.greatest(v_near, F.lit(1e-8))
+        speed = hinge(low - rel) + hinge(rel - high)
+    first, second = hinge(margin - (F.col("d_mid") - F.col("d_near")) / F.col("s")), hinge(margin - (F.col("d_far") - F.col("d_mid")) / F.col("s"))
+    ordered = ((F.col("d_near") < F.col("d_mid")) & (F.col("d_mid") < F.col("d_far"))).cast("double")
+    out = rows.crossJoin(F.broadcast(mean)).agg((F.avg(first) + F.avg(second) + F.avg(speed)).alias("loss"), F.max("s").alias("scale"), F.avg(ordered).alias("ord_frac"))  # one row
+    return out.select(F.coalesce("loss", F.lit(0.0)).alias("loss"), "scale", F.coalesce("ord_frac", F.lit(0.0)).alias("ord_frac"))

@@ -32,13 +32,6 @@ def local_isometry(spark, d):
     return r6(O.scale_free_stress(edges(spark, d)))
 
 
-@query(W + f"{E_}, {Z_}, LP AS (SELECT list_distance(a.v, b.v) AS d, list_distance(x.v, y.v) AS e FROM E a JOIN E b ON a.id < b.id AND b.id < {MARKS} JOIN Z x ON x.id = a.id JOIN Z y ON y.id = b.id) {_STRESS} LP")
-def landmark_stress(spark, d):
-    e = emb(spark, d)
-    m = marks(e)
-    return r6(O.scale_free_stress(O.mapped(K.pair_distances(m, m, where=F.col("i") < F.col("j")), flat(m))))
-
-
 def _q(e: str) -> str:
     return f"least(greatest(1 / (1 + {A_}e0 * pow({e} * {e} + 1e-10, {B_}e0)), 1e-7), 1 - 1e-7)"
 
@@ -82,13 +75,6 @@ def affinity_usage(spark, d):
     return r6(O.affinity_stats(affinity_table(spark, d)))
 
 
-@query(W + f"{E_}, P AS (SELECT a.v[1] AS lo, b.v[1] AS hi FROM E a JOIN E b ON a.label = 0 AND b.label = 1), S AS (SELECT stddev_samp(u) AS s FROM (SELECT lo AS u FROM P UNION ALL SELECT hi FROM P)) SELECT round(avg(greatest(0.5e0 - (hi - lo) / s, 0)), 6) AS loss, round(avg(CASE WHEN 0.5e0 - (hi - lo) / s > 0 THEN 1e0 ELSE 0 END), 6) AS active FROM P, S")
-def class_order_hinge(spark, d):
-    rows = emb(spark, d).join(labels(spark, d), "id").select("label", F.col("v")[0].alias("s"))
-    lo, hi = rows.where("label = 0").select(F.col("s").alias("lo"), F.col("label").alias("c")), rows.where("label = 1").select(F.col("s").alias("hi"), (F.col("label") - 1).alias("c"))
-    return r6(O.class_order(lo.join(hi, "c"), 0.5))
-
-
 @query(W + f"{E_}, {Z_}, X AS (SELECT a.id, min(list_distance(a.v, b.v)) AS cover FROM Z a JOIN Z b ON b.id < {MARKS} GROUP BY a.id) SELECT id, round(cover, 6) AS cover FROM X")
 def map_cover(spark, d):
     z = flat(emb(spark, d))
@@ -175,12 +161,6 @@ def star_neighbours(spark, d):
     return O.star_neighbours(K.knn(emb(spark, d), KNN).select(F.col("i").alias("src"), F.col("j").alias("dst")), 8)
 
 
-@query("WITH T AS (SELECT CAST(k AS BIGINT) AS k, k / 20e0 AS t FROM range(0, 21) x(k)) SELECT k, round(CASE WHEN t < 0.3e0 THEN 0 WHEN t >= 0.6e0 THEN 1 ELSE (t - 0.3e0) / (0.6e0 - 0.3e0) END, 6) AS up, round(1 - CASE WHEN t < 0 THEN 0 WHEN t >= 0.25e0 THEN 1 ELSE t / 0.25e0 END, 6) AS down FROM T")
-def ramps(spark, d):
-    t = F.col("k") / 20
-    return r6(spark.range(21).select(F.col("id").alias("k")).select("k", O.ramp(t, 0.3, 0.6).alias("up"), O.ramp(t, 0.0, 0.25, True).alias("down")))
-
-
 @query("SELECT l_orderkey, l_linenumber, round(least(greatest(l_extendedprice / l_quantity / 1000, 1 / 1.2e0), 1.2e0), 6) AS ratio FROM lineitem")
 def capped_ratio(spark, d):
     li = table(spark, d, "lineitem")
@@ -193,17 +173,6 @@ def active_cells(spark, d):
     return K.assign(e, marks(e)).groupBy("l").agg(F.count("*").alias("n"), (F.count_if(F.col("id") % 61 == 0) > 0).alias("active"))
 
 
-def _half(name: str, a: int) -> str:
-    return f"{name} AS (SELECT i, quantile_disc(d, 0.5) AS d FROM (SELECT i, d, rk FROM (SELECT a.id AS i, list_distance(a.v[{a}:{a + 31}], b.v[{a}:{a + 31}]) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v[{a}:{a + 31}], b.v[{a}:{a + 31}]), b.id) AS rk FROM E a JOIN E b ON a.id <> b.id)) WHERE rk = {KNN} GROUP BY i)"
-
-
-@query(W + f"{E_}, {_half('H1', 1)}, {_half('H2', 33)} SELECT 1 AS block, round(quantile_disc(d, 0.5), 6) AS scale FROM H1 UNION ALL SELECT 2, round(quantile_disc(d, 0.5), 6) FROM H2")
-def composite_scales(spark, d):
-    e = emb(spark, d)
-    low = lambda k: K.knn(e.select("id", F.slice("v", 32 * k - 31, 32).alias("v")), KNN).where(F.col("rk") == KNN).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("scale")).select(F.lit(k).alias("block"), "scale")
-    return r6(low(1).unionByName(low(2)))
-
-
 @query(W + f"{E_}, {D_} SELECT round(quantile_disc(d, 0.5), 6) AS scale FROM (SELECT min(d) AS d FROM D GROUP BY i)")
 def median_nn(spark, d):
     return r6(K.one_nn(emb(spark, d)).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("scale")))

@@ -182,7 +182,8 @@ def one_nn(spark, d):
 
 _BK = f"""{E_}, {D_}, {KN_}, {M_}, {AS_},
 CAND AS MATERIALIZED (SELECT DISTINCT q.id AS i, s.id AS j FROM A q JOIN A s ON q.l = s.l AND q.id <> s.id WHERE q.rk <= 4 AND s.rk <= 4),
-BR AS MATERIALIZED (SELECT D.i, D.j, D.d, row_number() OVER (PARTITION BY D.i ORDER BY D.d, D.j) AS rk FROM CAND JOIN D ON CAND.i = D.i AND CAND.j = D.j),
+BD AS MATERIALIZED (SELECT CAND.i, CAND.j, list_distance(a.v, b.v) AS d FROM CAND JOIN E a ON a.id = CAND.i JOIN E b ON b.id = CAND.j),
+BR AS MATERIALIZED (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM BD),
 FULL_ AS (SELECT i FROM BR WHERE rk = {KNN}),
 BK AS (SELECT i, rk, j, d FROM BR WHERE rk <= {KNN} AND i IN (SELECT i FROM FULL_) UNION ALL SELECT i, rk, j, d FROM KN WHERE i NOT IN (SELECT i FROM FULL_))"""
 
@@ -304,7 +305,7 @@ def basin_weights(spark, d):
     return r6(G.basin_weights(fuzzy(e), K.assign(e, marks(e), 1).select("id", "l")))
 
 
-@query(W + f"{E_}, {D_}, {KN_}, {RHO_}, {FU_} SELECT src, dst, round(D.d, 6) AS d FROM U JOIN D ON D.i = src AND D.j = dst")
+@query(W + f"{E_}, {D_}, {KN_}, {RHO_}, {FU_} SELECT src, dst, round(list_distance(a.v, b.v), 6) AS d FROM U JOIN E a ON a.id = src JOIN E b ON b.id = dst")
 def edge_lengths(spark, d):
     e = emb(spark, d)
     a = e.select(F.col("id").alias("src"), F.col("v").alias("x"))
@@ -653,13 +654,6 @@ def fps_landmarks(spark, d):
     return N.fps(emb(spark, d), 32)
 
 
-@query()
-def geodesics(spark, d):
-    shared(spark)
-    e = emb(spark, d)
-    return r6(N.geodesics(e, marks(e), KNN))
-
-
 @query()
 def mds_layout(spark, d):
     shared(spark)

@@ -1,4 +1,4 @@
-"""Registered queries of nets, covers, whole graphs and bridges, with SQL.
+"""Registered queries of nets, covers, whole graphs, paths, draws and scales, with SQL.
 
 The tables are those of ``queries``. A greedy net is a recursive query: the rows in
 hash order, each adding itself unless one of its neighbours is in the list.
@@ -6,12 +6,23 @@ hash order, each adding itself unless one of its neighbours is in the list.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from vicinal.operators import alias as AL
+from vicinal.operators import batch as BT
 from vicinal.operators import build as B
 from vicinal.operators import cover as N
+from vicinal.operators import evaluate as Q
+from vicinal.operators import geodesic as A
 from vicinal.operators import knn as K
-from vicinal.plans.queries import AS_, D_, E_, EPS, KN_, M_, MARKS, N1_, W, emb, marks, query, r6, table
+from vicinal.operators import objectives as O
+from vicinal.operators import paths as P
+from vicinal.operators.lineage import cut
+from vicinal.plans.queries import (
+    _ED, _GP, AS_, D_, E_, EPS, FU_, KN_, KNN, M_, MARKS, N1_, ORACLES, RHO_, W, Z_, _bipartite, emb, flat, fuzzy, labels, marks, query, r6, table,
+)
 
 RADII = [0.9, 1.0, 1.05, 1.1, 1.13, 1.16, 1.2, 1.25, 1.3]
 R = "WITH RECURSIVE "
@@ -131,3 +142,153 @@ def bridges(spark, d):
     """The shortest edges that connect the components of the nearest-neighbour graph."""
     e = emb(spark, d)
     return r6(B.bridges(e, K.one_nn(e).select("i", "j")))
+
+
+# ---- paths along the graph ------------------------------------------------
+_SYM = "SY AS MATERIALIZED (SELECT s, t, min(d) AS d FROM (SELECT i AS s, j AS t, d FROM KN UNION ALL SELECT j, i, d FROM KN) GROUP BY 1, 2)"
+
+
+def _paths(where: str, rounds: int = 14) -> str:
+    """F{rounds}: path lengths (a, b, g) from the rows where ``where`` holds, over SY."""
+    return f"F0 AS (SELECT id AS a, id AS b, 0e0 AS g FROM E WHERE {where}), " + ", ".join(f"F{k} AS MATERIALIZED (SELECT a, b, min(g) AS g FROM (SELECT * FROM F{k - 1} UNION ALL SELECT f.a, s.t AS b, f.g + s.d AS g FROM F{k - 1} f JOIN SY s ON s.s = f.b) GROUP BY a, b)" for k in range(1, rounds + 1))
+
+
+_GEO = f"{E_}, {D_}, {KN_}, {_SYM}, {_paths(f'id < {MARKS}')}"
+
+
+@query(W + _GEO + f" SELECT a, b, round(g, 6) AS g FROM F14 WHERE b < {MARKS}")
+def geodesics(spark, d):
+    """Path lengths between landmarks, along the graph of all rows."""
+    e = emb(spark, d)
+    found = A.paths(A.neighbour_graph(e, KNN), marks(e).select("id"))
+    own = marks(e).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("g"))
+    between = found.where(F.col("id") < MARKS).select(F.col("src").alias("a"), F.col("id").alias("b"), "g")
+    return r6(between.unionByName(own))
+
+
+@query(W + _GEO + f""", {Z_}, LP AS (SELECT f.g AS d, list_distance(x.v, y.v) AS e FROM F14 f JOIN Z x ON x.id = f.a JOIN Z y ON y.id = f.b WHERE f.a < f.b AND f.b < {MARKS})
+SELECT round(sum(e * d) / sum(d * d), 6) AS scale, round((sum(e * e) - sum(e * d) * sum(e * d) / sum(d * d)) / sum(e * e), 6) AS loss FROM LP""")
+def landmark_stress(spark, d):
+    """Stress of the map against path lengths between landmarks."""
+    e = emb(spark, d)
+    found = A.paths(A.neighbour_graph(e, KNN), marks(e).select("id")).where((F.col("src") < F.col("id")) & (F.col("id") < MARKS))
+    return r6(O.scale_free_stress(O.mapped(found.select(F.col("src").alias("i"), F.col("id").alias("j"), F.col("g").alias("d")), flat(marks(e)))))
+
+
+TARGETS = 64
+_FID = f"""{E_}, {Z_}, {D_}, {KN_}, {RHO_}, {FU_}, SY AS MATERIALIZED (SELECT s, t, min(1 / greatest(w, 1e-6)) AS d FROM (SELECT src AS s, dst AS t, w FROM U UNION ALL SELECT dst, src, w FROM U) GROUP BY 1, 2),
+{_paths("id % 100 = 0", 20)}, TG AS (SELECT a, b, g FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY g, b) AS rk FROM F20 WHERE a <> b) WHERE rk <= {TARGETS})"""
+
+
+@query(W + _FID + " SELECT a AS src, b AS id, round(g, 6) AS g, round(list_distance(x.v, y.v), 6) AS e FROM TG JOIN Z x ON x.id = a JOIN Z y ON y.id = b")
+def geodesic_pairs(spark, d):
+    """From every hundredth row the 64 nearest nodes by memberships, and their distances in the map."""
+    e = emb(spark, d)
+    return r6(A.fidelity_pairs(fuzzy(e), flat(e), e.where("id % 100 = 0").select("id"), TARGETS))
+
+
+@query(W + _FID + ", G AS (SELECT g, list_distance(x.v, y.v) AS e FROM TG JOIN Z x ON x.id = a JOIN Z y ON y.id = b)" + ORACLES["shepard"][len(W + _GP) :].replace(", R AS", ", RR AS").replace("FROM R)", "FROM RR)").replace("FROM R ", "FROM RR "))
+def geodesic_fidelity(spark, d):
+    """Shepard figures of path lengths against distances in the map."""
+    e = emb(spark, d)
+    found = A.fidelity_pairs(fuzzy(e), flat(e), e.where("id % 100 = 0").select("id"), TARGETS)
+    return r6(Q.shepard(cut(found.select("g", "e"))))
+
+
+@query()
+def geodesic_fps(spark, d):
+    return A.geodesic_fps(emb(spark, d), KNN, 8)
+
+
+@query()
+def geodesic_discs(spark, d):
+    return A.poisson_landmarks(emb(spark, d), KNN, 8)
+
+
+# ---- draws, tests, alignment ----------------------------------------------
+@query(f"WITH {_ED} SELECT src, dst, round(w / (SELECT sum(w) FROM ED) * 1e3, 6) AS p FROM ED")
+def alias_law(spark, d):
+    """The probability, in thousandths, that stored alias tables give each row."""
+    t = AL.build(_bipartite(spark, d), ["src", "dst"], "w")
+    return r6(t.law().select("src", "dst", (F.col("p") * 1e3).alias("p")))
+
+
+@query()
+def alias_draw(spark, d):
+    """1,000 draws by alias tables."""
+    return AL.build(_bipartite(spark, d), ["src", "dst"], "w").draw(1000, 7)
+
+
+@query()
+def batch_test(spark, d):
+    """Are texts of low quality longer or shorter? 999 permutations."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("s"), "quality")
+    return r6(BT.batch_test(rows.where("quality = 1").select("id", "s"), rows.where("quality = 0").select("id", "s"), 999, 5))
+
+
+@query("""WITH R AS (SELECT d.doc_id, n_chars, quality, row_number() OVER (ORDER BY n_chars, d.doc_id) AS rk FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IN (0, 1) AND n_chars IS NOT NULL)
+SELECT CAST(sum(rk) FILTER (quality = 0) - count(*) FILTER (quality = 0) * (count(*) FILTER (quality = 0) + 1) / 2 AS DOUBLE) AS statistic, count(*) FILTER (quality = 1) AS n_calib, count(*) FILTER (quality = 0) AS n_batch,
+  CAST(quantile_disc(n_chars, 0.5) FILTER (quality = 0) - quantile_disc(n_chars, 0.5) FILTER (quality = 1) AS DOUBLE) AS median_shift FROM R""")
+def batch_statistic(spark, d):
+    return batch_test(spark, d).drop("p_global")
+
+
+@query(W + f"""{E_}, M AS (SELECT avg(v[1]) AS z1, avg(v[2]) AS z2, avg(v[3]) AS y1, avg(v[4]) AS y2 FROM E), C AS (SELECT id, v[1] - z1 AS z1, v[2] - z2 AS z2, v[3] - y1 AS y1, v[4] - y2 AS y2 FROM E, M),
+X AS (SELECT sum(y1 * z1) + sum(y2 * z2) AS c, sum(y2 * z1) - sum(y1 * z2) AS s, sum(y1 * y1 + y2 * y2) AS yy FROM C), S AS (SELECT c / sqrt(c * c + s * s) AS c, s / sqrt(c * c + s * s) AS s, sqrt(c * c + s * s) / yy AS k FROM X)
+SELECT round(atan2(s, c), 6) AS angle, round(k, 6) AS scale, round(avg((pow(z1 - k * (y1 * c + y2 * s), 2) + pow(z2 - k * (y2 * c - y1 * s), 2)) / 2), 6) AS loss FROM C, S GROUP BY s, c, k""")
+def procrustes_anchor(spark, d):
+    """The rotation and scale that carry coordinates 3 and 4 onto 1 and 2, and what is left."""
+    rows = emb(spark, d).select("id", F.slice("v", 1, 2).alias("z"), F.slice("v", 3, 2).alias("y"))
+    _, fit = O.procrustes(rows)
+    r = fit["rotation"]
+    return r6(spark.createDataFrame([(math.atan2(r[1, 0], r[0, 0]), fit["scale"], fit["loss"])], "angle double, scale double, loss double"))
+
+
+@query("""WITH X AS (SELECT l_orderkey AS o, l_linenumber AS t, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
+D AS (SELECT abs(a.p - b.p) AS n, abs(a.p - c.p) AS m, abs(a.p - e.p) AS f FROM X a JOIN X b ON a.o = b.o AND b.t = a.t + 1 JOIN X c ON a.o = c.o AND c.t = a.t + 2 JOIN X e ON a.o = e.o AND e.t = a.t + 3), S AS (SELECT avg(f) AS s FROM D)
+SELECT round(avg(greatest(0.05e0 - (m - n) / s, 0)) + avg(greatest(0.05e0 - (f - m) / s, 0)) + avg(greatest(0.25e0 - m / 2e0 / greatest(n, 1e-8), 0) + greatest(m / 2e0 / greatest(n, 1e-8) - 4, 0)), 6) AS loss, round(max(s), 6) AS scale, round(avg(CASE WHEN n < m AND m < f THEN 1e0 ELSE 0 END), 6) AS ord_frac FROM D, S""")
+def path_loss(spark, d):
+    """Order and speed hinges of prices along the lines of an order."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("t")).agg(F.min("l_extendedprice").alias("p"))
+    out = x
+    for k, n in ((1, "near"), (2, "mid"), (3, "far")):
+        out = out.join(x.select("o", (F.col("t") - k).alias("t"), F.col("p").alias(n)), ["o", "t"])
+    gaps = out.select(*(F.abs(F.col("p") - F.col(n)).alias(f"d_{n}") for n in ("near", "mid", "far")), F.lit(1.0).alias("dt_near"), F.lit(2.0).alias("dt_mid"))
+    return r6(P.path_loss(gaps))
+
+
+# ---- scales ---------------------------------------------------------------
+@query(W + f"{E_}, D1 AS (SELECT list_distance(a.v[1:32], b.v[1:32]) AS x, list_distance(a.v[33:64], b.v[33:64]) AS y FROM E a JOIN E b ON a.id < b.id) SELECT 1 AS block, round(quantile_disc(x, 0.5), 6) AS scale FROM D1 UNION ALL SELECT 2, round(quantile_disc(y, 0.5), 6) FROM D1")
+def composite_scales(spark, d):
+    """The median distance of all pairs of rows in each half of the vectors."""
+    e = emb(spark, d)
+    out = [(k, K.median_distance(e.select("id", F.slice("v", 32 * k - 31, 32).alias("v")))) for k in (1, 2)]
+    return r6(spark.createDataFrame(out, "block int, scale double"))
+
+
+_V1 = "F1 AS (SELECT id, [x / sqrt(list_sum([y * y for y in v[1:32]])) for x in v[1:32]] AS v FROM E), F2 AS (SELECT id, [ln(sqrt(list_sum([y * y for y in v[1:32]])))] AS v FROM E)"
+
+
+@query(W + f"{E_}, {_V1} " + " UNION ALL ".join(f"SELECT '{n}' AS factor, round(quantile_disc(d, 0.5), 6) AS scale FROM (SELECT min(list_distance(a.v, b.v)) AS d FROM F{k} a JOIN F{k} b ON a.id <> b.id GROUP BY a.id)" for k, n in ((1, "direction"), (2, "log_scale"))))
+def factor_scales(spark, d):
+    """Median nearest distance in the views of direction and length of the first half."""
+    half = lambda v: F.slice(v, 1, 32)
+    size = lambda v: F.sqrt(F.aggregate(half(v), F.lit(0.0), lambda s, x: s + x * x))
+    got = K.view_scales(emb(spark, d), {"direction": lambda v: F.transform(half(v), lambda x: x / size(v)), "log_scale": lambda v: F.array(F.ln(size(v)))})
+    return r6(spark.createDataFrame(list(got.items()), "factor string, scale double"))
+
+
+@query(W + f"{E_}, P AS (SELECT a.v[1] AS lo, b.v[1] AS hi FROM E a JOIN E b ON a.label = 0 AND b.label = 1), S AS (SELECT stddev_samp(u) AS s FROM (SELECT lo AS u FROM P UNION ALL SELECT hi FROM P)) SELECT round(avg(greatest(0.5e0 - (hi - lo) / s, 0)), 6) AS loss, round(avg(CASE WHEN 0.5e0 - (hi - lo) / s > 0 THEN 1e0 ELSE 0 END), 6) AS active FROM P, S")
+def class_order_hinge(spark, d):
+    rows = emb(spark, d).join(labels(spark, d), "id").select("id", "label", F.col("v")[0].alias("s"))
+    return r6(O.class_order(rows.where("label = 0").select("id", "s"), rows.where("label = 1").select("id", "s"), 0.5))
+
+
+@query("""WITH T AS (SELECT o_orderkey, date_diff('day', min(CAST(o_orderdate AS DATE)) OVER (), CAST(o_orderdate AS DATE)) / CAST(date_diff('day', min(CAST(o_orderdate AS DATE)) OVER (), max(CAST(o_orderdate AS DATE)) OVER ()) AS DOUBLE) AS t FROM orders)
+SELECT o_orderkey, round(CASE WHEN t < 0.3e0 THEN 0 WHEN t >= 0.6e0 THEN 1 ELSE (t - 0.3e0) / (0.6e0 - 0.3e0) END, 6) AS up, round(1 - CASE WHEN t >= 0.25e0 THEN 1 ELSE t / 0.25e0 END, 6) AS down FROM T""")
+def ramps(spark, d):
+    """Weights of two schedules over the time span of the orders."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    t = F.datediff("day", "first") / F.datediff("last", "first")
+    return r6(rows.crossJoin(F.broadcast(span)).select("o_orderkey", O.ramp(t, 0.3, 0.6).alias("up"), O.ramp(t, 0.0, 0.25, True).alias("down")))  # one row
