@@ -444,3 +444,41 @@ def view_scales(df: DataFrame, views: dict[str, Callable[[Column], Column]]) ->
     low = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("m")
     found = {name: one_nn(df.select("id", view(F.col("v")).alias("v"))).agg(low).first().m for name, view in views.items()}
     return {name: m if m and m > 0 else 1.0 for name, m in found.items()}
+
+
+def knn_projected(df: DataFrame, k: int, target: float = 0.9, dims: int = 16, over: int = 4, bucket_rows: int = 2048, tables: int = 24, seed: int = 0) -> tuple[DataFrame, float]:
+    """Approximate neighbours (i, rk, j, d) whose measured recall is at least
+    ``target``, and that recall.
+
+    A table projects the rows at random to ``dims`` coordinates and deals them by
+    random hyperplanes to buckets of about ``bucket_rows``; ``over`` * k candidates of
+    each row come from the projections, and get their exact distances. Tables are
+    added until every hundredth row's neighbours, found exactly, are recalled; if
+    ``tables`` of them don't reach the target, all rows are searched exactly."""
+    n, width = df.count(), df.select(F.size("v")).first()
+    queries = df.where("id % 100 = 0")
+    true = cut(nearest(queries, df, k))
+    found, asked = None, true.count()
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / bucket_rows))))
+    for t in range(tables if width else 0):
+        rng = np.random.default_rng([seed, t])
+        planes, turn = rng.normal(size=(width[0], bits)), rng.normal(size=(width[0], min(dims, width[0])))
+
+        def project(batches: Iterator[pa.RecordBatch], planes: np.ndarray = planes, turn: np.ndarray = turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if m := batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(m, -1)
+                    g = ((x @ planes > 0) * (1 << np.arange(planes.shape[1]))).sum(1).astype(np.int64)
+                    v = x @ turn
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(g)], names=["id", "v", "g"])
+
+        rows = cut(df.select("id", "v").mapInArrow(project, "id long, v array<double>, g long"))
+        some = distances(nearest(rows, rows, over * k, by="g").select("i", "j"), df)
+        every = some if found is None else some.unionByName(found.select("i", "j", "d")).dropDuplicates(["i", "j"])
+        rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+        found = cut(every.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d"))
+        share = found.join(true.select("i", "j"), ["i", "j"], "left_semi").count() / max(asked, 1)
+        if share >= target or not asked:
+            return found, share
+    return nearest(df, df, k), 1.0

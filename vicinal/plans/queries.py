@@ -7,6 +7,8 @@ ones test. Doubles are rounded to six places.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -688,14 +690,8 @@ def weighted_draw(spark, d):
 @query()
 def stream_ingest(spark, d):
     """The net after four batches of the embeddings."""
-    import tempfile
-
-    shared(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinal-")
     e = emb(spark, d)
-    import uuid
-
-    s = I.NetStream(spark, f"{base}/net-{uuid.uuid4().hex}", marks(e), EPS)
+    s = I.NetStream(spark, f"{shared(spark)}/net-{uuid.uuid4().hex}", marks(e), EPS)
     for k in range(4):
         s.ingest(e.where(F.col("id") % 4 == k), k)
     return s.table("members").select("id", "rep")

@@ -7,6 +7,7 @@ hash order, each adding itself unless one of its neighbours is in the list.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,10 +20,13 @@ from vicinal.operators import geodesic as A
 from vicinal.operators import knn as K
 from vicinal.operators import objectives as O
 from vicinal.operators import paths as P
-from vicinal.operators.lineage import cut
+from vicinal.operators import spectral as SP
+from vicinal.operators.lineage import cut, shared
 from vicinal.plans.queries import (
     _ED, _GP, AS_, D_, E_, EPS, FU_, KN_, KNN, M_, MARKS, N1_, ORACLES, RHO_, W, Z_, _bipartite, emb, flat, fuzzy, labels, marks, query, r6, table,
 )
+from vicinal.streaming.cells import CellNet
+from vicinal.streaming.ingest import refresh_dirty
 
 RADII = [0.9, 1.0, 1.05, 1.1, 1.13, 1.16, 1.2, 1.25, 1.3]
 R = "WITH RECURSIVE "
@@ -292,3 +296,37 @@ def ramps(spark, d):
     span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     t = F.datediff("day", "first") / F.datediff("last", "first")
     return r6(rows.crossJoin(F.broadcast(span)).select("o_orderkey", O.ramp(t, 0.3, 0.6).alias("up"), O.ramp(t, 0.0, 0.25, True).alias("down")))  # one row
+
+
+# ---- layouts, streams, approximate neighbours -----------------------------
+@query()
+def spectral_layout(spark, d):
+    """Two eigenvectors of the neighbour graph's normalised affinity."""
+    z = SP.layout(fuzzy(emb(spark, d)), 2)
+    return r6(z.select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")))
+
+
+@query()
+def stream_cells(spark, d):
+    """A net by keyed state from a stream of four files of embeddings."""
+    e = emb(spark, d)
+    uri = f"{shared(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    e.repartitionByRange(4, "id").write.parquet(f"{uri}/in")
+    stream = spark.readStream.schema("id long, v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{uri}/in")
+    net = CellNet(spark, f"{uri}/net", marks(e), EPS)
+    net.start(stream).awaitTermination()
+    return r6(net.members().select("id", "rep", "l", "d", "spawned", "novel"))
+
+
+@query()
+def knn_projected(spark, d):
+    """Approximate neighbours of all rows, at a measured recall of 0.9 or more."""
+    return r6(K.knn_projected(emb(spark, d), KNN)[0])
+
+
+@query(W + f"{E_}, {D_}, {KN_} SELECT i, rk, j, round(d, 6) AS d FROM KN")
+def knn_refreshed(spark, d):
+    """Neighbours after every seventh row moved here from elsewhere: those of all rows."""
+    e = emb(spark, d)
+    before = cut(K.knn(e.select("id", F.when(F.col("id") % 7 == 0, F.transform("v", lambda x: -x)).otherwise(F.col("v")).alias("v")), KNN))
+    return r6(refresh_dirty(before, e.where("id % 7 = 0").select("id"), e, KNN))

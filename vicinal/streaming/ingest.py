@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.operators.knn import assign, nearest
+from vicinal.operators.lineage import cut
 from vicinal.operators.net import greedy_net
 
 
@@ -57,14 +58,18 @@ class NetStream:
         return start.trigger(availableNow=True).start()
 
 
-def refresh_dirty(knn: DataFrame, dirty: DataFrame, rows: DataFrame, k: int, n: int) -> DataFrame:
-    """Neighbour table with the rows of ``dirty`` ids, and of those that had one
-    as a neighbour, searched anew; all rows once too many are dirty."""
-    hit = dirty.select("id").union(knn.join(dirty.select(F.col("id").alias("j")), "j", "left_semi").select(F.col("i").alias("id"))).distinct().checkpoint()
-    if hit.count() >= max(64, n // 4):
-        return nearest(rows, rows, k)
+def refresh_dirty(knn: DataFrame, dirty: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The neighbour table of ``rows`` after those of ``dirty`` ids moved: they, and
+    the rows that had one as a neighbour, are searched anew; all others can only gain
+    dirty ones, and keep the first k of what they had and of their nearest of these."""
+    moved = dirty.select("id").distinct()
+    hit = cut(moved.union(knn.join(moved.select(F.col("id").alias("j")), "j", "left_semi").select(F.col("i").alias("id"))).distinct())
     fresh = nearest(rows.join(hit, "id", "left_semi"), rows, k)
-    return knn.join(hit.withColumnRenamed("id", "i"), "i", "left_anti").unionByName(fresh)
+    others = rows.join(hit, "id", "left_anti")
+    gained = nearest(others, rows.join(moved, "id", "left_semi"), k).select("i", "j", "d")
+    both = knn.join(hit.withColumnRenamed("id", "i"), "i", "left_anti").select("i", "j", "d").unionByName(gained)
+    rk = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return fresh.unionByName(both.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d"))
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
