@@ -102,7 +102,9 @@ def test_whole_graph_is_the_same_for_any_bunches(spark):
     assert edges.w.max() == 1 and (edges.src < edges.dst).all() and not edges.duplicated(["src", "dst"]).any()
 
 
-def test_bridges_are_the_spanning_tree_of_components(spark):
+@pytest.mark.parametrize("few", [4096, 2])
+def test_bridges_are_the_spanning_tree_of_components(spark, monkeypatch, few):
+    monkeypatch.setattr(B, "FEW", few)
     x = islands(4, 60)
     ids = [7 * i + 3 for i in range(60)]
     e = vectors(spark, x, ids)

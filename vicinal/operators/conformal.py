@@ -7,11 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.operators.order import before
+from vicinal.operators.order import MOST, before, bucket, stretches
 
 TINY = 1e-12
-#: Stretches of scores that are summed apart.
-PARTS = 64
 
 
 def affinities(dist: DataFrame, tau: float = 1.0) -> DataFrame:
@@ -35,18 +33,21 @@ def consistency(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, ["id", "l"]).groupBy("id").agg((0.5 * F.sum(F.abs(F.col("a") - F.col("b")))).alias("consistency"))
 
 
-def counted(rows: DataFrame, groups: list[str] | None = None, parts: int = PARTS) -> DataFrame:
+def counted(rows: DataFrame, groups: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """One row for each different score s of (s, c): n (the sum of c), le (the sum
     up to s) and total; by group where given.
 
-    Scores are summed first, then cut at ``parts`` - 1 quantiles; each stretch is
+    Scores are summed first, then cut at ``parts`` - 1 quantiles (as many as their
+    number asks for, if not given); each stretch is
     summed by a window of its own, and the stretches before it are added, so
     neither all rows nor equal scores meet in one task."""
     groups = groups or []
     per = rows.where(F.col("s").isNotNull()).groupBy(*groups, "s").agg(F.sum("c").alias("n"))
-    cuts = per.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)]).alias("q")).first()["q"]  # parts - 1 numbers
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("s"))) if cuts else F.lit(0)
-    per = per.withColumn("part", part)
+    fine = parts or MOST
+    seen = per.agg(F.count("*").alias("n"), F.percentile_approx("s", [k / fine for k in range(1, fine)] or [0.5]).alias("q")).first()  # MOST numbers
+    step = fine // (parts or stretches(seen["n"]))
+    cuts = sorted(set(seen["q"] or [])) if step <= 1 else sorted(set((seen["q"] or [])[step - 1 :: step]))
+    per = per.withColumn("part", bucket([F.lit(x) for x in cuts] if fine > 1 else [], F.col("s")))
     sums = per.groupBy(*groups, "part").agg(F.sum("n").alias("m"))
     other = sums.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), F.col("m").alias("_m"))
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]

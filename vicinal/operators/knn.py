@@ -195,6 +195,17 @@ def nearest(query: DataFrame, corpus: DataFrame, k: int, skip_equal_id: bool = T
     return some.withColumn("rk", rk).where(F.col("rk") <= k).select("i", "rk", "j", "d")
 
 
+def nearest_all(query: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(i, j, d) of each row of ``query`` to all rows of another id, by pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, a, ci, b in met(batches):
+            row, col = np.nonzero(qi[:, None] != ci[None])
+            yield pa.RecordBatch.from_pydict({"i": qi[row], "j": ci[col], "d": exact(a, b, row, col)})
+
+    return block_pairs(query, corpus).mapInArrow(run, "i long, j long, d double")
+
+
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Ids and matrices of the pairs of blocks, and the columns beyond these."""
     for batch in batches:

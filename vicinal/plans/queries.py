@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions import metrics as V
@@ -20,7 +20,7 @@ from vicinal.operators import knn as K
 from vicinal.operators import net as N
 from vicinal.operators import paths as P
 from vicinal.operators import sampling as S
-from vicinal.operators.lineage import shared
+from vicinal.operators.lineage import cut, shared
 from vicinal.streaming import ingest as I
 
 QUERIES: dict = {}
@@ -63,6 +63,16 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, 6) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes))
 
 
+def all_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(i, rk, j, d): all rows by distance from each query, numbered by stretches of
+    each query's order, so that no task sorts all rows of one."""
+    near = cut(K.nearest_all(queries, rows))
+    at = C.counted(near.select("i", F.col("d").alias("s"), F.lit(1).alias("c")), ["i"])
+    ties = F.row_number().over(Window.partitionBy("i", "d").orderBy("j"))
+    found = near.join(at.select("i", F.col("s").alias("d"), "le", "n"), ["i", "d"]).withColumn("t", ties)
+    return found.select("i", (F.col("le") - F.col("n") + F.col("t")).cast("int").alias("rk"), "j", "d")
+
+
 def dist_to_marks(e: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return K.pair_distances(e if rows is None else rows, marks(e)).select(F.col("i").alias("id"), F.col("j").alias("l"), "d")
 
@@ -87,7 +97,7 @@ W = "WITH "
 
 
 def fuzzy(e: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    near = K.knn(e, KNN)
+    near = cut(K.knn(e, KNN))
     return G.fuzzy_union(near, G.smooth(near, closed_form=True), weights)
 
 
@@ -97,7 +107,7 @@ SELECT t.id, round(t.s, 6) AS cover, round((1 + (SELECT count(*) FROM CV c WHERE
 FROM CV t WHERE t.id % 2 = 1 AND t.id >= {MARKS}""")
 def cover_pvalue(spark, d):
     e = emb(spark, d)
-    s = K.assign(e.where(F.col("id") >= MARKS), marks(e), 1).select("id", F.col("d").alias("s"))
+    s = cut(K.assign(e.where(F.col("id") >= MARKS), marks(e), 1).select("id", F.col("d").alias("s")))  # named several times
     p = C.p_values(s.where("id % 2 = 1"), s.where("id % 2 = 0"))
     return r6(p.select("id", F.col("s").alias("cover"), "p"))
 
@@ -361,7 +371,7 @@ _CAL = f"{E_}, {M_}, {CV_}, CA AS (SELECT CV.s, E.label AS grp FROM CV JOIN E ON
 
 def _calibration(spark, d):
     e = emb(spark, d)
-    s = K.assign(e.where(F.col("id") >= MARKS), marks(e), 1).select("id", F.col("d").alias("s"))
+    s = cut(K.assign(e.where(F.col("id") >= MARKS), marks(e), 1).select("id", F.col("d").alias("s")))
     return s.where("id % 2 = 1"), s.where("id % 2 = 0").join(labels(spark, d), "id").select("s", F.col("label").alias("grp"))
 
 
@@ -487,8 +497,7 @@ def knn_overlap(spark, d):
 @query(W + f"{E_}, {Z_}, {D_}, {DZ_}, B AS (SELECT x.i, ro, re FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS ro FROM D) x JOIN (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS re FROM DZ) y ON x.i = y.i AND x.j = y.j) SELECT round(avg(r), 6) AS rank_agreement FROM (SELECT i, corr(ro, re) AS r FROM B WHERE i % 100 = 0 GROUP BY i)")
 def rank_agreement(spark, d):
     e = emb(spark, d)
-    far = lambda t: K.nearest(t.where("id % 100 = 0"), t, 1 << 30)
-    return r6(Q.rank_agreement(far(e), far(flat(e))))
+    return r6(Q.rank_agreement(*(all_ranks(t.where("id % 100 = 0"), t) for t in (e, flat(e)))))
 
 
 @query(W + f"{E_}, {Z_}, QG AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r1 FROM E a JOIN E b ON a.id % 2 = 1 AND b.id % 2 = 0), QZ AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r2 FROM Z a JOIN Z b ON a.id % 2 = 1 AND b.id % 2 = 0) SELECT round(avg(n / {KNN}e0), 6) AS overlap_at_k, round(avg(n / ({2 * KNN}e0 - n)), 6) AS jaccard_at_k FROM (SELECT x.i, count(y.j) AS n FROM (SELECT * FROM QG WHERE r1 <= {KNN}) x LEFT JOIN (SELECT * FROM QZ WHERE r2 <= {KNN}) y ON x.i = y.i AND x.j = y.j GROUP BY x.i)")
