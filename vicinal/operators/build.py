@@ -110,3 +110,51 @@ def bridges(df: DataFrame, pairs: DataFrame) -> DataFrame:
         joined = edges.join(ends.withColumnsRenamed({"id": "src", "root": "i"}), "src").join(ends.withColumnsRenamed({"id": "dst", "root": "j"}), "dst")
         merged = contracted(joined, sizes)
         rows = cut(rows.join(merged, "root").select("id", "v", F.col("new").alias("root")))
+
+
+@dataclass(frozen=True)
+class Level:
+    """A level of a pyramid: ``edges`` (src, dst, w), ``reps`` (id, weight) and
+    ``mapping`` (id, to) from the representatives of the level below."""
+
+    edges: DataFrame
+    reps: DataFrame
+    mapping: DataFrame | None
+
+
+def pyramid(df: DataFrame, landmarks: DataFrame, finest: Graph, scales: int = 3, ratio: float = 4.0, least: int = 256, bridge: float = 1.0, mode: str = "rational_q99", bunches: int = 8, grid: int = 12, seed: int = 0) -> list[Level]:
+    """``finest`` and up to ``scales`` coarser levels, each of at most the size of the
+    first over ``ratio`` ** level (or ``least``): the largest net of the level below
+    that fits, among radii counted in one pass. Weights between cells add up and are
+    squashed; a coarsest level in parts is joined by its shortest bridges, of weight
+    ``bridge``. Levels stop where one would not be smaller."""
+    levels = [Level(finest.edges, finest.reps, None)]
+    first = size = finest.reps.count()
+    rows = cut(df.join(finest.reps.select("id"), "id", "left_semi").select("id", "v"))
+    for level in range(1, scales + 1):
+        target = max(round(first / ratio**level), least)
+        if target >= size:
+            break
+        near = K.one_nn(rows).agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
+        wide = max(near.b, 1e-12) * 2.0
+        radii = [near.a + (wide - near.a) * k / grid for k in range(1, grid + 1)]
+        sized = cover.bunched(rows, landmarks, max(radii), bunches, seed + level)
+        reps = cover.greedy(sized, radii)
+        fits = sorted((r.radius, r.n) for r in cover.counts(reps, radii).collect() if r.n <= target)
+        if not fits:
+            break
+        at = radii.index(fits[0][0])
+        chosen = reps.where(F.getbit("reps", F.lit(at)) == 1)
+        mapping = cut(cover.members(sized, chosen).select("id", F.col("rep").alias("to")))
+        edges = cut(G.coarsen(levels[-1].edges, mapping, mode))
+        weights = mapping.join(levels[-1].reps, "id").groupBy(F.col("to").alias("id")).agg(F.sum("weight").alias("weight"))
+        levels.append(Level(edges, cut(weights), mapping))
+        rows = cut(rows.join(weights.select("id"), "id", "left_semi"))
+        size = rows.count()
+        if size <= least:
+            break
+    if bridge > 0 and len(levels) > 1:
+        top = levels[-1]
+        more = bridges(rows, top.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"))).select("src", "dst", F.lit(bridge).alias("w"))
+        levels[-1] = Level(cut(top.edges.unionByName(more)), top.reps, top.mapping)
+    return levels

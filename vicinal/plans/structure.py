@@ -8,23 +8,28 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from vicinal.operators import alias as AL
 from vicinal.operators import batch as BT
 from vicinal.operators import build as B
+from vicinal.operators import conformal as C
 from vicinal.operators import cover as N
 from vicinal.operators import evaluate as Q
 from vicinal.operators import geodesic as A
+from vicinal.operators import graph as G
 from vicinal.operators import knn as K
 from vicinal.operators import objectives as O
 from vicinal.operators import paths as P
+from vicinal.operators import sampling as S
 from vicinal.operators import spectral as SP
 from vicinal.operators.lineage import cut, shared
 from vicinal.plans.queries import (
     _ED, _GP, AS_, D_, E_, EPS, FU_, KN_, KNN, M_, MARKS, N1_, ORACLES, RHO_, W, Z_, _bipartite, emb, flat, fuzzy, labels, marks, query, r6, table,
 )
+from vicinal.sources.store import GraphStore, KnnStore, load_graph, save_graph
 from vicinal.streaming.cells import CellNet
 from vicinal.streaming.ingest import refresh_dirty
 
@@ -330,3 +335,74 @@ def knn_refreshed(spark, d):
     e = emb(spark, d)
     before = cut(K.knn(e.select("id", F.when(F.col("id") % 7 == 0, F.transform("v", lambda x: -x)).otherwise(F.col("v")).alias("v")), KNN))
     return r6(refresh_dirty(before, e.where("id % 7 = 0").select("id"), e, KNN))
+
+
+# ---- class regions, stores, pyramids --------------------------------------
+_CR = f"""{E_}, {D_}, CR AS (SELECT id, grp, d FROM (SELECT D.i AS id, b.label AS grp, D.d, row_number() OVER (PARTITION BY D.i, b.label ORDER BY D.d, D.j) AS rk FROM D JOIN E b ON D.j = b.id WHERE D.j % 2 = 0) WHERE rk = 5),
+CC AS (SELECT CR.grp, CR.d FROM CR JOIN E ON E.id = CR.id AND E.label = CR.grp WHERE CR.id % 2 = 0),
+CP AS (SELECT t.id, t.grp, (1 + count(*) FILTER (CC.d >= t.d)) / CAST(count(*) + 1 AS DOUBLE) AS p FROM CR t JOIN CC ON CC.grp = t.grp WHERE t.id % 2 = 1 GROUP BY 1, 2)"""
+
+
+def _region_p(spark, d):
+    """p-values of odd rows in each class's region, calibrated on its own even rows."""
+    e = emb(spark, d)
+    own = e.join(labels(spark, d), "id").where("id % 2 = 0")
+    s = cut(K.class_nearest(e, own, 5).where("rk = 5").select(F.col("i").alias("id"), F.col("label").alias("grp"), F.col("d").alias("s")))
+    calib = s.where("id % 2 = 0").join(labels(spark, d), "id").where("label = grp").select("grp", "s")
+    return C.p_values(s.where("id % 2 = 1"), calib, ["grp"]).select("id", "grp", "p")
+
+
+@query(W + _CR + " SELECT id, grp, round(p, 6) AS p FROM CP")
+def class_region_p(spark, d):
+    return r6(_region_p(spark, d))
+
+
+@query(W + _CR + " SELECT id, coalesce(string_agg(CAST(grp AS VARCHAR), ',' ORDER BY grp) FILTER (p > 0.4e0), '') AS classes FROM CP GROUP BY id")
+def class_region_set(spark, d):
+    sets = C.prediction_sets(_region_p(spark, d), 0.4)
+    return sets.select("id", F.concat_ws(",", F.transform("groups", lambda x: x.cast("string"))).alias("classes"))
+
+
+@query(W + f"{E_}, {M_}, {AS_}, H AS (SELECT l, count(*) FILTER (id % 61 = 0) AS c FROM A WHERE rk = 1 GROUP BY l) SELECT l AS cell, CAST(coalesce(sum(greatest(c, 1)) OVER (ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(greatest(c, 1) AS BIGINT) AS n FROM H")
+def active_cell_rows(spark, d):
+    """Where each landmark cell's active rows (every 61st) stand, one cell after another."""
+    e = emb(spark, d)
+    return S.active_members(K.assign(e, marks(e), 1).select("id", F.col("l").alias("cell")), e.where("id % 61 = 0"))[1]
+
+
+@query(W + f"{E_}, {D_}, {KN_}, B AS (SELECT stddev_samp(r) AS s FROM (SELECT ln(greatest(max(d), 1e-12)) AS r FROM KN GROUP BY i)) SELECT (SELECT dim FROM ({ORACLES['intrinsic_dim']})) AS dim, 2 AS d_out, round(s, 6) AS ambient_sd FROM B")
+def density_budget(spark, d):
+    """Intrinsic dimension, and the spread of log neighbour radii that a map may show."""
+    e = emb(spark, d)
+    spread = G.log_radius(K.knn(e, KNN)).agg(F.stddev_samp("log_r").alias("ambient_sd"))
+    return r6(G.intrinsic_dimension(K.knn(e, 10)).crossJoin(spread).select("dim", F.lit(2).alias("d_out"), "ambient_sd"))  # one row each
+
+
+@query(W + f"{E_}, {D_}, {KN_} SELECT i, rk, j, round(d, 6) AS d FROM KN")
+def knn_stored(spark, d):
+    """Neighbours that were filled in four slices, audited, marked complete and read back."""
+    e = emb(spark, d)
+    store = KnnStore(spark, f"{shared(spark).rstrip('/')}/knn-{uuid.uuid4().hex}")
+    store.create(e.count(), KNN, 4)
+    for k in range(4):
+        store.write(k, K.nearest(e.where(F.col("id") % 4 == k), e, KNN))
+    store.mark_complete()
+    return r6(store.load())
+
+
+@query(R + _WHOLE + " SELECT src, dst, round(w / (SELECT max(w) FROM UB), 6) AS w FROM UB")
+def graph_stored(spark, d):
+    """The edges of a whole graph, stored and read back."""
+    e = emb(spark, d)
+    store = GraphStore(spark, f"{shared(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    save_graph(store, B.graph(e, marks(e), EPS, GK, closed_form=True), {"config": {"k": GK, "delta": EPS}})
+    return r6(load_graph(store).edges)
+
+
+@query()
+def graph_pyramid(spark, d):
+    """Edges of a whole graph and of its coarser levels, the coarsest in one part."""
+    e = emb(spark, d)
+    levels = B.pyramid(e, marks(e), B.graph(e, marks(e), EPS, GK, closed_form=True), ratio=3.0, least=24)
+    out = [x.edges.select(F.lit(k).alias("level"), "src", "dst", "w") for k, x in enumerate(levels)]
+    return r6(reduce(lambda a, b: a.unionByName(b), out))

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.operators.build import Graph
+
 VERSION = 1
 
 
@@ -64,6 +66,87 @@ class GraphStore:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+class KnnStore:
+    """A neighbour table that is filled slice by slice and only read once complete.
+
+    Slices may be written by separate runs, and again; a slice's folder is replaced
+    whole. The mark of completeness is written after an audit, and any later write
+    takes it away."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _text(self, name: str) -> dict[str, Any] | None:
+        try:
+            return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def _put(self, name: str, value: dict[str, Any]) -> None:
+        self.spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")
+
+    def create(self, n: int, k: int, slices: int) -> None:
+        """For ``n`` rows with ``k`` neighbours each, of which there may be fewer only
+        where there are fewer rows."""
+        self._put("complete", {"complete": False})
+        self._put("meta", {"version": VERSION, "n": n, "k": min(k, max(n - 1, 0)), "slices": slices})
+
+    def write(self, number: int, knn: DataFrame) -> None:
+        """Put the slice ``number`` of (i, rk, j, d)."""
+        meta = self._text("meta")
+        if meta is None or not 0 <= number < meta["slices"]:
+            raise ValueError("no store was created here, or it has no such slice")
+        self._put("complete", {"complete": False})
+        knn.select("i", "rk", "j", "d").write.mode("overwrite").parquet(f"{self.path}/knn/slice={number}")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema("i long, rk int, j long, d double, slice int").parquet(f"{self.path}/knn")
+
+    def audit(self) -> dict[str, int]:
+        """Rows that are missing, given twice, or no neighbours at all."""
+        meta = self._text("meta")
+        try:
+            per = self._rows().where(F.col("rk") <= meta["k"]).groupBy("i", "rk").agg(F.count("*").alias("c"), F.count_if((F.col("i") == F.col("j")) | ~(F.col("d") >= 0)).alias("bad"))
+            got = per.agg(F.count("*").alias("n"), F.sum(F.col("c") - 1).alias("twice"), F.sum("bad").alias("bad")).first()
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return {"missing": meta["n"] * meta["k"], "twice": 0, "bad": 0}
+        return {"missing": meta["n"] * meta["k"] - got.n, "twice": got.twice or 0, "bad": got.bad or 0}
+
+    def mark_complete(self) -> None:
+        """Mark the store complete; an error where the audit finds anything."""
+        found = self.audit()
+        if any(found.values()):
+            raise ValueError(f"the neighbour table is not complete: {found}")
+        self._put("complete", {"complete": True})
+
+    def complete(self) -> bool:
+        mark = self._text("complete")
+        return bool(mark and mark["complete"])
+
+    def load(self) -> DataFrame:
+        """(i, rk, j, d); an error unless the store is marked complete."""
+        if not self.complete():
+            raise ValueError("the neighbour table is not complete")
+        return self._rows().drop("slice")
+
+
+def save_graph(store: GraphStore, graph: Graph, meta: dict[str, Any]) -> None:
+    """The state of a whole graph: its edges as level 0 and its tables."""
+    store.save(graph.edges.withColumn("level", F.lit(0)), meta, members=graph.members, reps=graph.reps, knn=graph.knn)
+
+
+def load_graph(store: GraphStore) -> Graph:
+    """The graph that ``save_graph`` stored; an error where it was not stored whole."""
+    meta = store.meta()
+    if meta is None or not {"members", "reps", "knn"} <= set(meta["tables"]):
+        raise ValueError("no whole graph is stored here")
+    return Graph(store.table("members"), store.table("reps"), store.table("knn"), store.edges(0))
+
+
 def load_array(spark: SparkSession, path: str) -> DataFrame:
     """(id, v) of a ``.npy`` or ``.npz`` file (key X, else the first) on the driver."""
     import numpy as np
