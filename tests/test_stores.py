@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 
+from vicinal.functions.curves import fit_curve, least_gap
 from vicinal.operators import build as B
 from vicinal.operators import knn as K
 from vicinal.operators import sampling as S
-from vicinal.sources.store import GraphStore, KnnStore, load_graph, save_graph
+from vicinal.sources.store import GraphStore, KnnStore, load_array, load_graph, save_graph
 
 
 def vectors(spark, x):
@@ -65,3 +66,28 @@ def test_active_members_one_cell_after_another(spark):
     values, cells = S.active_members(members, spark.createDataFrame([(2,), (1,), (5,), (9,), (5,)], "id long"))
     assert [(r.cell, r.member) for r in values.orderBy("at").collect()] == [(10, 1), (10, 2), (20, -1), (30, 5)]
     assert sorted(map(tuple, cells.collect())) == [(10, 0, 2), (20, 2, 1), (30, 3, 1)]
+
+
+@pytest.mark.parametrize("name", ["a.npy", "a.npz", "b.npz"])
+def test_array_files_are_read_by_tasks(spark, tmp_path, name):
+    x = np.random.default_rng(2).normal(size=(50, 2, 3)).astype(np.float32)
+    path = str(tmp_path / name)
+    np.save(path, x) if name.endswith("npy") else np.savez(path, **({"other": x[:1], "X": x} if name[0] == "a" else {"only": x}))
+    rows = load_array(spark, path, 20)
+    assert rows.rdd.getNumPartitions() == 3
+    got = {r.id: r.v for r in rows.collect()}
+    assert sorted(got) == list(range(50)) and all(got[i] == x[i].ravel().tolist() for i in range(50))
+    with pytest.raises(ValueError):
+        load_array(spark, str(tmp_path / "a.txt"))
+
+
+def test_curve_is_the_best_fit():
+    for spread, gap in ((1.0, 0.1), (1.0, 0.5), (2.0, 0.3)):
+        a, b = fit_curve(spread, gap)
+        x = np.linspace(0, 3 * spread, 300)[1:]
+        y = np.where(x < gap, 1, np.exp(-(x - gap) / spread))
+        loss = lambda a, b: ((1 / (1 + a * x ** (2 * b)) - y) ** 2).sum()
+        assert all(loss(a, b) <= loss(a * f, b * g) for f in (0.99, 1, 1.01) for g in (0.99, 1, 1.01))
+    a, b = fit_curve()
+    assert abs(a - 1.577) < 2e-3 and abs(b - 0.8951) < 2e-3  # the values of the well-known defaults
+    assert abs(fit_curve(1.0, least_gap(1.0))[1] - 1) < 1e-6 and 0.19 < least_gap(1.0) < 0.21

@@ -30,6 +30,7 @@ from vicinal.plans.queries import (
     _ED, _GP, AS_, D_, E_, EPS, FU_, KN_, KNN, M_, MARKS, N1_, ORACLES, RHO_, W, Z_, _bipartite, emb, flat, fuzzy, labels, marks, query, r6, table,
 )
 from vicinal.sources.store import GraphStore, KnnStore, load_graph, save_graph
+from vicinal.streaming import ingest as I
 from vicinal.streaming.cells import CellNet
 from vicinal.streaming.ingest import refresh_dirty
 
@@ -406,3 +407,16 @@ def graph_pyramid(spark, d):
     levels = B.pyramid(e, marks(e), B.graph(e, marks(e), EPS, GK, closed_form=True), ratio=3.0, least=24)
     out = [x.edges.select(F.lit(k).alias("level"), "src", "dst", "w") for k, x in enumerate(levels)]
     return r6(reduce(lambda a, b: a.unionByName(b), out))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts < time_bucket(INTERVAL '1 hour', (SELECT max(ts) FROM events) - INTERVAL '10 minutes') GROUP BY 1, 2""")
+def event_windows(spark, d):
+    """Counts and sums by hour and type of the event stream, of the hours that the watermark closed."""
+    uri = f"{shared(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange(4, "ts").write.parquet(f"{uri}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{uri}/in")  # one batch: no row is late
+    counts = I.event_windows(stream).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{uri}/out/batch={batch}")
+    counts.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{uri}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{uri}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,14 +150,28 @@ def load_graph(store: GraphStore) -> Graph:
     return Graph(store.table("members"), store.table("reps"), store.table("knn"), store.edges(0))
 
 
-def load_array(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) of a ``.npy`` or ``.npz`` file (key X, else the first) on the driver."""
-    import numpy as np
-
+def load_array(spark: SparkSession, path: str, rows: int = 65_536) -> DataFrame:
+    """(id, v) of a ``.npy`` or ``.npz`` file (key X, else the first) that all tasks can
+    open. Tasks map ``.npy`` files into memory and read their own rows, about ``rows``
+    each; a ``.npz`` is opened by each task as a whole. The driver reads the shape only."""
     if not path.endswith((".npy", ".npz")):
         raise ValueError("a .npy or .npz file is expected")
-    data = np.load(path)
-    if path.endswith(".npz"):
-        data = data["X" if "X" in data.files else data.files[0]]
-    data = np.ascontiguousarray(data, np.float32).reshape(len(data), -1)
-    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(data)], "id long, v array<double>")
+
+    def opened() -> np.ndarray:
+        data = np.load(path, mmap_mode="r")
+        if path.endswith(".npz"):
+            data = data["X" if "X" in data.files else data.files[0]]
+        return data
+
+    n = len(opened())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = None
+        for batch in batches:
+            if len(ids := batch.column(0)):
+                data = opened() if data is None else data
+                own = np.ascontiguousarray(data[ids.to_numpy()], np.float32).reshape(len(ids), -1)
+                values = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel(), pa.float64()), own.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([ids, values], names=["id", "v"])
+
+    return spark.range(0, n, 1, max(1, -(-n // rows))).mapInArrow(read, "id long, v array<double>")
