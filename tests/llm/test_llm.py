@@ -64,6 +64,28 @@ def test_token_files_round_trip_by_frames(spark, monkeypatch):
         at += len(x)
 
 
+def test_token_files_end_by_ids(spark):
+    texts = odd_texts(60, 5) + ["same text"] * 40
+    ids = [*range(len(texts) - 40), *[7] * 40]
+    uri = common.shared_dir(spark, "ids")
+    files = tokenfile.write(docs(spark, texts, ids), uri, path("word_bpe_49k.json"), 2, file_ids=25)
+    whole = tokenfile.write(docs(spark, texts, ids), common.shared_dir(spark, "ids"), path("word_bpe_49k.json"), 2)
+    sizes = [r.n_tokens for r in files.collect()]
+    assert len(sizes) > 20 and files.count() > whole.count() and max(sizes) < 25 + 3001
+    rows = sorted(tokenfile.read(files, uri).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(ids) and [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])[:-1]].tolist()
+
+
+def test_blocks_are_visited_there_and_back(monkeypatch):
+    from functools import lru_cache
+
+    loads = []
+    monkeypatch.setattr(decontam, "_block", lru_cache(maxsize=decontam.HELD)(lambda name: loads.append(name) or decontam.Block([], [])))
+    for _ in range(5):
+        decontam.search(Scan([b"one two three"], BREAK, lower=True), [f"b{k}" for k in range(9)])
+    assert len(loads) == 9 + 4
+
+
 def test_token_file_reader_takes_only_the_frames_it_needs(tmp_path):
     from pyarrow import fs
 

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ SKIPPABLE_MAGIC, SEEK_MAGIC, SEEK_DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
 #: Words kept by a Python worker (some 200 MB; the library is slower than a lookup).
 KEPT_WORDS = 1_200_000
+#: Ids and documents of a file, about: its index is held until it closes.
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
 
 
 class Writer:
@@ -200,9 +203,10 @@ def library_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     return library(path).ids(texts)
 
 
-def write(df: DataFrame, uri: str, path: str, end_id: int, id_column: str = "doc_id", column: str = "text") -> DataFrame:
+def write(df: DataFrame, uri: str, path: str, end_id: int, id_column: str = "doc_id", column: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of every text, ``end_id`` after each, to files below
-    ``uri`` in ascending order of ``id_column``.
+    ``uri`` in ascending order of ``id_column``; a file ends after ``file_ids`` ids
+    or ``FILE_DOCS`` documents, with the document that reaches them.
 
     Returns the manifest (kept in the same folder): file, first_id, n_docs,
     n_tokens and base, the count of ids in the files before. Files of attempts
@@ -211,22 +215,30 @@ def write(df: DataFrame, uri: str, path: str, end_id: int, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.filesystem(uri)
         fs.create_dir(root, recursive=True)
-        name, out, w, first, key = f"{uuid.uuid4().hex}.zst", None, None, None, None
+        part, number, w, out, row = TaskContext.get().partitionId(), 0, None, None, {}
+
+        def closed() -> pa.RecordBatch:
+            w.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [row["file"]], "first_id": pa.array([row["id"]], pa.int64()), "first_key": [row["key"]], "n_docs": [len(w.index)], "n_tokens": [w.n_ids]})
+
         for batch in batches:
             for piece in common.slices(batch, column):
                 docs = piece.column(0).to_pylist()
                 ids, n = library_ids(common.values(piece, column), path)
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
                 ends = np.cumsum(n + 1)
-                if w is None:
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    w, first, key = Writer(out), docs[0], piece.column(2)[0].as_py()
-                for d, e, k in zip(docs, ends, n + 1, strict=True):
+                for i, (d, e, k) in enumerate(zip(docs, ends, n + 1, strict=True)):
+                    if w is None:  # names rise with the order of rows, also where files begin with equal ones
+                        row = {"file": f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.zst", "id": d, "key": piece.column(2)[i].as_py()}
+                        out = fs.open_output_stream(f"{root}/{row['file']}", compression=None)
+                        w, number = Writer(out), number + 1
                     w.add(d, ids[e - k : e])
+                    if w.n_ids >= file_ids or len(w.index) >= FILE_DOCS:
+                        yield closed()
+                        w = None
         if w is not None:
-            w.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "first_key": [key], "n_docs": [len(w.index)], "n_tokens": [w.n_ids]})
+            yield closed()
 
     text = F.col(column).cast("string")
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), text.alias(column), F.xxhash64(text).alias("key"))
