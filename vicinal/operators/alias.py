@@ -10,7 +10,6 @@ and the law of the draws is weight over total weight, row by row.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.operators.lineage import shared
+from vicinal.operators.lineage import fresh_dir
 
 #: Rows of a shard, about, and shards at most; the least weight of a row.
 ROWS, MOST_SHARDS, LEAST = 1 << 16, 100_000, 1e-12
@@ -90,7 +89,7 @@ def build(rows: DataFrame, keys: list[str], weight: str, uri: str | None = None,
     """Build and store the tables of ``rows`` below ``uri`` (a folder that all share;
     a fresh one by default)."""
     spark = rows.sparkSession
-    uri = uri or f"{shared(spark).rstrip('/')}/alias-{uuid.uuid4().hex}"
+    uri = uri or fresh_dir(spark, "alias")
     n = rows.count()
     if not n:
         raise ValueError("no rows to draw from")

@@ -7,8 +7,6 @@ ones test. Doubles are rounded to six places.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from vicinal.operators import knn as K
 from vicinal.operators import net as N
 from vicinal.operators import paths as P
 from vicinal.operators import sampling as S
-from vicinal.operators.lineage import cut, shared
+from vicinal.operators.lineage import cut, fresh_dir, shared
 from vicinal.streaming import ingest as I
 
 QUERIES: dict = {}
@@ -700,7 +698,7 @@ def weighted_draw(spark, d):
 def stream_ingest(spark, d):
     """The net after four batches of the embeddings."""
     e = emb(spark, d)
-    s = I.NetStream(spark, f"{shared(spark)}/net-{uuid.uuid4().hex}", marks(e), EPS)
+    s = I.NetStream(spark, fresh_dir(spark, "net"), marks(e), EPS)
     for k in range(4):
         s.ingest(e.where(F.col("id") % 4 == k), k)
     return s.table("members").select("id", "rep")

@@ -7,7 +7,6 @@ hash order, each adding itself unless one of its neighbours is in the list.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from vicinal.operators import objectives as O
 from vicinal.operators import paths as P
 from vicinal.operators import sampling as S
 from vicinal.operators import spectral as SP
-from vicinal.operators.lineage import cut, shared
+from vicinal.operators.lineage import cut, fresh_dir
 from vicinal.plans.queries import (
     _ED, _GP, AS_, D_, E_, EPS, FU_, KN_, KNN, M_, MARKS, N1_, ORACLES, RHO_, W, Z_, _bipartite, emb, flat, fuzzy, labels, marks, query, r6, table,
 )
@@ -316,7 +315,7 @@ def spectral_layout(spark, d):
 def stream_cells(spark, d):
     """A net by keyed state from a stream of four files of embeddings."""
     e = emb(spark, d)
-    uri = f"{shared(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    uri = fresh_dir(spark, "cells")
     e.repartitionByRange(4, "id").write.parquet(f"{uri}/in")
     stream = spark.readStream.schema("id long, v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{uri}/in")
     net = CellNet(spark, f"{uri}/net", marks(e), EPS)
@@ -383,7 +382,7 @@ def density_budget(spark, d):
 def knn_stored(spark, d):
     """Neighbours that were filled in four slices, audited, marked complete and read back."""
     e = emb(spark, d)
-    store = KnnStore(spark, f"{shared(spark).rstrip('/')}/knn-{uuid.uuid4().hex}")
+    store = KnnStore(spark, fresh_dir(spark, "knn"))
     store.create(e.count(), KNN, 4)
     for k in range(4):
         store.write(k, K.nearest(e.where(F.col("id") % 4 == k), e, KNN))
@@ -395,7 +394,7 @@ def knn_stored(spark, d):
 def graph_stored(spark, d):
     """The edges of a whole graph, stored and read back."""
     e = emb(spark, d)
-    store = GraphStore(spark, f"{shared(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    store = GraphStore(spark, fresh_dir(spark, "graph"))
     save_graph(store, B.graph(e, marks(e), EPS, GK, closed_form=True), {"config": {"k": GK, "delta": EPS}})
     return r6(load_graph(store).edges)
 
@@ -412,7 +411,7 @@ def graph_pyramid(spark, d):
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts < time_bucket(INTERVAL '1 hour', (SELECT max(ts) FROM events) - INTERVAL '10 minutes') GROUP BY 1, 2""")
 def event_windows(spark, d):
     """Counts and sums by hour and type of the event stream, of the hours that the watermark closed."""
-    uri = f"{shared(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    uri = fresh_dir(spark, "windows")
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartitionByRange(4, "ts").write.parquet(f"{uri}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{uri}/in")  # one batch: no row is late
