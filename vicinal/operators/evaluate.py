@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinal.operators import knn as K
 from vicinal.operators.conformal import counted
+from vicinal.operators.lineage import cut
+from vicinal.operators.order import stretch
+
+#: Counts that a task holds of a slice of values by classes.
+SLICE = 1 << 20
 
 
 def ranked(rows: DataFrame, groups: list[str] | None = None, **columns: str) -> DataFrame:
@@ -98,20 +109,81 @@ def spacing(embedded: DataFrame, original: DataFrame) -> DataFrame:
 
 def auc_pairs(rows: DataFrame) -> DataFrame:
     """For all pairs of classes (label) with lo < hi: P(s of hi > s of lo) plus
-    half the ties, from ranks: (lo, hi, auc)."""
-    per = rows.where(F.col("label").isNotNull() & F.col("s").isNotNull()).groupBy("label", "s").agg(F.count("*").alias("c"))
+    half the ties: (lo, hi, auc).
+
+    Rows are counted by value and dealt to stretches of the order of values, once for
+    all classes. A task goes through a stretch with a running count for each class
+    and sums up the pairs within it; those between stretches follow from the
+    stretches' counts. Classes and sums of their pairs are what a task holds."""
+    per = cut(rows.where(F.col("label").isNotNull() & F.col("s").isNotNull()).groupBy("label", "s").agg(F.count("*").alias("c")))
+    dealt = cut(per.withColumn("p", stretch(per, ["s"])))
     size = per.groupBy("label").agg(F.sum("c").alias("n"))
-    pairs = size.select(F.col("label").alias("lo"), F.col("n").alias("n_lo")).join(size.select(F.col("label").alias("hi"), F.col("n").alias("n_hi")), F.col("lo") < F.col("hi"))
-    side = lambda c, of_hi: pairs.select("lo", "hi").join(per.withColumnRenamed("label", c), c).select("lo", "hi", "s", "c", (F.col("c") * of_hi).alias("of_hi"))
-    both = side("lo", 0).unionByName(side("hi", 1))
-    rank = counted(both, ["lo", "hi"]).select("lo", "hi", "s", (F.col("le") - (F.col("n") - 1) / 2).alias("rk"))
-    top = both.where("of_hi > 0").join(rank, ["lo", "hi", "s"]).groupBy("lo", "hi").agg(F.sum(F.col("of_hi") * F.col("rk")).alias("top"))
-    auc = (F.col("top") - F.col("n_hi") * (F.col("n_hi") + 1) / 2) / (F.col("n_lo") * F.col("n_hi"))
-    return pairs.join(top, ["lo", "hi"]).select("lo", "hi", auc.alias("auc"))
+    classes = pa.array([r.label for r in size.select("label").orderBy("label").collect()])  # their pairs are the result
+    k = len(classes)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, run, u, last, held = None, np.zeros(k), np.zeros((k, k)), None, np.zeros(k)
+
+        def out() -> pa.RecordBatch:
+            below, above = np.divmod(np.flatnonzero(u), k)
+            return pa.RecordBatch.from_pydict({"a": below, "b": above, "u": u[below, above]})
+
+        def take(own: np.ndarray, s: np.ndarray, c: np.ndarray) -> None:
+            # values that end a slice are held until it is known that no more follow
+            nonlocal run, u, last, held
+            values, at = np.unique(s, return_inverse=True)
+            m = np.zeros((len(values), k))
+            np.add.at(m, (at, own), c)
+            if last is not None and values[0] == last:
+                m[0] += held
+            elif last is not None:
+                m = np.vstack([held, m])
+            last, held, m = values[-1], m[-1], m[:-1]
+            before = np.cumsum(m, 0) - m + run
+            u += (before + m / 2).T @ m
+            run = run + m.sum(0)
+
+        def close() -> None:
+            nonlocal run, u, last, held
+            u += np.outer(run + held / 2, held)
+            run, last, held = np.zeros(k), None, np.zeros(k)
+
+        step = max(1, SLICE // max(k, 1))
+        for batch in batches:
+            part, s, c = (batch.column(n).to_numpy() for n in (0, 2, 3))
+            own = pc.index_in(batch.column(1), classes).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i < j and part[i] != p:
+                    close()
+                    p = part[i]
+                for x in range(i, j, step):
+                    y = min(x + step, j)
+                    take(own[x:y], s[x:y], c[x:y])
+        close()
+        yield out()
+
+    ordered = dealt.select("p", "label", F.col("s").cast("double").alias("s"), "c").repartition("p").sortWithinPartitions("p", "s")
+    inside = ordered.mapInArrow(within, "a long, b long, u double")
+    name = rows.sparkSession.createDataFrame(list(enumerate(classes.to_pylist())), T.StructType([T.StructField("k", T.LongType()), rows.schema["label"]]))
+    inside = inside.where("a < b").join(F.broadcast(name.select(F.col("k").alias("a"), F.col("label").alias("lo"))), "a").join(F.broadcast(name.select(F.col("k").alias("b"), F.col("label").alias("hi"))), "b")  # a row a class
+    own = dealt.groupBy("p", "label").agg(F.sum("c").cast("double").alias("n"))
+    grid = own.select("p").distinct().crossJoin(size.select("label")).join(own, ["p", "label"], "left")  # a row a stretch and class
+    ahead = F.sum("n").over(Window.partitionBy("label").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = grid.select("p", F.col("label").alias("lo"), ahead.alias("m")).where("m > 0")
+    between = ahead.join(own.withColumnRenamed("label", "hi"), "p").where("lo < hi").select("lo", "hi", (F.col("m") * F.col("n")).alias("u"))
+    won = inside.select("lo", "hi", "u").unionByName(between).groupBy("lo", "hi").agg(F.sum("u").alias("u"))
+    sizes = size.select(F.col("label").alias("lo"), F.col("n").alias("n_lo")).join(size.select(F.col("label").alias("hi"), F.col("n").alias("n_hi")), F.col("lo") < F.col("hi"))
+    auc = F.coalesce("u", F.lit(0.0)) / (F.col("n_lo").cast("double") * F.col("n_hi"))
+    return sizes.join(won, ["lo", "hi"], "left").select("lo", "hi", auc.alias("auc"))
 
 
 def class_positions(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("label").agg(F.percentile("s", F.lit(0.5)).alias("position"))
+    """The median s of each label (the mean of the two in the middle), from ranks by
+    stretches, so that a large class is many tasks. Null s do not count."""
+    at = counted(rows.where("s IS NOT NULL").select("label", "s", F.lit(1).alias("c")), ["label"])
+    reached = lambda r: F.min(F.when(F.col("le") >= r, F.col("s")))
+    return at.groupBy("label").agg(((reached(F.floor((F.col("total") + 1) / 2)) + reached(F.floor(F.col("total") / 2) + 1)) / 2).alias("position"))
 
 
 def label_accuracy(knn: DataFrame, labels: DataFrame) -> DataFrame:
