@@ -9,7 +9,7 @@ import pytest
 from vicinal.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["cover_pvalue", "knn_exact", "knn_bucketed", "fuzzy_union", "coarsen_galerkin", "prediction_set", "trust_continuity", "path_ties_drop", "policy_tilt", "components_min_label", "landmark_backbone", "cross_entropy", "affinity_usage", "support_per_landmark", "novelty", "edge_lengths", "owned_net", "cover_counts", "bunches_by_mass", "landmark_bunches", "whole_graph", "geodesic_fidelity", "alias_law", "procrustes_anchor", "path_loss", "composite_scales", "class_order_hinge", "class_axis_report", "class_axis_positions", "class_region_set", "active_cell_rows", "density_budget", "knn_refreshed"]
+SOME = ["cover_pvalue", "knn_exact", "knn_bucketed", "fuzzy_union", "coarsen_galerkin", "prediction_set", "trust_continuity", "path_ties_drop", "policy_tilt", "components_min_label", "landmark_backbone", "cross_entropy", "affinity_usage", "support_per_landmark", "novelty", "edge_lengths", "owned_net", "cover_counts", "bunches_by_mass", "landmark_bunches", "whole_graph", "geodesic_fidelity", "alias_law", "procrustes_anchor", "path_loss", "composite_scales", "class_order_hinge", "class_axis_report", "class_axis_positions", "null_marginals", "map_persistence", "class_region_set", "active_cell_rows", "density_budget", "knn_refreshed"]
 
 
 def rows(df: pd.DataFrame) -> list:

@@ -9,11 +9,10 @@ one matrix and the counts of pairs of classes are gathered, never rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +20,10 @@ from vicinal.operators import evaluate as Q
 from vicinal.operators import knn as K
 from vicinal.operators.lineage import cut
 from vicinal.operators.objectives import class_order
+from vicinal.operators.sums import summed
 
 #: Share of the mean variance that is added to each coordinate's before solving.
 RIDGE = 1e-3
-#: Tasks that sum up the tasks' sums; so many vectors a class reach the driver.
-MERGES = 32
 
 
 @dataclass(frozen=True)
@@ -88,36 +86,6 @@ def _ranked(rows: DataFrame, axis: Axis) -> DataFrame:
     return rows.where(F.col("v").isNotNull() & F.col("label").isin(list(axis.rank))).select("v", F.col("label").cast("long").alias("label"))
 
 
-def _summed(rows: DataFrame, part) -> dict[int, np.ndarray]:
-    """Sums of ``part(v, label)``, a dict of arrays for a batch: by task, then by
-    ``MERGES`` tasks, then on the driver."""
-
-    def out(total: dict) -> Iterator[pa.RecordBatch]:
-        if total:
-            yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int64()), "x": [x.astype("<f8").tobytes() for x in total.values()]})
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                v, label = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(1).to_numpy()
-                for k, x in part(v, label).items():
-                    total[k] = total.get(k, 0.0) + x
-        yield from out(total)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[k] = total.get(k, 0.0) + np.frombuffer(x, "<f8")
-        yield from out(total)
-
-    total: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(first, "k long, x binary").repartition(MERGES).mapInArrow(merge, "k long, x binary").collect():
-        total[r.k] = total.get(r.k, 0.0) + np.frombuffer(r.x, "<f8")
-    return total
-
-
 def direction(rows: DataFrame, axis: Axis, pinned: Sequence[int] = ()) -> np.ndarray:
     """The unit direction along which the axis's ranks come apart, from low to high.
 
@@ -132,7 +100,7 @@ def direction(rows: DataFrame, axis: Axis, pinned: Sequence[int] = ()) -> np.nda
     def sums(v: np.ndarray, label: np.ndarray) -> dict:
         return {int(c): np.r_[np.sum(label == c), v[label == c].sum(0)] for c in np.unique(label)}
 
-    by_class = _summed(known, sums)
+    by_class = summed(known, sums)
     if not by_class:
         raise ValueError(f"axis {axis.name}: no rows of its classes")
     ranks = sorted({axis.rank[c] for c in by_class})
@@ -153,7 +121,7 @@ def direction(rows: DataFrame, axis: Axis, pinned: Sequence[int] = ()) -> np.nda
             return {0: (x.T @ x).ravel()}
 
         n = sum(t[0] for t in total.values())
-        s = _summed(known, products)[0].reshape(len(use), -1) / max(n - 1, 1)
+        s = summed(known, products)[0].reshape(len(use), -1) / max(n - 1, 1)
         s += RIDGE * max(np.diag(s).mean(), 1e-12) * np.eye(len(use))
         u[use] = np.linalg.solve(s, delta[use])
     size = np.linalg.norm(u)

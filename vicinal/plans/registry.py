@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinal.plans import classaxes, objectives, structure  # noqa: F401  register their queries
+from vicinal.plans import classaxes, nulls, objectives, structure  # noqa: F401  register their queries
 from vicinal.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
