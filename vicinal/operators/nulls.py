@@ -18,7 +18,7 @@ from vicinal.operators.lineage import cut
 from vicinal.operators.order import before
 from vicinal.operators.sums import summed
 
-#: Values of a block of rows that a task puts together.
+#: Values of a block of rows that a task puts together, at most.
 VALUES = 1 << 22
 
 
@@ -32,14 +32,16 @@ def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
 
     A keyed Feistel network says where the value of each row (by its place in the
     order of ids) goes, so no coordinate is sorted: all values are shuffled once,
-    packed by the block of rows that they go to. A block holds ``VALUES`` values."""
+    packed by the block of rows that they go to: as many blocks as shuffle partitions,
+    or more, as none holds over ``VALUES`` values."""
     known = rows.where(F.col("v").isNotNull())
     placed = cut(before(known.select("id", "v"), ["id"]).select("id", "v", F.col("before").alias("at")))
     size = placed.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if not size.n:
         return rows.select("id", "v").limit(0)
     n, d = size.n, size.d
-    block, key = max(1, VALUES // d), keys(d, seed)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block, key = max(1, min(VALUES // d, -(-n // parts))), keys(d, seed)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
