@@ -73,18 +73,37 @@ def contracted(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def between(query: DataFrame, corpus: DataFrame) -> DataFrame:
     """(root, d, lo, hi): the shortest pair from each component of ``query`` (id, v,
-    root) to another in ``corpus``, ties by ids. A pair of blocks gives a row a
-    component; components ride with the vectors."""
+    root) to another in ``corpus``, ties by ids. A task keeps one for each component of a
+    block over all blocks that it meets; components ride with the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, a, ci, b in K.met(batches):
-            ra, rb, a, b = a[:, -1].astype("<i8"), b[:, -1].astype("<i8"), a[:, :-1], b[:, :-1]
-            row, col, d = K.first_k(a, b, qi, ci, 1, ra[:, None] == rb[None])
-            lo, hi = np.minimum(qi[row], ci[col]), np.maximum(qi[row], ci[col])
-            order = np.lexsort((hi, lo, d, ra[row]))
-            own = ra[row][order]
-            first = order[np.r_[True, own[1:] != own[:-1]]] if len(own) else order
-            yield pa.RecordBatch.from_pydict({"root": ra[row][first], "d": d[first], "lo": lo[first], "hi": hi[first]})
+        for qi, a, others in K.runs(batches):
+            ra, a = a[:, -1].astype("<i8"), a[:, :-1]
+            roots, own = np.unique(ra, return_inverse=True)
+            norm = (a * a).sum(1)
+            left = np.hstack([-2 * a, norm[:, None], np.ones((len(a), 1))])
+            d, lo, hi = np.full(len(roots), np.inf), np.zeros(len(roots), np.int64), np.zeros(len(roots), np.int64)
+            for ci, b in others:
+                rb, b = b[:, -1].astype("<i8"), b[:, :-1]
+                other = (b * b).sum(1)
+                right, off, most = np.hstack([b, np.ones((len(b), 1)), other[:, None]]).T, K.ROUNDING * (norm + other.max()), (d**2)[own]
+                found = []
+                for at in range(0, len(a), K.STRIP):
+                    strip = slice(at, at + K.STRIP)
+                    g, bound = left[strip] @ right, most[strip]
+                    if not np.isfinite(bound).all():
+                        bound = np.minimum(bound, np.where(ra[strip, None] == rb[None], np.inf, g).min(1) + off[strip])
+                    found.append(np.flatnonzero(g <= (bound + off[strip])[:, None]) + at * len(ci))
+                row, col = np.divmod(np.concatenate(found), len(ci))
+                apart = ra[row] != rb[col]
+                row, col = row[apart], col[apart]
+                e, x, y, r = K.exact(a, b, row, col), np.minimum(qi[row], ci[col]), np.maximum(qi[row], ci[col]), own[row]
+                e, x, y, r = np.r_[d, e], np.r_[lo, x], np.r_[hi, y], np.r_[np.arange(len(roots)), r]
+                order = np.lexsort((y, x, e, r))
+                first = order[np.searchsorted(r[order], np.arange(len(roots)))]
+                d, lo, hi = e[first], x[first], y[first]
+            some = np.isfinite(d)
+            yield pa.RecordBatch.from_pydict({"root": roots[some], "d": d[some], "lo": lo[some], "hi": hi[some]})
 
     packed = lambda df: df.select("id", F.concat("v", F.array(F.col("root").cast("double"))).alias("v"))
     some = K.block_pairs(packed(query), packed(corpus)).mapInArrow(run, "root long, d double, lo long, hi long")
