@@ -44,3 +44,28 @@ def test_a_task_keeps_the_first_k_over_its_blocks():
     full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(full, np.inf)
     assert (j.reshape(700, 5) == np.array([np.lexsort((ids, full[i]))[:5] for i in range(700)])).all()
+
+
+def test_ranks_around_probes_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANKED", 3000)  # several groups
+    x = np.random.default_rng(8).normal(size=(90, 4))
+    x[50] = x[51]
+    e = vectors(spark, x)
+    got = {r.i: r for r in K.probe_ranks([e, e.select("id", F.slice("v", 1, 2).alias("v"))], F.col("id") % 10 == 0, 5).collect()}
+    assert sorted(got) == list(range(0, 90, 10))
+    for i, r in got.items():
+        other = [j for j in range(90) if j != i]
+        order = [sorted(other, key=lambda j, y=y: (np.sqrt(((y[i] - y[j]) ** 2).sum()), j)) for y in (x, x[:, :2])]
+        places = [[o.index(j) for j in other] for o in order]
+        assert abs(r.rho - np.corrcoef(*places)[0, 1]) < 1e-12 and r.n == len({*order[0][:5]} & {*order[1][:5]}) and r.m == 89
+
+
+def test_bands_end_at_exact_quantiles(spark, monkeypatch):
+    from vicinal.operators import evaluate as Q
+
+    monkeypatch.setattr(Q.F, "percentile", lambda *_: pytest.fail("all values would meet in one task"))
+    g = np.random.default_rng(9).normal(size=300)
+    rows = spark.createDataFrame([(float(a), float(a * a)) for a in g], "g double, e double")
+    q = np.quantile(g, [0, 1 / 3, 2 / 3, 1])
+    got = {r.band: r.n for r in Q.shepard_banded(rows).collect()}
+    assert got == {k + 1: int(((g >= q[k]) & (g <= q[k + 1])).sum()) for k in range(3)}
