@@ -69,3 +69,13 @@ def test_bands_end_at_exact_quantiles(spark, monkeypatch):
     q = np.quantile(g, [0, 1 / 3, 2 / 3, 1])
     got = {r.band: r.n for r in Q.shepard_banded(rows).collect()}
     assert got == {k + 1: int(((g >= q[k]) & (g <= q[k + 1])).sum()) for k in range(3)}
+
+
+@pytest.mark.parametrize("name", ["braycurtis", "jensenshannon"])
+def test_all_distances_are_both_orders_of_all_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(K, "BLOCK", 32)
+    x = np.random.default_rng(6).normal(size=(150, 4))
+    e = vectors(spark, x, [*range(149), 0])  # an id twice
+    rows = lambda df: sorted((r.i, r.j, round(r.d, 12)) for r in df.collect())
+    got = rows(K.all_distances(e, name))
+    assert got == rows(K.pair_distances(e, e, name, F.col("i") != F.col("j"))) and len(got) == 150 * 149 - 2
