@@ -142,3 +142,22 @@ def test_buckets_of_any_size_meet_whole(spark, monkeypatch, cell):
         assert [got[i, k][0] for k in (1, 2, 3)] == js
     pairs = {(r.i, r.j) for r in K.within(e, 0.6, "g").collect()}
     assert pairs == {(i, j) for i in range(90) for j in range(i + 1, 90) if g[i] == g[j] and d[i, j] <= 0.6}
+
+
+@pytest.mark.parametrize("k", [1, 3, 59])
+def test_bridges_by_lists_search_only_rows_whose_neighbours_are_all_inside(spark, monkeypatch, k):
+    x = np.round(islands(5, 60), 1)  # with ties
+    e = vectors(spark, x)
+    searched, between = [], B.between
+
+    def seen(query, corpus):
+        searched.append(query.count())
+        return between(query, corpus)
+
+    monkeypatch.setattr(B, "between", seen)
+    pairs = K.one_nn(e).select("i", "j")
+    got = sorted((r.src, r.dst) for r in B.bridges(e, pairs, K.knn(e, k), k).collect())
+    want = sorted((r.src, r.dst) for r in B.bridges(e, pairs).collect())
+    root = {r.id: r.root for r in K.components(e, pairs).collect()}
+    assert got == want and len(got) == len(set(root.values())) - 1
+    assert sum(searched) < 60 if k > 1 else len(searched) > 0

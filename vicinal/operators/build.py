@@ -18,7 +18,9 @@ from vicinal.operators.lineage import cut
 
 
 #: Components that are merged on the driver at most.
-FEW = 4096
+FEW = 1 << 18
+#: Neighbours of each row among which its shortest edge out of its component is sought first.
+LIST = 16
 
 
 @dataclass(frozen=True)
@@ -110,25 +112,39 @@ def between(query: DataFrame, corpus: DataFrame) -> DataFrame:
     return some.groupBy("root").agg(F.min(F.struct("d", "lo", "hi")).alias("b")).select("root", "b.*")
 
 
-def bridges(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def bridges(df: DataFrame, pairs: DataFrame, near: DataFrame | None = None, k: int = LIST) -> DataFrame:
     """(src, dst, d): the fewest and shortest edges that make the graph ``pairs`` (i,
     j) over ``df`` (id, v) connected: each round every component but the largest takes
     its shortest edge out, ties by ids, so the number of components at least halves.
-    Ids below 2**53."""
-    rows = cut(df.select("id", "v").join(K.components(df, pairs), "id"))
+    Ids below 2**53.
+
+    The ``k`` neighbours of each row, ``near`` (i, rk, j, d) if given, are taken once. A row's
+    first neighbour outside its component is its shortest edge out; a row without one
+    among its neighbours has none shorter than to the last of them, so only those
+    are compared with all rows whose component has found no shorter edge."""
+    df = df.select("id", "v")
+    near = cut(K.knn(df, k)) if near is None else near
+    rows = cut(K.components(df, pairs))
     found = rows.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d")).limit(0)
+    edge = F.struct("d", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     while True:
         sizes = cut(rows.groupBy("root").agg(F.count("*").alias("n")))
         if sizes.limit(2).count() < 2:
             return found
         large = sizes.agg(F.max(F.struct("n", "root")).alias("m")).first().m.root
-        best = cut(between(rows.where(F.col("root") != large), rows))
-        edges = best.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "d").distinct()
+        held = rows.where(F.col("root") != large).withColumnRenamed("id", "i").join(near, "i", "left").join(rows.select(F.col("id").alias("j"), F.col("root").alias("_other")), "j", "left")
+        per = cut(held.groupBy("i", "root").agg(F.min(F.when(F.col("root") != F.col("_other"), edge)).alias("b"), F.max("d").alias("reach"), F.count("j").alias("c")))
+        best = per.groupBy("root").agg(F.min("b").alias("b"))
+        far = per.where(F.col("b").isNull() & (F.col("c") == k)).select("i", "root", "reach").join(best, "root").where(F.col("b").isNull() | (F.col("reach") <= F.col("b.d")))
+        far = cut(far.select(F.col("i").alias("id"), "root"))
+        best = best.where("b IS NOT NULL").select("root", "b.*")
+        if not far.isEmpty():
+            best = best.unionByName(between(far.join(df, "id"), rows.join(df, "id"))).groupBy("root").agg(F.min(F.struct("d", "lo", "hi")).alias("b")).select("root", "b.*")
+        edges = cut(best.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "d").distinct())
         found = cut(found.unionByName(edges))
-        ends = rows.select("id", "root")
-        joined = edges.join(ends.withColumnsRenamed({"id": "src", "root": "i"}), "src").join(ends.withColumnsRenamed({"id": "dst", "root": "j"}), "dst")
+        joined = edges.join(rows.withColumnsRenamed({"id": "src", "root": "i"}), "src").join(rows.withColumnsRenamed({"id": "dst", "root": "j"}), "dst")
         merged = contracted(joined, sizes)
-        rows = cut(rows.join(merged, "root").select("id", "v", F.col("new").alias("root")))
+        rows = cut(rows.join(merged, "root").select("id", F.col("new").alias("root")))
 
 
 @dataclass(frozen=True)

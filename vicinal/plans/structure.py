@@ -150,7 +150,8 @@ CE AS MATERIALIZED (SELECT x.root AS i, y.root AS j, min(d) AS d, min_by(least(D
 def bridges(spark, d):
     """The shortest edges that connect the components of the nearest-neighbour graph."""
     e = emb(spark, d)
-    return r6(B.bridges(e, K.one_nn(e).select("i", "j")))
+    near = cut(K.knn(e, B.LIST))  # one search of all rows
+    return r6(B.bridges(e, near.where("rk = 1").select("i", "j"), near))
 
 
 # ---- paths along the graph ------------------------------------------------
